@@ -83,8 +83,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> It
     col = batch.column(batch.schema.get_field_index(text))
     if not len(col):
         return
-    if not pa.types.is_large_string(col.type):
-        col = col.cast(pa.large_string())
+    col = col.cast(pa.large_binary())
     ends = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
     at = 0
     while at < len(col):

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import mixing, secrets
+from pulsegrid.llm import media, mixing, secrets
 
-MODULES = (secrets, mixing)
+MODULES = (secrets, mixing, media)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
