@@ -26,7 +26,7 @@ from pulsegrid.llm.flac import FlacError, decode, encode
 #: Payloads are padded with zero bytes to a positive multiple of this.
 UNIT = 64
 #: Bytes of text or media worked on at once in a task.
-SLICE = 8 << 20
+SLICE = 3 << 19
 
 
 def _payload(text: bytes) -> bytes:
