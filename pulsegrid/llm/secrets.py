@@ -74,7 +74,7 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, *, id_col: str = "do
         first = first.join(seen.select("blob"), "blob", "left_anti")
     unseen = addressed.withColumn("_first", id_text()).join(first.hint("shuffle_hash"), ["blob", "_first"], "left_semi")
     found = unseen.select("blob", spans_of(F.col("text")).alias("spans"))
-    fresh = saved(found).dropDuplicates(["blob"])
+    fresh = saved(found.dropDuplicates(["blob"]))
     every = fresh if ledger is None else fresh.unionByName(seen)
     return known.join(every, "blob").select("doc_id", "blob", "spans"), fresh.select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans")
 
