@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import langid, media, mixing, secrets, simhash
+from pulsegrid.llm import decontam, langid, linededup, media, mixing, secrets, simhash
 from pulsegrid.llm.common import ship
 
-MODULES = (simhash, secrets, mixing, langid, media)
+MODULES = (simhash, secrets, linededup, mixing, langid, decontam, media)
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
