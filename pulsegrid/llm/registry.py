@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontam, kneserney, langid, linededup, media, mixing, secrets, simhash
+from pulsegrid.llm import decontam, kneserney, langid, linededup, media, mixing, quality, secrets, simhash, toxicity
 from pulsegrid.llm.common import ship
 
-MODULES = (simhash, secrets, kneserney, linededup, mixing, langid, decontam, media)
+MODULES = (simhash, quality, toxicity, secrets, kneserney, linededup, mixing, langid, decontam, media)
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
