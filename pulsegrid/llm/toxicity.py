@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings.
 
-A text is the bag of its character n-grams (3 to 5 bytes inside a word, its edges included), each hashed to a row of
+A text is the bag of its character n-grams (3 to 7 bytes inside a word, its edges included), each hashed to a row of
 an embedding table; the mean of the rows goes through a linear softmax.  Table and softmax are trained jointly, in
 numpy, so that a misspelling never seen shares the vectors of its n-grams.  For scoring, table and softmax collapse
 into one number per hashed n-gram, which is all that workers get.
@@ -29,42 +29,35 @@ from pulsegrid.llm.labelled import sample_ids, with_texts
 
 BUCKETS = 1 << 18
 WIDTH = 8
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6, 7)
 #: Means over thousands of n-grams are small numbers; this brings them to the order of one.
 GAIN = 64.0
 THRESHOLD = 0.5
 _EDGES = bytes.maketrans(b"\t\n\x0b\x0c\r" + string.punctuation.encode(), b" " * (5 + len(string.punctuation)))
 
 
-def ngrams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed n-grams of all texts in a row, how many each text has)."""
+def ngrams(found: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n: (hashed n-grams of all texts in a row, where each text's end)."""
     raw = [b" " + t.lower().translate(_EDGES) + b" " for t in found]
     b = np.frombuffer(b"".join(raw), dtype=np.uint8)
     ends = np.cumsum([len(r) for r in raw])
-    blank = b == 0x20
-    spaces = np.concatenate(([0], np.cumsum(blank, dtype=np.int32)))
+    spaces = np.zeros(len(b) + 1, dtype=np.int32)
+    np.cumsum(b == 0x20, out=spaces[1:])
     wide = b.astype(np.uint32)
-    parts, owners = [], []
     for n in SIZES:
         m = len(b) - n + 1
         if m <= 0:
+            yield np.empty(0, dtype=np.uint32), np.zeros(len(found), dtype=np.int64)
             continue
-        h = np.full(m, n * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
+        # No blank inside; two texts meet in two blanks, so nothing crosses them.
+        at = np.flatnonzero(spaces[n - 1 : m + n - 1] == spaces[1 : m + 1])
+        h = np.full(len(at), n * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
         for j in range(n):
-            h ^= wide[j : j + m]
+            h ^= wide[at + j]
             h *= np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
-        # No blank inside; two texts meet in two blanks, so nothing crosses them.
-        at = np.flatnonzero(spaces[n - 1 : m + n - 1] == spaces[1 : m + 1])
-        parts.append((h[at] >> np.uint32(14)).astype(np.int32))
-        owners.append(at)
-    if not parts:
-        return np.empty(0, dtype=np.int32), np.zeros(len(found), dtype=np.int64)
-    ids, at = np.concatenate(parts), np.concatenate(owners)
-    order = np.argsort(at, kind="stable")
-    counts = np.diff(np.concatenate(([0], np.searchsorted(at[order], ends))))
-    return ids[order], counts
+        yield h >> np.uint32(14), np.searchsorted(at, ends)
 
 
 class Bag:
@@ -74,24 +67,34 @@ class Bag:
         self.weights, self.bias = weights, bias
 
     def scores(self, found: list[bytes]) -> np.ndarray:
-        ids, counts = ngrams(found)
-        sums = np.concatenate(([0.0], np.cumsum(self.weights[ids], dtype=np.float64)))
-        ends = np.cumsum(counts)
-        z = (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1) + self.bias
+        total, count = np.zeros(len(found)), np.zeros(len(found), dtype=np.int64)
+        for ids, ends in ngrams(found):
+            sums = np.concatenate(([0.0], np.cumsum(self.weights.take(ids), dtype=np.float64)))[ends]
+            total += np.diff(sums, prepend=0.0)
+            count += np.diff(ends, prepend=0)
+        z = total / np.maximum(count, 1) + self.bias
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
-def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, epochs: int = 12, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Bag:
-    """Train table and softmax jointly by Adam on mini-batches."""
+def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, least_docs: int = 20, epochs: int = 10, batch: int = 128, rate: float = 0.02, decay: float = 3e-4, seed: int = 7) -> Bag:
+    """Train table and softmax jointly by Adam on mini-batches.
+
+    N-grams of fewer than ``least_docs`` sample texts keep a zero row: a rare one says what text it is, not of which kind.
+    """
     share = float((weight * toxic).sum() / weight.sum()) if len(found) else 0.0
+    least_docs = min(least_docs, max(1, len(found) // 50))
     if not 0 < share < 1:
         return Bag(np.zeros(BUCKETS, dtype=np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     rows = []
+    seen = np.zeros(BUCKETS, dtype=np.int64)
     for t in found:
-        ids, counts = np.unique(ngrams([t])[0], return_counts=True)
+        ids, counts = np.unique(np.concatenate([h for h, _ in ngrams([t])]), return_counts=True)
+        seen[ids] += 1
         rows.append((ids, (GAIN * counts / max(counts.sum(), 1)).astype(np.float32)))
+    rows = [(ids[keep], x[keep]) for ids, x in rows for keep in [seen[ids] >= least_docs]]
     random = np.random.default_rng(seed)
     table = random.normal(0, 0.02, (BUCKETS, WIDTH)).astype(np.float32)
+    table[seen < least_docs] = 0
     softmax = random.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.array([0.0, np.log(share / (1 - share))], dtype=np.float32)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, softmax, bias)]
@@ -113,6 +116,7 @@ def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, epochs: in
             d = (p - y[some]) * scale[some, None] / len(some)
             inner = d @ softmax.T
             grad = np.stack([np.bincount(back, x * inner[doc, k], len(used)) for k in range(WIDTH)], axis=1).astype(np.float32)
+            grad += decay * vectors
             pace = rate * (1 - epoch / epochs)
             for value, g, (m, v), rows_of in ((table, grad, state[0], used), (softmax, mean.T @ d, state[1], slice(None)), (bias, d.sum(axis=0), state[2], slice(None))):
                 m[rows_of] = 0.9 * m[rows_of] + 0.1 * g
