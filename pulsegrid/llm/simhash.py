@@ -18,11 +18,12 @@ name a component unless no other id is there; an empty table gives an empty resu
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,21 +104,31 @@ class BKTree:
                     todo.append(child)
 
 
-def _linked(tree_values: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that join what is within the radius: each linked number with the smallest of its set."""
-    parent: dict[int, int] = {}
+def _linked(tree: list[tuple[object, int]], queries: list[tuple[object, int]], radius: int, same: Callable[[object, object], bool] | None = None) -> list[tuple[object, object]]:
+    """Links that join the (id, fingerprint) pairs within the radius: each linked id with the smallest of its set.
 
-    def find(x: int) -> int:
+    ``same`` is a further test of two ids; pairs already joined through others are not tested again.
+    """
+    parent: dict[object, object] = {}
+
+    def find(x: object) -> object:
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    tree = BKTree(tree_values)
-    for q in queries:
-        for i in tree.within(q, radius):
-            a, b = find(q), find(tree.values[i])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
+    by_print: dict[int, list[object]] = {}
+    for i, fp in tree:
+        by_print.setdefault(fp, []).append(i)
+    index = BKTree(by_print)
+    for q, fp in queries:
+        own = find(q)
+        for at in index.within(fp, radius):
+            for i in by_print[index.values[at]]:
+                other = find(i)
+                if own != other and (same is None or same(q, i)):
+                    low, high = (own, other) if own < other else (other, own)
+                    parent[high] = low
+                    own = low
     return [(x, r) for x in list(parent) if (r := find(x)) != x]
 
 
@@ -129,62 +140,66 @@ def _shard_keys(fp: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("which"), block[i].alias("one"), block[j].alias("two")) for k, (i, j) in enumerate(combinations(range(n), 2))])
 
 
-def link(distinct: DataFrame, *, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """distinct (fp) -> links (a, b) that connect all fingerprints within the radius, directly or through others."""
-    spark = distinct.sparkSession
-    keys = saved(distinct.select("fp", F.explode(_shard_keys(F.col("fp"), radius)).alias("k")).select("fp", "k.*"))
-    by = ["which", "one", "two"]
-    full = keys.groupBy(*by).agg(F.count("*").alias("_n")).filter("_n > 1")
-    rows = keys.join(full, by).withColumn("_parts", F.ceil(F.col("_n") / F.lit(shard_rows)).cast("int"))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("_parts")).cast("int"))
+def in_shards(rows: DataFrame, by: list[str], shard_rows: int) -> tuple[DataFrame, list[str]]:
+    """Deal rows out by shard, dropping shards of one row; adds i, j, tree, query: what a row is to the meeting of parts i and j."""
+    full = rows.groupBy(*by).agg(F.count("*").alias("_n")).filter("_n > 1")
+    rows = rows.join(full, by).withColumn("_parts", F.ceil(F.col("_n") / F.lit(shard_rows)).cast("int"))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("_parts")).cast("int"))
     # Part i meets part j >= i: i gives the tree, j the queries.
     meet = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least("_part", j).alias("i"), F.greatest("_part", j).alias("j"), (j >= F.col("_part")).alias("tree"), (j <= F.col("_part")).alias("query")))
-    rows = rows.select("fp", *by, F.explode(meet).alias("m")).select("fp", *by, "m.*")
+    rows = rows.withColumn("m", F.explode(meet)).select("*", "m.*").drop("m", "_n", "_parts", "_part")
     group = [*by, "i", "j"]
-    rows = rows.repartition(shuffle_tasks(spark), *group).sortWithinPartitions(*group)
+    return rows.repartition(shuffle_tasks(rows.sparkSession), *group).sortWithinPartitions(*group), group
+
+
+def by_group(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by group; a group may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([*held, batch])
+        new = np.zeros(t.num_rows, dtype=bool)
+        for g in group:
+            c = t.column(g).combine_chunks()
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        starts = [0, *np.flatnonzero(new).tolist()]
+        for a, b in zip(starts, starts[1:], strict=False):
+            yield t.slice(a, b - a)
+        held = t.slice(starts[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def link(keys: DataFrame, by: list[str], *, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """keys (id, fp, shard columns) -> links (a, b) that connect all ids of a shard within the radius, directly or through others."""
+    rows, group = in_shards(saved(keys), by, shard_rows)
+    kind = rows.schema["id"].dataType.simpleString()
+    arrow = pa.int64() if kind == "bigint" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(t: pa.Table) -> tuple[list[int], list[int]]:
-            fp = t.column("fp").to_numpy().view(np.uint64).tolist()
+        a: list[object] = []
+        b: list[object] = []
+        for t in by_group(batches, group):
+            pairs = list(zip(t.column("id").to_pylist(), t.column("fp").to_numpy().view(np.uint64).tolist(), strict=True))
             tree, query = t.column("tree").to_pylist(), t.column("query").to_pylist()
-            ids = list(zip(*(t.column(g).to_pylist() for g in group), strict=True))
-            a: list[int] = []
-            b: list[int] = []
-            start = 0
-            for end in range(1, len(fp) + 1):
-                if end == len(fp) or ids[end] != ids[start]:
-                    for x, y in _linked([f for f, u in zip(fp[start:end], tree[start:end], strict=True) if u], [f for f, u in zip(fp[start:end], query[start:end], strict=True) if u], radius):
-                        a.append(x)
-                        b.append(y)
-                    start = end
-            return a, b
-
-        def out(t: pa.Table) -> pa.RecordBatch:
-            a, b = links(t)
-            return pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (a, b)], names=["a", "b"])
-
-        held: list[pa.RecordBatch] = []  # whole shards are worked on; the last one may go on in the next batch
-        for batch in batches:
-            t = pa.Table.from_batches([*held, batch])
-            last = [t.column(g)[t.num_rows - 1].as_py() for g in group]
-            same = np.ones(t.num_rows, dtype=bool)
-            for g, v in zip(group, last, strict=True):
-                same &= t.column(g).to_numpy() == v
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut:
-                yield out(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
-        if held:
-            yield out(pa.Table.from_batches(held))
+            for x, y in _linked([p for p, u in zip(pairs, tree, strict=True) if u], [p for p, u in zip(pairs, query, strict=True) if u], radius):
+                a.append(x)
+                b.append(y)
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, arrow), pa.array(b, arrow)], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, arrow), pa.array(b, arrow)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, root, component_id, fingerprint) for every document."""
     prints = saved(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("_first")))
-    linked = components(link(distinct, radius=radius)).withColumnRenamed("node", "fp")
+    keys = distinct.select(F.col("fp").alias("id"), "fp", F.explode(_shard_keys(F.col("fp"), radius)).alias("k")).select("id", "fp", "k.*")
+    linked = components(link(keys, ["which", "one", "two"], radius=radius)).withColumnRenamed("node", "fp")
     named = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("_first").alias("component_id"))
     groups = saved(named.select("fp", "root").join(names, "root"))
