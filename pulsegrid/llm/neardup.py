@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import maybe_broadcast, mixed, saved, slices, small, texts
 from pulsegrid.llm.components import components
-from pulsegrid.llm.simhash import _linked, by_group, in_shards, link
+from pulsegrid.llm.simhash import link
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 21
 BANDS, ROWS = 16, 4
 #: Rows of a candidate group that are worked on together; each carries its shingle set.
-GROUP_ROWS = 1024
+GROUP_ROWS = 512
 
 
 class Shingles:
@@ -129,18 +129,9 @@ def _verified(docs: DataFrame, candidates: DataFrame, text_col: str, id_col: str
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([made.set_of(t).tobytes() for t in texts(part)], pa.binary())], names=["id", "root", "fp", "own"])
 
-    rows, group = in_shards(saved(rows.mapInArrow(sets, "id string, root string, fp bigint, own binary")), ["root"], GROUP_ROWS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, group):
-            ids = t.column("id").to_pylist()
-            held = {i: np.frombuffer(x, dtype=np.uint64) for i, x in zip(ids, t.column("own").to_pylist(), strict=True)}
-            pairs = list(zip(ids, t.column("fp").to_numpy().view(np.uint64).tolist(), strict=True))
-            tree, query = t.column("tree").to_pylist(), t.column("query").to_pylist()
-            found = _linked([p for p, u in zip(pairs, tree, strict=True) if u], [p for p, u in zip(pairs, query, strict=True) if u], radius, lambda a, b, held=held: _similar(held[a], held[b], similarity))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a string, b string")
+    rows = rows.mapInArrow(sets, "id string, root string, fp bigint, own binary")
+    test = lambda a, b: _similar(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), similarity)
+    return link(rows, ["root"], radius=radius, shard_rows=GROUP_ROWS, payload="own", same=test)
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:

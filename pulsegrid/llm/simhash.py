@@ -6,10 +6,10 @@ A text's fingerprint is the bitwise majority of the XXH64 values of its word shi
 Search: the 64 bits are cut into ``radius + 2`` blocks.  Two fingerprints within the radius agree in two blocks at
 least, so each distinct fingerprint goes to one shard per pair of blocks, keyed by their bits.  A shard's fingerprints
 form a BK-tree (children keyed by their Hamming distance to the parent), and a query follows only the edges whose
-distance is within the radius of its own distance to the node.  A shard beyond ``shard_rows`` is cut into parts; every
-part's tree is sent to the query rows of every other part through the shuffle, which takes the place of a driver
-broadcast: fingerprints of all documents never reach the driver.  A shard yields links from each linked set to its
-smallest fingerprint; that keeps all components and stays linear.
+distance is within the radius of its own distance to the node.  A shard beyond ``shard_rows`` is cut into parts (see
+``link``).  Trees meet their queries through the shuffle, which takes the place of a driver broadcast: fingerprints of
+all documents never reach the driver.  A shard yields links from each linked set to its smallest fingerprint; that keeps
+all components and stays linear.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 fewer words than the shingle size make one shingle; equal texts have equal fingerprints; null ids are kept and never
@@ -33,7 +33,10 @@ from pulsegrid.llm.components import components
 
 SEED = 42
 RADIUS = 2
-SHARD_ROWS = 4096
+#: Rows of a shard that one task works on together.
+SHARD_ROWS = 1024
+#: About so many rows of a large shard go to all its parts.
+ANCHORS = 32
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -140,18 +143,6 @@ def _shard_keys(fp: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("which"), block[i].alias("one"), block[j].alias("two")) for k, (i, j) in enumerate(combinations(range(n), 2))])
 
 
-def in_shards(rows: DataFrame, by: list[str], shard_rows: int) -> tuple[DataFrame, list[str]]:
-    """Deal rows out by shard, dropping shards of one row; adds i, j, tree, query: what a row is to the meeting of parts i and j."""
-    full = rows.groupBy(*by).agg(F.count("*").alias("_n")).filter("_n > 1")
-    rows = rows.join(full, by).withColumn("_parts", F.ceil(F.col("_n") / F.lit(shard_rows)).cast("int"))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("_parts")).cast("int"))
-    # Part i meets part j >= i: i gives the tree, j the queries.
-    meet = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least("_part", j).alias("i"), F.greatest("_part", j).alias("j"), (j >= F.col("_part")).alias("tree"), (j <= F.col("_part")).alias("query")))
-    rows = rows.withColumn("m", F.explode(meet)).select("*", "m.*").drop("m", "_n", "_parts", "_part")
-    group = [*by, "i", "j"]
-    return rows.repartition(shuffle_tasks(rows.sparkSession), *group).sortWithinPartitions(*group), group
-
-
 def by_group(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by group; a group may go on in the next batch."""
     held: list[pa.RecordBatch] = []
@@ -171,9 +162,8 @@ def by_group(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-def link(keys: DataFrame, by: list[str], *, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """keys (id, fp, shard columns) -> links (a, b) that connect all ids of a shard within the radius, directly or through others."""
-    rows, group = in_shards(saved(keys), by, shard_rows)
+def _meet(rows: DataFrame, group: list[str], radius: int, payload: str | None, same: Callable[[object, object], bool] | None) -> DataFrame:
+    """rows (id, fp, group columns, tree, query, payload) -> links (a, b): in each group the queries search the trees' rows."""
     kind = rows.schema["id"].dataType.simpleString()
     arrow = pa.int64() if kind == "bigint" else pa.string()
 
@@ -181,9 +171,14 @@ def link(keys: DataFrame, by: list[str], *, radius: int = RADIUS, shard_rows: in
         a: list[object] = []
         b: list[object] = []
         for t in by_group(batches, group):
-            pairs = list(zip(t.column("id").to_pylist(), t.column("fp").to_numpy().view(np.uint64).tolist(), strict=True))
+            ids = t.column("id").to_pylist()
+            pairs = list(zip(ids, t.column("fp").to_numpy().view(np.uint64).tolist(), strict=True))
             tree, query = t.column("tree").to_pylist(), t.column("query").to_pylist()
-            for x, y in _linked([p for p, u in zip(pairs, tree, strict=True) if u], [p for p, u in zip(pairs, query, strict=True) if u], radius):
+            test = None
+            if payload is not None:
+                held = dict(zip(ids, t.column(payload).to_pylist(), strict=True))
+                test = lambda x, y, held=held: same(held[x], held[y])
+            for x, y in _linked([p for p, u in zip(pairs, tree, strict=True) if u], [p for p, u in zip(pairs, query, strict=True) if u], radius, test):
                 a.append(x)
                 b.append(y)
             if len(a) > 10_000:
@@ -191,7 +186,43 @@ def link(keys: DataFrame, by: list[str], *, radius: int = RADIUS, shard_rows: in
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, arrow), pa.array(b, arrow)], names=["a", "b"])
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+    dealt = rows.repartition(shuffle_tasks(rows.sparkSession), *group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def link(keys: DataFrame, by: list[str], *, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, payload: str | None = None, same: Callable[[object, object], bool] | None = None) -> DataFrame:
+    """keys (id, fp, shard columns) -> links (a, b) that connect all ids of a shard within the radius, directly or through others.
+
+    ``same`` may test two payloads further.  A shard beyond ``shard_rows`` is cut into parts.  First each part is
+    searched by itself, together with some anchors of the shard that go to all parts; near copies all join the shard's
+    largest component there.  Then only rows outside that component go to all parts and are searched for there: pairs
+    inside it are connected already, so no link between components is lost, and a large group of near copies costs in
+    proportion to its size.
+    """
+    keys = saved(keys)
+    whole = F.lit(True)
+    full = saved(keys.groupBy(*by).agg(F.count("*").alias("_n")).filter("_n > 1"))
+    plain = keys.join(full.filter(F.col("_n") <= shard_rows).drop("_n"), by).withColumn("tree", whole).withColumn("query", whole)
+    links = _meet(plain, by, radius, payload, same)
+    if full.filter(F.col("_n") > shard_rows).isEmpty():
+        return links
+    hot = keys.join(full.filter(F.col("_n") > shard_rows), by)
+    hot = hot.withColumn("_parts", F.ceil(F.col("_n") * 2 / F.lit(shard_rows)).cast("int"))
+    hot = saved(hot.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("_parts")).cast("int")))
+    parts = F.sequence(F.lit(0), F.col("_parts") - 1)
+    is_anchor = F.pmod(F.xxhash64("id", F.lit("anchor")), F.col("_n")) < ANCHORS
+    anchors = hot.filter(is_anchor).withColumn("_to", F.explode(parts)).filter("_to <> part").withColumn("part", F.col("_to")).drop("_to")
+    group = [*by, "part"]
+    first = hot.unionByName(anchors).withColumn("tree", whole).withColumn("query", whole)
+    links = saved(links.unionByName(_meet(first, group, radius, payload, same)))
+    known = components(links)
+    rooted = hot.join(known, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    largest = rooted.groupBy(*by, "root").agg(F.count("*").alias("_c")).groupBy(*by).agg(F.max(F.struct("_c", "root")).alias("_l")).select(*by, F.col("_l.root").alias("_largest"))
+    outside = saved(rooted.join(largest, by).filter(F.col("root") != F.col("_largest")).drop("_largest", "root"))
+    if outside.isEmpty():
+        return links
+    asked = outside.withColumn("part", F.explode(parts)).withColumn("tree", F.lit(False)).withColumn("query", whole)
+    return links.unionByName(_meet(asked.unionByName(hot.withColumn("tree", whole).withColumn("query", F.lit(False))), group, radius, payload, same))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
