@@ -215,10 +215,10 @@ def link(keys: DataFrame, by: list[str], *, radius: int = RADIUS, shard_rows: in
     group = [*by, "part"]
     first = hot.unionByName(anchors).withColumn("tree", whole).withColumn("query", whole)
     links = saved(links.unionByName(_meet(first, group, radius, payload, same)))
-    known = components(links)
-    rooted = hot.join(known, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    largest = rooted.groupBy(*by, "root").agg(F.count("*").alias("_c")).groupBy(*by).agg(F.max(F.struct("_c", "root")).alias("_l")).select(*by, F.col("_l.root").alias("_largest"))
-    outside = saved(rooted.join(largest, by).filter(F.col("root") != F.col("_largest")).drop("_largest", "root"))
+    known = components(links).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    rooted = hot.join(known, F.col("id") == F.col("_node"), "left").withColumn("_root", F.coalesce("_root", "id")).drop("_node")
+    largest = rooted.groupBy(*by, "_root").agg(F.count("*").alias("_c")).groupBy(*by).agg(F.max(F.struct("_c", "_root")).alias("_l")).select(*by, F.col("_l._root").alias("_largest"))
+    outside = saved(rooted.join(largest, by).filter(F.col("_root") != F.col("_largest")).drop("_largest", "_root"))
     if outside.isEmpty():
         return links
     asked = outside.withColumn("part", F.explode(parts)).withColumn("tree", F.lit(False)).withColumn("query", whole)
