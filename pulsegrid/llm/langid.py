@@ -68,16 +68,20 @@ class SuffixAutomaton:
         self.nexts = nexts
 
     def table(self, width: int) -> np.ndarray:
-        """Flat transitions: (state * width + symbol) -> next state * width, or its negative complement if a new phrase begins there."""
-        out = np.empty((len(self.nexts), width), dtype=np.int32)
-        first = np.zeros(width, dtype=np.int32)
+        """Flat transitions: (state * width + symbol) -> next state * width, or its negative complement if a new phrase begins there.
+
+        A last row is the state before the first symbol and after one that the sample does not have: whatever follows
+        begins a phrase.
+        """
+        n = len(self.nexts)
+        out = np.empty((n + 1, width), dtype=np.int32)
+        first = np.full(width, n * width, dtype=np.int32)
         for c, t in self.nexts[0].items():
             first[c] = t * width
         out[:] = ~first
-        rows = np.repeat(np.arange(len(self.nexts)), [len(n) for n in self.nexts])
-        cols = np.array([c for n in self.nexts for c in n], dtype=np.int64)
-        out[rows, cols] = np.array([t * width for n in self.nexts for t in n.values()], dtype=np.int32)
-        out[:, 0] = 0  # padding: no phrase, back to the root
+        rows = np.repeat(np.arange(n), [len(x) for x in self.nexts])
+        cols = np.array([c for x in self.nexts for c in x], dtype=np.int64)
+        out[rows, cols] = np.array([t * width for x in self.nexts for t in x.values()], dtype=np.int32)
         return out.ravel()
 
 
@@ -100,8 +104,8 @@ class CrossParser:
             cut = max(1, len(codes) * 9 // 10)
             one = SuffixAutomaton(codes[:cut].tolist()).table(self.width)
             tables.append(np.where(one < 0, one - base, one + base).astype(np.int32))
-            self.roots.append(base)
             base += len(one)
+            self.roots.append(base - self.width)
         self.tables = np.concatenate(tables) if tables else np.empty(0, dtype=np.int32)
         for lang, root in zip(self.languages, self.roots, strict=True):
             own = self.codes(samples[lang])
@@ -156,8 +160,6 @@ class CrossParser:
             new = step >> 31  # -1 where a phrase begins
             phrases[:, :m] -= new
             np.bitwise_xor(step, new, out=state[:, :m])
-        # The first symbol starts from the root without a miss, and so without having been counted.
-        phrases += 1
         for lang in range(len(roots)):
             out[:, lang] = np.bincount(doc, phrases[lang], len(codes))
         return out
