@@ -76,7 +76,7 @@ class Bag:
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
-def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, least_docs: int = 20, epochs: int = 10, batch: int = 128, rate: float = 0.02, decay: float = 3e-4, seed: int = 7) -> Bag:
+def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, least_docs: int = 20, epochs: int = 10, least_steps: int = 250, batch: int = 128, rate: float = 0.02, decay: float = 3e-4, seed: int = 7) -> Bag:
     """Train table and softmax jointly by Adam on mini-batches.
 
     N-grams of fewer than ``least_docs`` sample texts keep a zero row: a rare one says what text it is, not of which kind.
@@ -100,9 +100,10 @@ def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, least_docs
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, softmax, bias)]
     y = np.eye(2, dtype=np.float32)[toxic.astype(int)]
     scale = (weight / weight.mean()).astype(np.float32)
-    step = 0
+    step, batches = 0, max(1, len(rows) // batch)
+    epochs = max(epochs, -(-least_steps // batches))
     for epoch in range(epochs):
-        for some in np.array_split(random.permutation(len(rows)), max(1, len(rows) // batch)):
+        for some in np.array_split(random.permutation(len(rows)), batches):
             step += 1
             sizes = np.array([len(rows[i][0]) for i in some])
             ids, x = (np.concatenate([rows[i][k] for i in some]) for k in (0, 1))
