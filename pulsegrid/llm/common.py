@@ -25,15 +25,9 @@ BROADCAST_ROWS = 50_000
 
 def shared_uri(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests, local mode)."""
-    uri = spark.conf.get("spark.checkpoint.dir", None)
+    uri = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not uri:
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            uri = held
-        else:
-            uri = "file://" + tempfile.mkdtemp(prefix="shared-")
-            spark.sparkContext.setCheckpointDir(uri)
-    elif not spark.sparkContext.getCheckpointDir():
+        uri = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(uri)
     return uri
 
@@ -57,16 +51,45 @@ def ship(spark: SparkSession) -> None:
 
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder name below the shared folder, as a path every executor can map (POSIX mounts only)."""
-    uri = urlparse(shared_uri(spark))
+    uri = urlparse(_scratch(spark))
     if uri.scheme not in ("", "file"):
         raise ValueError(f"{what} files are memory-mapped: mount {uri.geturl()} and name the mount in spark.checkpoint.dir")
     return f"{unquote(uri.path)}/{what}-{uuid.uuid4().hex}"
 
 
+def _scratch(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when the application ends."""
+    context = spark.sparkContext
+    folder = getattr(context, "_pulsegrid_scratch", None)
+    if folder is None:
+        folder = f"{shared_uri(spark).rstrip('/')}/pulsegrid-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        context._pulsegrid_scratch = folder
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; survives the loss of any executor."""
-    shared_uri(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a table written to the shared folder; survives the loss of any executor.
+
+    Unlike a checkpoint, a table has its real size: the estimates that a checkpoint keeps multiply with every join, and
+    grow out of all bounds in a loop.
+    """
+    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -361,6 +361,16 @@ def _streams(data: bytes, at: int) -> tuple[dict, list[tuple[int, int, int]], in
 
 
 def decode(streams: list[bytes]) -> tuple[list[np.ndarray], list[list[tuple[int, int]]]]:
+    """``_decode``; whatever a damaged stream runs into is a FlacError."""
+    try:
+        return _decode(streams)
+    except FlacError:
+        raise
+    except (IndexError, ValueError, OverflowError, StopIteration, struct.error) as e:
+        raise FlacError(f"damaged stream: {e}") from e
+
+
+def _decode(streams: list[bytes]) -> tuple[list[np.ndarray], list[list[tuple[int, int]]]]:
     """Samples of each stream, and its (sample offset, samples) blocks; raises FlacError where a check fails.
 
     Frames are found through the seek table, so that all of them decode side by side; a stream whose table does

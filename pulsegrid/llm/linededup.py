@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import saved, small, table
+from pulsegrid.llm.common import fresh, saved, small, table
 
 RATIO = 0.08
 LEAST = 5
@@ -51,25 +51,25 @@ def boilerplate(rows: DataFrame, *, ratio: float = RATIO, least: int = LEAST) ->
 
 
 def drop_boilerplate(docs: DataFrame, host: Column, *, text_col: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` with their boilerplate lines removed; no row goes.  Adds ``_dropped_lines``."""
+    """The rows of ``docs`` with their boilerplate lines removed; no row goes.  Adds (or replaces) ``_dropped_lines``."""
     rows = docs.select(host.alias("host"), F.col(text_col).cast("string").alias("text"))
     found = saved(boilerplate(rows, ratio=ratio, least=least).select("host", "key"))
-    per_host = found.groupBy("host").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("host", "__host")
-    out = docs.withColumn("__own", host)
-    same = F.col("__own").eqNullSafe(F.col("__host"))
+    own, of, keys, salt, deal, stays = fresh(docs, "__own", "__host", "__keys", "__salt", "__deal", "__stays")
+    per_host = found.groupBy("host").agg(F.collect_set("key").alias(keys)).withColumnRenamed("host", of)
+    out = docs.withColumn(own, host)
+    same = F.col(own).eqNullSafe(F.col(of))
     if small(found, BROADCAST_HASHES):
         out = out.join(F.broadcast(per_host), same, "left")
     else:
-        salted = per_host.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = out.withColumn("__deal", F.pmod(F.xxhash64(F.col(text_col)), F.lit(SALTS)).cast("int"))
-        out = out.join(salted, same & (F.col("__deal") == F.col("__salt")), "left").drop("__salt", "__deal")
+        salted = per_host.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = out.withColumn(deal, F.pmod(F.xxhash64(F.col(text_col)), F.lit(SALTS)).cast("int"))
+        out = out.join(salted, same & (F.col(deal) == F.col(salt)), "left").drop(salt, deal)
     lines = lines_of(F.col(text_col))
-    stays = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col("__keys"), line_key(line)), F.lit(False)))
-    out = out.withColumn("__stays", F.when(F.col("__keys").isNotNull(), stays))
-    dropped = F.when(F.col("__stays").isNotNull(), F.size(lines) - F.size("__stays")).otherwise(0)
-    out = out.withColumn("_dropped_lines", dropped)
-    out = out.withColumn(text_col, F.when(F.col("_dropped_lines") > 0, F.array_join("__stays", "\n")).otherwise(F.col(text_col)))
-    return out.drop("__own", "__host", "__keys", "__stays")
+    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col(keys), line_key(line)), F.lit(False)))
+    out = out.withColumn(stays, F.when(F.col(keys).isNotNull(), kept))
+    out = out.withColumn("_dropped_lines", F.when(F.col(stays).isNotNull(), F.size(lines) - F.size(stays)).otherwise(0))
+    out = out.withColumn(text_col, F.when(F.col("_dropped_lines") > 0, F.array_join(stays, "\n")).otherwise(F.col(text_col)))
+    return out.drop(own, of, keys, stays)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

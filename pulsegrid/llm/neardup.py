@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import maybe_broadcast, mixed, saved, slices, small, texts
+from pulsegrid.llm.common import fresh, maybe_broadcast, mixed, saved, slices, small, texts
 from pulsegrid.llm.components import components
 from pulsegrid.llm.simhash import link
 
@@ -154,9 +154,10 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one row of each group of near copies; columns stay as they are."""
     marked = saved(near_copies(docs, id_col=id_col, text_col=text_col))
     goes = marked.filter(~(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_hash") == F.col("keeper.text_hash"))))
-    goes = goes.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    out = docs.withColumn("__own", text_hash(text_col))
-    out = out.join(maybe_broadcast(goes), out[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_anti")
+    own, gone, gone_hash = fresh(docs, "__own", "__id", "__hash")
+    goes = goes.select(F.col("doc_id").alias(gone), F.col("text_hash").alias(gone_hash)).distinct()
+    out = docs.withColumn(own, text_hash(text_col))
+    out = out.join(maybe_broadcast(goes), F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(gone_hash)), "left_anti")
     if not small(marked.groupBy("doc_id", "text_hash").count().filter("count > 1"), 0):
-        out = out.dropDuplicates([id_col, "__own"])  # the same id and text more than once
-    return out.drop("__own")
+        out = out.dropDuplicates([id_col, own])  # the same id and text more than once
+    return out.drop(own)
