@@ -36,5 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
     for step in reversed(maps[:-1]):
         up = out.select(F.col("node").alias("to"), "_top")
         out = saved(step.join(up, "to", "left").select("node", F.coalesce("_top", "to").alias("_top")))
-    names = out.groupBy("_top").agg(F.min("node").alias("root"))
+    names = saved(out.groupBy("_top").agg(F.min("node").alias("root")))
     return out.join(names, "_top").select("node", "root")
