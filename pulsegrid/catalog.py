@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import clinical, clock, text, viewport
-from pulsegrid.operators import aggregates, joins, paging, rhythm, sets, validation, windows
+from pulsegrid.operators import aggregates, commands, joins, paging, projections, rhythm, sets, validation, windows
 from pulsegrid.operators import signal as sig
 from pulsegrid.operators.predicates import Page, device_search, live, patient_search, substring_search, tenant, tri_state
 from pulsegrid.plans import clinical as plans_clinical
 from pulsegrid.plans import dashboard, devices, patients, studies
+from pulsegrid.sources import signals, synthetic
 from pulsegrid.sources.bindings import AS_OF, DOMAIN_SQL, Domain
 from pulsegrid.streaming import ingest, status
 
@@ -379,7 +380,7 @@ def _(d: Domain) -> DataFrame:
     return timed(plans_clinical.audit_trail(d.audit, types=["LOGIN_FAILED", "LOGOUT"], start=datetime(2024, 1, 10), page=Page(50)).select("id", "user_id", "event_type", "created_at"))
 
 
-@query("c24_credits", "SELECT id, sum(amount) OVER (PARTITION BY device_id ORDER BY moment, id ROWS UNBOUNDED PRECEDING) AS balance, sum(amount) OVER (PARTITION BY device_id ORDER BY moment, id ROWS UNBOUNDED PRECEDING) <= 0 AS blocked FROM (SELECT *, CASE WHEN event_type = 'PVC' THEN 3 ELSE -1 END AS amount FROM event)")
+@query("c24_credits", "SELECT id, CAST(sum(amount) OVER (PARTITION BY device_id ORDER BY moment, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance, sum(amount) OVER (PARTITION BY device_id ORDER BY moment, id ROWS UNBOUNDED PRECEDING) <= 0 AS blocked FROM (SELECT *, CASE WHEN event_type = 'PVC' THEN 3 ELSE -1 END AS amount FROM event)")
 def _(d: Domain) -> DataFrame:
     rows = d.event.select("id", F.col("device_id").alias("account"), "at", F.when(F.col("event_type") == "PVC", 3).otherwise(-1).alias("amount"))
     return aggregates.credit_balance(rows).select("id", "balance", "blocked")
@@ -433,7 +434,7 @@ def _(d: Domain) -> DataFrame:
     return sig.time_range(rows, F.lit(0.04), F.lit(0.08), F.lit(250)).select("study_id", "i", F.col("v").cast("double").alias("v"))
 
 
-@query("w04_delta_decode", "SELECT id, sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY device_id ORDER BY number ROWS UNBOUNDED PRECEDING) AS sample FROM event")
+@query("w04_delta_decode", "SELECT id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY device_id ORDER BY number ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sample FROM event")
 def _(d: Domain) -> DataFrame:
     return windows.cumulative(d.event.withColumn("delta", F.floor("value")), "delta", "number", "device_id").select("id", "sample")
 
@@ -529,3 +530,90 @@ def _(d: Domain) -> DataFrame:
 @query("p17_labels", "SELECT s.id, CASE s.status WHEN 'in_progress' THEN 'En curso' WHEN 'completed' THEN 'Completado' WHEN 'scheduled' THEN 'Programado' END AS label, CASE s.status WHEN 'in_progress' THEN 'success' WHEN 'completed' THEN 'info' WHEN 'scheduled' THEN 'warning' END AS variant FROM study s")
 def _(d: Domain) -> DataFrame:
     return d.study.select("id", text.label(F.col("status"), text.STUDY_STATUS).alias("label"), text.label(F.col("status"), text.STUDY_STATUS, 1).alias("variant"))
+
+
+def _number(c: str) -> Column:
+    return F.regexp_extract(c, r"(\d+)$", 1).cast("int")
+
+
+def _commands(rows: DataFrame, kind: str, *, device: Column | None = None, patient: Column | None = None, doctor: Column | None = None) -> DataFrame:
+    null = F.lit(None).cast("string")
+    return rows.select(F.monotonically_increasing_id().alias("seq"), F.lit(kind).alias("kind"), F.lit(AS_OF).cast("timestamp").alias("at"), (null if doctor is None else doctor).alias("doctor_id"), (null if device is None else device).alias("device_id"), (null if patient is None else patient).alias("patient_id"), F.lit(None).cast("map<string,string>").alias("fields"))
+
+
+def _folded(d: Domain, cmds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return commands.fold(d.patient, d.device, cmds)
+
+
+@query("m03_delete_patients", """, gone AS (SELECT id FROM live_patient WHERE doctor_id = 'dr_1'), freed AS (SELECT d.id FROM live_device d JOIN gone g ON d.patient_id = g.id)
+SELECT d.id, CASE WHEN f.id IS NOT NULL THEN 'available' ELSE d.status END AS status, CASE WHEN f.id IS NULL THEN d.patient_id END AS patient_id FROM device d LEFT JOIN freed f ON d.id = f.id""")
+def _(d: Domain) -> DataFrame:
+    p = live(d.patient).filter("doctor_id = 'dr_1'")
+    return _folded(d, _commands(p, "delete_patient", patient=F.col("id"), doctor=F.col("doctor_id")))[1].select("id", "status", "patient_id")
+
+
+@query("m06_delete_devices", "SELECT id, CASE WHEN deleted_at IS NULL AND CAST(substr(id, 3) AS INTEGER) % 10 IN (0, 3) THEN 'retired' ELSE status END AS status, CASE WHEN deleted_at IS NULL AND CAST(substr(id, 3) AS INTEGER) % 10 IN (0, 3) THEN NULL ELSE patient_id END AS patient_id FROM device")
+def _(d: Domain) -> DataFrame:
+    rows = d.device.filter(_number("id") % 10 == 0).unionByName(d.device.filter(_number("id") % 10 == 3))
+    return _folded(d, _commands(rows, "delete_device", device=F.col("id")))[1].select("id", "status", "patient_id")
+
+
+@query("m08_unassign_rejects", "SELECT id AS device_id, CASE WHEN deleted_at IS NOT NULL THEN 'DEVICE_NOT_FOUND' ELSE 'DEVICE_RETIRED' END AS code FROM device WHERE deleted_at IS NOT NULL OR status = 'retired'")
+def _(d: Domain) -> DataFrame:
+    return _folded(d, _commands(d.device, "unassign", device=F.col("id")))[2].select("device_id", "code")
+
+
+@query("m13_acknowledged", f"SELECT id, (epoch_us(COALESCE(acknowledged_at, CASE WHEN CAST(substr(id, 3) AS INTEGER) % 2 = 0 THEN TIMESTAMP '{AS_OF}' END)) // 1000) AS acknowledged_at FROM alert")
+def _(d: Domain) -> DataFrame:
+    marks = d.alert.filter(_number("id") % 2 == 0).select(F.col("id").alias("alert_id"), F.lit("acknowledged").alias("kind"), F.lit(AS_OF).cast("timestamp").alias("at"), F.lit("dr_1").alias("doctor_id"))
+    return timed(commands.mark_alerts(d.alert, marks).select("id", "acknowledged_at"))
+
+
+@query("t06_deduplicated", "SELECT device_id, batch_timestamp FROM batch")
+def _(d: Domain) -> DataFrame:
+    rows = d.batch.withColumn("chunk_index", F.lit(None).cast("int"))
+    return ingest.deduplicated(ingest.timed(sets.bag(rows, rows.limit(100), rows))).select("device_id", "batch_timestamp")
+
+
+@query("t13_batch_states", "SELECT id, CASE num_samples % 3 WHEN 0 THEN 'DONE' WHEN 1 THEN 'FAILED' ELSE 'PENDING' END AS processing_status FROM batch")
+def _(d: Domain) -> DataFrame:
+    third = F.col("num_samples") % 3
+    results = d.batch.filter(third < 2).select("id", F.when(third == 0, "DONE").otherwise("FAILED").alias("processing_status"), F.when(third == 1, "x").alias("processing_error"))
+    return status.advance(d.batch, results).select("id", "processing_status")
+
+
+@query("p12_camel_case", "SELECT id, first_name AS firstName, study_status AS studyStatus FROM live_patient")
+def _(d: Domain) -> DataFrame:
+    return projections.to_camel(live(d.patient).select("id", "first_name", "study_status"))
+
+
+@query("g19_frames", ", h AS (SELECT number, substr(md5(id), 1, 18) AS f FROM event) SELECT number, upper(substr(f, 1, 6)) AS status, CAST(('0x' || substr(f, 7, 6)) AS BIGINT) - CASE WHEN CAST(('0x' || substr(f, 7, 6)) AS BIGINT) >= 8388608 THEN 16777216 ELSE 0 END AS ecg, CAST(('0x' || substr(f, 13, 6)) AS BIGINT) - CASE WHEN CAST(('0x' || substr(f, 13, 6)) AS BIGINT) >= 8388608 THEN 16777216 ELSE 0 END AS impedance FROM h")
+def _(d: Domain) -> DataFrame:
+    rows = d.event.select("number", F.unhex(F.substring(F.md5("id"), 1, 18)).alias("content"))
+    return signals.frames(rows).select("number", "status", "ecg", "impedance")
+
+
+@query("g14_microvolts", ", h AS (SELECT number, CAST(('0x' || substr(md5(id), 1, 6)) AS BIGINT) AS c FROM event) SELECT number, round((c - CASE WHEN c >= 8388608 THEN 16777216 ELSE 0 END) * 2.4e0 / (6 * 8388607) * 1e6, 2) AS microvolts FROM h")
+def _(d: Domain) -> DataFrame:
+    code = F.concat(F.lit("00"), F.substring(F.md5("id"), 1, 6))
+    return d.event.select("number", rounded(signals.microvolts(code), 2).alias("microvolts"))
+
+
+# Without an oracle: generated signals and what is found in them.
+
+
+@query("g15_synthetic_signal")
+def _(d: Domain) -> DataFrame:
+    some = live(d.study).orderBy("id").limit(4).select(F.col("id").alias("study_id"), clock.epoch_ms(F.col("started_at")).alias("start_ts_ms"))
+    return synthetic.signals(some, seconds=120).select("study_id", "sample_rate", "start_ts_ms", "chunk_index", F.size("samples").alias("n"))
+
+
+@query("g20_rhythm")
+def _(d: Domain) -> DataFrame:
+    some = live(d.study).orderBy("id").limit(4).select(F.col("id").alias("study_id"), clock.epoch_ms(F.col("started_at")).alias("start_ts_ms"))
+    return rhythm.hrv(rhythm.peaks(synthetic.signals(some, seconds=120)))
+
+
+@query("s07_synthetic_devices")
+def _(d: Domain) -> DataFrame:
+    return synthetic.devices(synthetic.patients(d.event.sparkSession, AS_OF), AS_OF)

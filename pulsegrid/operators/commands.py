@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.text import split_full_name
 from pulsegrid.operators.predicates import live
+from pulsegrid.sources.scratch import kept
 
 #: Reject codes.
 PATIENT_NOT_FOUND, DEVICE_NOT_FOUND, DNI_CONFLICT, INVALID_NAME, INVALID_FIELD = "PATIENT_NOT_FOUND", "DEVICE_NOT_FOUND", "DNI_CONFLICT", "INVALID_NAME", "INVALID_FIELD"
@@ -106,10 +107,10 @@ def _changed_patients(patients: DataFrame, done: DataFrame) -> DataFrame:
             out[column] = F.when((F.col("kind") == "update_patient") & sent(given), value).otherwise(F.col(column))
     out["deleted_at"] = F.when(F.col("kind") == "delete_patient", F.col("at")).otherwise(F.col("deleted_at"))
     out["updated_at"] = F.coalesce("at", "updated_at")
-    kept = _with_fields(rows, out)
+    old = _with_fields(rows, out)
     new = done.filter(F.col("kind") == "create_patient")
     fresh = {"id": F.col("patient_id"), "doctor_id": F.col("doctor_id"), "created_at": F.col("at"), "updated_at": F.col("at"), "medical_record_num": field("dni"), "dni": field("dni"), "first_name": name["first"], "last_name": name["last"], "date_of_birth": field("birth_date").cast("date"), "sex": F.coalesce(field("sex"), F.lit("X")), "study_status": F.lit("none"), "email": field("contact_email"), "phone": field("contact_phone")}
-    return kept.unionByName(_with_fields(new, {f.name: fresh.get(f.name, F.lit(None)).cast(f.dataType) for f in patients.schema}))
+    return old.unionByName(_with_fields(new, {f.name: fresh.get(f.name, F.lit(None)).cast(f.dataType) for f in patients.schema}))
 
 
 def _changed_devices(devices: DataFrame, done: DataFrame) -> DataFrame:
@@ -123,23 +124,22 @@ def _changed_devices(devices: DataFrame, done: DataFrame) -> DataFrame:
     out["model"] = F.when((kind == "update_device") & sent("model"), field("model")).otherwise(F.col("model"))
     out["firmware_version"] = F.when((kind == "update_device") & sent("firmware_version"), field("firmware_version")).otherwise(F.col("firmware_version"))
     out["updated_at"] = F.coalesce("_gone_at", "at", "updated_at")
-    kept = _with_fields(rows, out)
+    old = _with_fields(rows, out)
     new = done.filter(F.col("kind") == "create_device")
     fresh = {"id": F.col("device_id"), "created_at": F.col("at"), "updated_at": F.col("at"), "serial_number": field("serial"), "model": field("model"), "firmware_version": field("firmware_version"), "api_key_hash": field("api_key_hash"), "status": F.lit("available")}
-    return kept.unionByName(_with_fields(new, {f.name: fresh.get(f.name, F.lit(None)).cast(f.dataType) for f in devices.schema}))
+    return old.unionByName(_with_fields(new, {f.name: fresh.get(f.name, F.lit(None)).cast(f.dataType) for f in devices.schema}))
 
 
-def fold(patients: DataFrame, devices: DataFrame, commands: DataFrame, *, checkpoint: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(patients, devices, rejects with ``code``) after all commands; rounds are cut off by checkpoints where a folder is set."""
-    keep = (lambda df: df.checkpoint()) if checkpoint and patients.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.cache())
-    pending, rejects = keep(commands), None
+def fold(patients: DataFrame, devices: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(patients, devices, rejects with ``code``) after all commands; each round is cut off by saved tables."""
+    pending, rejects = kept(commands), None
     while not pending.isEmpty():
-        now = keep(_judged(_ready(pending, patients, devices), patients, devices))
+        now = kept(_judged(_ready(pending, patients, devices), patients, devices))
         done = now.filter(F.col("code").isNull())
         bad = now.filter(F.col("code").isNotNull())
         rejects = bad if rejects is None else rejects.unionByName(bad)
-        patients, devices = keep(_changed_patients(patients, done)), keep(_changed_devices(devices, done))
-        pending = keep(pending.join(now.select("seq"), "seq", "left_anti"))
+        patients, devices = kept(_changed_patients(patients, done)), kept(_changed_devices(devices, done))
+        pending = kept(pending.join(now.select("seq"), "seq", "left_anti"))
     if rejects is None:
         rejects = commands.withColumn("code", F.lit(None).cast("string")).limit(0)
     return patients, devices, rejects

@@ -47,7 +47,7 @@ def decode_float32(blobs: DataFrame, key: str, *, most: int = CHUNK) -> DataFram
 
 def decode_payload(data: str, channels: int, compression: str) -> np.ndarray:
     """[sample, channel] of one base64 payload: 16-bit little-endian deltas, or raw samples, row-major over channels."""
-    values = np.frombuffer(base64.b64decode(data), dtype="<i2").reshape(-1, channels).astype(np.int64)
+    values = np.frombuffer(base64.b64decode(data, validate=True), dtype="<i2").reshape(-1, channels).astype(np.int64)
     return (values if compression == "raw" else np.cumsum(values, axis=0)).astype(np.float32)
 
 

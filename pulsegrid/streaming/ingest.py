@@ -62,19 +62,22 @@ def _gathered(chunks: DataFrame) -> DataFrame:
 def write_stream(batches: DataFrame, path: str, checkpoint: str, *, repair_path: str | None = None, late_hours: int = 48, every: str | None = None):
     """Append deduplicated batches by device and day.
 
-    With ``repair_path``, rows older than ``late_hours`` before the newest seen in a micro-batch go there instead of
-    being dropped by the watermark.  ``every`` is a processing-time trigger; without it, all that is there is read once.
+    With ``repair_path``, rows older than ``late_hours`` before the newest of their micro-batch go there instead of being
+    dropped by the watermark, and rows that are stored already are left out by their keys, so that a repeated
+    micro-batch stores nothing twice.  ``every`` is a processing-time trigger; without it, all that is there is read once.
     """
     rows = timed(batches)
     if repair_path is not None:
 
         def split(df: DataFrame, _: int) -> None:
             df = df.persist()
-            old = F.col("event_time") < F.col("_newest") - F.expr(f"INTERVAL {late_hours} HOURS")
-            newest = df.agg(F.max("event_time").alias("_newest"))
-            marked = df.crossJoin(F.broadcast(newest))  # one row
-            marked.filter(old).drop("_newest").write.mode("append").parquet(repair_path)
-            deduplicated(marked.filter(~old).drop("_newest")).withColumn("date", F.to_date("event_time")).write.mode("append").partitionBy("device_id", "date").parquet(path)
+            newest = df.agg(F.max("event_time")).first()[0]
+            old = F.col("event_time") < F.lit(newest) - F.expr(f"INTERVAL {late_hours} HOURS")
+            df.filter(old).write.mode("append").parquet(repair_path)
+            new = deduplicated(df.filter(~old)).withColumn("date", F.to_date("event_time"))
+            if _exists(df.sparkSession, path):
+                new = new.join(df.sparkSession.read.schema(new.schema).parquet(path).select(*KEY, "date", "chunk_index"), [*KEY, "date", "chunk_index"], "left_anti")
+            new.write.mode("append").partitionBy("device_id", "date").parquet(path)
             df.unpersist()
 
         writer = rows.writeStream.foreachBatch(split)
@@ -85,6 +88,11 @@ def write_stream(batches: DataFrame, path: str, checkpoint: str, *, repair_path:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def repair(stored: DataFrame, late: DataFrame) -> DataFrame:
     """Rows of the repair path that are not stored yet, each once."""
     late = deduplicated(late)

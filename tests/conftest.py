@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
 
     s = SparkSession.builder.master("local[4]").appName("tests").config(
         map={
-            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "3g", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false",
+            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "3g", "spark.sql.session.timeZone": "UTC", "spark.sql.maxMetadataStringLength": "2000", "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.dir": "file://" + str(tmp_path_factory.mktemp("shared")), "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         }
     ).getOrCreate()

@@ -32,6 +32,9 @@ def plain(v):
 def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     got = sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
+    if name not in catalog.oracle_sql():
+        assert got
+        return
     rel = duck.sql(catalog.oracle_sql()[name])
     order = sorted(range(len(rel.columns)), key=lambda i: rel.columns[i])
     assert sorted(rel.columns) == sorted(df.columns)

