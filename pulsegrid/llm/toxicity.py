@@ -91,10 +91,12 @@ def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, least_docs
         ids, counts = np.unique(np.concatenate([h for h, _ in ngrams([t])]), return_counts=True)
         seen[ids] += 1
         rows.append((ids, (GAIN * counts / max(counts.sum(), 1)).astype(np.float32)))
-    rows = [(ids[keep], x[keep]) for ids, x in rows for keep in [seen[ids] >= least_docs]]
+    active = np.flatnonzero(seen >= least_docs)
+    place = np.full(BUCKETS, -1, dtype=np.int64)
+    place[active] = np.arange(len(active))
+    rows = [(place[ids[keep]], x[keep]) for ids, x in rows for keep in [seen[ids] >= least_docs]]
     random = np.random.default_rng(seed)
-    table = random.normal(0, 0.02, (BUCKETS, WIDTH)).astype(np.float32)
-    table[seen < least_docs] = 0
+    table = random.normal(0, 0.02, (len(active), WIDTH)).astype(np.float32)
     softmax = random.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.array([0.0, np.log(share / (1 - share))], dtype=np.float32)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, softmax, bias)]
@@ -105,25 +107,24 @@ def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, least_docs
     for epoch in range(epochs):
         for some in np.array_split(random.permutation(len(rows)), batches):
             step += 1
-            sizes = np.array([len(rows[i][0]) for i in some])
             ids, x = (np.concatenate([rows[i][k] for i in some]) for k in (0, 1))
-            used, back = np.unique(ids, return_inverse=True)
-            doc = np.repeat(np.arange(len(some)), sizes)
-            vectors = table[used]
-            mean = np.stack([np.bincount(doc, x * vectors[back, k], len(some)) for k in range(WIDTH)], axis=1).astype(np.float32)
+            doc = np.repeat(np.arange(len(some)), [len(rows[i][0]) for i in some])
+            mean = np.stack([np.bincount(doc, x * table[ids, k], len(some)) for k in range(WIDTH)], axis=1).astype(np.float32)
             z = mean @ softmax + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             d = (p - y[some]) * scale[some, None] / len(some)
             inner = d @ softmax.T
-            grad = np.stack([np.bincount(back, x * inner[doc, k], len(used)) for k in range(WIDTH)], axis=1).astype(np.float32)
-            grad += decay * vectors
+            grad = np.stack([np.bincount(ids, x * inner[doc, k], len(active)) for k in range(WIDTH)], axis=1).astype(np.float32)
+            grad += decay * table
             pace = rate * (1 - epoch / epochs)
-            for value, g, (m, v), rows_of in ((table, grad, state[0], used), (softmax, mean.T @ d, state[1], slice(None)), (bias, d.sum(axis=0), state[2], slice(None))):
-                m[rows_of] = 0.9 * m[rows_of] + 0.1 * g
-                v[rows_of] = 0.99 * v[rows_of] + 0.01 * g * g
-                value[rows_of] -= pace * (m[rows_of] / (1 - 0.9**step)) / (np.sqrt(v[rows_of] / (1 - 0.99**step)) + 1e-6)
-    return Bag((GAIN * (table @ (softmax[:, 1] - softmax[:, 0]))).astype(np.float32), float(bias[1] - bias[0]))
+            for value, g, (m, v) in ((table, grad, state[0]), (softmax, mean.T @ d, state[1]), (bias, d.sum(axis=0), state[2])):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                value -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    weights = np.zeros(BUCKETS, dtype=np.float32)
+    weights[active] = GAIN * (table @ (softmax[:, 1] - softmax[:, 0]))
+    return Bag(weights, float(bias[1] - bias[0]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", toxic_docs: int = 1500, clean_docs: int = 3000, sample_chars: int = 50_000) -> Bag:
