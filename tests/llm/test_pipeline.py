@@ -58,7 +58,7 @@ def test_the_rest_works_without(tmp_path):
     """Without the subpackage, its tests and the pipeline, the entry point imports and lists the other queries."""
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", "spark-warehouse"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) == set(q); import sys; assert not any('llm' in m for m in sys.modules)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) < set(q); import sys; assert not any('llm' in m for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, timeout=120)
 
 
