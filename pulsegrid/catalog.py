@@ -451,6 +451,15 @@ def _(d: Domain) -> DataFrame:
     return windows.baseline_drift(rows, "device_id").select("device_id", F.col("night").cast("string").alias("night"), rounded(F.col("mean")).alias("mean"), rounded(F.col("drift")).alias("drift"))
 
 
+_DRIFT = ", n AS (SELECT device_id, CAST(moment AS DATE) AS night, avg(value) AS mean FROM event GROUP BY ALL) SELECT device_id, CAST(night AS VARCHAR) AS night, round(mean, 8) AS mean, round(mean - avg(mean) OVER (PARTITION BY device_id ORDER BY night ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 8) AS drift FROM n"
+
+
+@query("w08_baseline_drift_all", _DRIFT)
+def _(d: Domain) -> DataFrame:
+    rows = d.event.withColumn("night", F.to_date("at"))
+    return windows.baseline_drift(rows, "device_id").select("device_id", F.col("night").cast("string").alias("night"), rounded(F.col("mean"), 8).alias("mean"), rounded(F.col("drift"), 8).alias("drift"))
+
+
 @query("x01_names", "SELECT id, concat(first_name, ' ', NULL, last_name) AS whole, trim(first_name || ' ' || last_name) AS full_name, upper(left(first_name, 1)) || upper(left(last_name, 1)) AS initials, split_part(email, '@', 1) AS mail_name, sha256(medical_record_num) AS hashed FROM patient")
 def _(d: Domain) -> DataFrame:
     return d.patient.select("id", text.concat_skip_null(F.col("first_name"), F.lit(" "), F.lit(None).cast("string"), F.col("last_name")).alias("whole"), text.full_name(F.col("first_name"), F.col("last_name")).alias("full_name"), text.initials(F.concat_ws(" ", "first_name", "last_name")).alias("initials"), text.email_name(F.col("email")).alias("mail_name"), text.key_hash(F.col("medical_record_num")).alias("hashed"))
