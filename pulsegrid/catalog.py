@@ -6,6 +6,7 @@ Times are given as epoch milliseconds and rounded doubles at four digits, so tha
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -611,16 +612,23 @@ def _(d: Domain) -> DataFrame:
 # Without an oracle: generated signals and what is found in them.
 
 
+SECONDS, RATE = 120, 250
+
+
+def _recorded(d: Domain) -> DataFrame:
+    """Every live study; dealt out, as each row stands for much work."""
+    rows = live(d.study).select(F.col("id").alias("study_id"), clock.epoch_ms(F.col("started_at")).alias("start_ts_ms"))
+    return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "study_id")
+
+
 @query("g15_synthetic_signal")
 def _(d: Domain) -> DataFrame:
-    some = live(d.study).orderBy("id").limit(4).select(F.col("id").alias("study_id"), clock.epoch_ms(F.col("started_at")).alias("start_ts_ms"))
-    return synthetic.signals(some, seconds=120).select("study_id", "sample_rate", "start_ts_ms", "chunk_index", F.size("samples").alias("n"))
+    return synthetic.signals(_recorded(d), seconds=SECONDS, rate=RATE).select("study_id", "sample_rate", "start_ts_ms", "chunk_index", F.size("samples").alias("n"))
 
 
 @query("g20_rhythm")
 def _(d: Domain) -> DataFrame:
-    some = live(d.study).orderBy("id").limit(4).select(F.col("id").alias("study_id"), clock.epoch_ms(F.col("started_at")).alias("start_ts_ms"))
-    return rhythm.hrv(rhythm.peaks(synthetic.signals(some, seconds=120)))
+    return rhythm.hrv(rhythm.peaks_of(_recorded(d), partial(synthetic.ecg, seconds=SECONDS, rate=RATE), RATE))
 
 
 @query("s07_synthetic_devices")

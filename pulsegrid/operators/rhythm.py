@@ -6,7 +6,7 @@ detector (a published derivative-square-integrate method), and no rule at all fo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,9 +50,9 @@ def detect_peaks(signal: np.ndarray, rate: int) -> np.ndarray:
     high, noise = float(np.quantile(energy, 0.98)), float(np.median(energy))
     found: list[int] = []
     refractory, reach = int(0.2 * rate), int(0.1 * rate)
-    for i in local:
-        if energy[i] > noise + 0.25 * (high - noise):
-            high = 0.875 * high + 0.125 * energy[i]
+    for i, e in zip(local.tolist(), energy[local].tolist(), strict=True):
+        if e > noise + 0.25 * (high - noise):
+            high = 0.875 * high + 0.125 * e
             lo = max(0, i - reach)
             peak = lo + int(np.argmax(clean[lo : i + reach + 1]))
             if found and peak - found[-1] < refractory:
@@ -61,7 +61,7 @@ def detect_peaks(signal: np.ndarray, rate: int) -> np.ndarray:
             else:
                 found.append(peak)
         else:
-            noise = 0.875 * noise + 0.125 * energy[i]
+            noise = 0.875 * noise + 0.125 * e
     return np.array(found, dtype=np.int64)
 
 
@@ -80,6 +80,19 @@ def peaks(chunks: DataFrame, key: str = "study_id") -> DataFrame:
     return rows.groupBy("key").applyInArrow(run, "key string, i bigint, t_ms double, amplitude double").withColumnRenamed("key", key)
 
 
+def peaks_of(rows: DataFrame, signal: Callable[[str], np.ndarray], rate: int, key: str = "study_id") -> DataFrame:
+    """As ``peaks``, for signals that a function makes from their key: no sample moves or is stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                made = signal(k)
+                at = detect_peaks(made, rate)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at), pa.array(at * 1000.0 / rate), pa.array(made[at].astype(np.float64))], names=[key, "i", "t_ms", "amplitude"])
+
+    return rows.select(F.col(key).cast("string").alias(key)).mapInArrow(run, f"`{key}` string, i bigint, t_ms double, amplitude double")
+
+
 def hrv(beats: DataFrame, key: str = "study_id") -> DataFrame:
     """SDNN, RMSSD, and mean, least and greatest heart rate; the mean is 60000 over the mean interval."""
     return session_summary(rr_intervals(beats, key), (key,))
