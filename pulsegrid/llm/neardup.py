@@ -71,11 +71,12 @@ class Shingles:
     def node(self, own: np.ndarray) -> str:
         return xxhash.xxh3_128_hexdigest(own.tobytes())
 
-    def fingerprint(self, sequence: np.ndarray) -> int:
+    def fingerprint(self, own: np.ndarray) -> int:
+        """Each distinct shingle votes once, so that similar sets have similar fingerprints however often a stretch is repeated."""
         votes = np.zeros(64, dtype=np.int64)
-        for i in range(0, len(sequence), 1 << 14):
-            votes += np.unpackbits(sequence[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        return int(np.packbits(votes * 2 > len(sequence), bitorder="little").view("<i8")[0])
+        for i in range(0, len(own), 1 << 14):
+            votes += np.unpackbits(own[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        return int(np.packbits(votes * 2 > len(own), bitorder="little").view("<i8")[0])
 
     def bands(self, own: np.ndarray) -> list[int]:
         if not len(own):
@@ -96,10 +97,9 @@ def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part in slices(batch):
                 nodes, fps, bands = [], [], []
                 for t in texts(part):
-                    sequence = made.sequence(t)
-                    own = np.unique(sequence)
+                    own = made.set_of(t)
                     nodes.append(made.node(own))
-                    fps.append(made.fingerprint(sequence))
+                    fps.append(made.fingerprint(own))
                     bands.append(made.bands(own))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "fp", "bands"])
 
