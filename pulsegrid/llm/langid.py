@@ -231,9 +231,13 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_languages(docs: DataFrame, accepted: tuple[str, ...] | None = None, *, text_col: str = "text") -> DataFrame:
     """The documents whose predicted language is accepted (by default any that can be learned); columns stay as they are.
 
-    A text without a letter has no language and is rejected.
+    A text without a letter has no language and is rejected.  Where nothing can be learned and no language is named, all
+    documents stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    parser = learn(docs)
+    if accepted is None and not parser.languages:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(parser)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
