@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -20,32 +21,40 @@ def tokens(t):
 
 
 class Plain:
-    """The same model in dictionaries."""
+    """The same model in dictionaries, any order: n-grams as tuples."""
 
-    def __init__(self, texts):
-        self.c, self.b = Counter(), Counter()
+    def __init__(self, texts, order=2):
+        self.order, self.c = order, Counter()
+        level = Counter()
         for t in texts:
             w = tokens(t)
             self.c.update(w)
-            self.b.update(zip(["<s>", *w[:-1]], w, strict=True))
+            padded = ["<s>"] * (order - 1) + w
+            level.update(tuple(padded[i : i + order]) for i in range(len(w)))
         self.n, self.v = sum(self.c.values()), len(self.c)
-        self.d = [0.0, *kneserney.discounts([Counter(self.b.values())[i] for i in (1, 2, 3, 4)])]
-        self.seen = Counter(w for _, w in self.b)
-        self.e = [0.0, *kneserney.discounts([Counter(self.seen.values())[i] for i in (1, 2, 3, 4)])]
-        self.total, self.kinds = Counter(), defaultdict(Counter)
-        for (u, _), k in self.b.items():
-            self.total[u] += k
-            self.kinds[u][min(k, 3)] += 1
-        self.rest = sum(self.e[min(s, 3)] for s in self.seen.values()) / max(len(self.b), 1)
-
-    def lower(self, w):
-        return max(self.seen[w] - self.e[min(self.seen[w], 3)], 0) / max(len(self.b), 1) + self.rest / (self.v + 1)
-
-    def p(self, u, w):
-        if not self.total[u]:
-            return self.lower(w)
-        k = self.b[u, w]
-        return (k - self.d[min(k, 3)]) / self.total[u] + sum(self.d[i] * self.kinds[u][i] for i in (1, 2, 3)) / self.total[u] * self.lower(w)
+        self.counts, self.d, self.total, self.kinds = {}, {}, {}, {}
+        for k in range(order, 0, -1):
+            self.counts[k] = level
+            self.d[k] = [0.0, *kneserney.discounts([Counter(level.values())[i] for i in (1, 2, 3, 4)])]
+            self.total[k], self.kinds[k] = Counter(), defaultdict(Counter)
+            for g, n in level.items():
+                self.total[k][g[:-1]] += n
+                self.kinds[k][g[:-1]][min(n, 3)] += 1
+            level = Counter(g[1:] for g in level)
+
+    def p(self, gram):
+        if not gram:
+            return 1 / (self.v + 1)
+        k, u = len(gram), gram[:-1]
+        if not self.total[k][u]:
+            return self.p(gram[1:])
+        n, d = self.counts[k][gram], self.d[k]
+        return (n - d[min(n, 3)]) / self.total[k][u] + sum(d[i] * self.kinds[k][u][i] for i in (1, 2, 3)) / self.total[k][u] * self.p(gram[1:])
+
+    def logs(self, t):
+        w = tokens(t)
+        padded = ["<s>"] * (self.order - 1) + w
+        return sum(math.log10(self.p(tuple(padded[i : i + self.order]))) for i in range(len(w)))
 
 
 def lm_docs(spark, n=150):
@@ -58,29 +67,52 @@ def test_model_against_dictionaries(spark, tmp_path):
     rows = lm_docs(spark)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7
-    plain = Plain([t for d, t in rows if fold(d) != 2])
+    plain = Plain([t for d, t in rows if fold(d) != 2], kneserney.QUERY_ORDER)
     want = []
     for d, t in rows:
         w = tokens(t)
-        want.append((d is None, d or 0, fold(d) == 2, len(w), sum(plain.c[x] > 0 for x in w), plain.n, sum(math.log10((plain.c[x] + 1) / (plain.n + plain.v + 1)) for x in w), sum(math.log10(plain.p(u, x)) for u, x in zip(["<s>", *w[:-1]], w, strict=True))))
+        want.append((d is None, d or 0, fold(d) == 2, len(w), sum(plain.c[x] > 0 for x in w), plain.n, sum(math.log10((plain.c[x] + 1) / (plain.n + plain.v + 1)) for x in w), plain.logs(t)))
     got = [(r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in kneserney.op5_kneser_ney(spark, tables(tmp_path, spark, documents=docs)).collect()]
     for a, b in zip(sorted(got), sorted(want), strict=True):
         assert a[:6] == b[:6] and a[6:] == pytest.approx(b[6:], rel=1e-9)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_every_order(spark, order):
+    rows = lm_docs(spark, 80)
+    learned, docs = rows[:60] * 2, spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = Plain([t for _, t in learned], order)
+    model = kneserney.train(spark.createDataFrame(learned, docs.schema).repartition(3), order=order, run_tokens=300)
+    assert model.grams == tuple(len(plain.counts[k]) for k in range(1, order + 1))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in kneserney.score(docs, model).collect())
+    want = sorted((d is None, d or 0, len(tokens(t)), plain.logs(t)) for d, t in rows)
+    assert all(a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9) for a, b in zip(got, want, strict=True))
+
+
 def test_probabilities_sum_to_one(spark):
-    rows = lm_docs(spark)
-    plain = Plain([t for _, t in rows])
-    for u in ["<s>", b"w1", b"w2", b"never"]:
-        assert sum(plain.p(u, w) for w in plain.c) + plain.p(u, b"unknown") == pytest.approx(1)
+    for order in (1, 2, 3):
+        plain = Plain([t for _, t in lm_docs(spark)], order)
+        for u in [("<s>", "<s>"), ("<s>", b"w1"), (b"w1", b"w2"), (b"never", b"w1")]:
+            u = u[3 - order :]
+            assert sum(plain.p((*u, *w)) for w in plain.counts[1]) + plain.p((*u, b"unknown")) == pytest.approx(1)
 
 
-def test_runs_do_not_change_the_model(spark):
+def test_runs_and_shards_do_not_change_the_model(spark):
     docs = spark.createDataFrame(lm_docs(spark), "doc_id bigint, text string").repartition(3)
-    a, b = kneserney.train(docs), kneserney.train(docs, run_tokens=50)
-    assert (a.tokens, a.vocabulary, a.pairs, a.pair_discounts, a.word_discounts, a.word_rest) == (b.tokens, b.vocabulary, b.pairs, b.pair_discounts, b.word_discounts, b.word_rest)
-    one, two = (sorted(map(str, kneserney.score(docs, m).collect())) for m in (a, b))
-    assert one == two
+    a, b, c = kneserney.train(docs), kneserney.train(docs, run_tokens=50), kneserney.train(docs, shard_bytes=512)
+    assert a.shards == b.shards < c.shards
+    assert len({(m.tokens, m.grams, m.discounts, m.word_total, m.word_rest) for m in (a, b, c)}) == 1
+    one, two, three = (sorted(map(str, kneserney.score(docs, m).collect())) for m in (a, b, c))
+    assert one == two == three
+
+
+def test_a_missing_or_short_file_is_an_error(spark):
+    docs = spark.createDataFrame(lm_docs(spark), "doc_id bigint, text string")
+    for damage in (os.remove, lambda f: os.truncate(f, os.path.getsize(f) - 8)):
+        model = kneserney.train(docs)
+        damage(f"{model.folder}/gram-2-1")
+        with pytest.raises(Exception, match="of the language model is (gone|damaged)"):
+            kneserney.score(docs, model).collect()
 
 
 def test_lm_odd(spark, odd, none, tmp_path):
