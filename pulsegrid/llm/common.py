@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -24,9 +25,11 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_uri(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests, local mode)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local mode only)."""
     uri = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not uri:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         uri = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(uri)
     return uri
@@ -69,6 +72,11 @@ def _scratch(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name below the application's own."""
+    return f"{_scratch(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table written to the shared folder; survives the loss of any executor.
 

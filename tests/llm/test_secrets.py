@@ -1,9 +1,12 @@
 import hashlib
 import random
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import secrets
 from tests.llm.conftest import tables
@@ -47,18 +50,67 @@ def test_counted_patterns_are_the_same(a, h):
     assert [m.span() for m in re.finditer(secrets.HEX, h)] == [m.span() for m in re.finditer("[0-9a-f]+", h) if len(m[0]) >= 24]
 
 
-def test_ledger(spark):
+def test_ledger(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    entries = lambda: spark.read.parquet(folder).count()
     old = spark.createDataFrame([("v1", "token = abcdef12"), ("v2", "nothing"), ("v3", "token = abcdef12")], "path string, text string")
-    found, ledger = secrets.scan(old, id_col="path")
-    assert ledger.count() == 2 and {r["doc_id"]: len(r["spans"]) for r in found.collect()} == {"v1": 1, "v2": 0, "v3": 1}
+    found = secrets.scan_into(old, folder, id_col="path")
+    assert entries() == 2 and {r["doc_id"]: len(r["spans"]) for r in found.collect()} == {"v1": 1, "v2": 0, "v3": 1}
+    assert secrets.scan_into(old, folder, id_col="path").count() == 3 and entries() == 2  # no blob is scanned again
     new = spark.createDataFrame([("v1", "token = abcdef12"), ("v4", "secret: zyxwvut"), ("v5", "nothing")], "path string, text string")
-    found, fresh = secrets.scan(new, ledger, id_col="path")
-    assert fresh.count() == 1  # only the blob that is new
+    found = secrets.scan_into(new, folder, id_col="path")
+    assert entries() == 3  # only the blob that is new
     assert {r["doc_id"]: len(r["spans"]) for r in found.collect()} == {"v1": 1, "v4": 1, "v5": 0}
-    stale = ledger.selectExpr("blob", "rule_version - 1 as rule_version", "spans")
+    stale = spark.read.parquet(folder).selectExpr("blob", "rule_version - 1 as rule_version", "spans")
     assert secrets.scan(new, stale, id_col="path")[1].count() == 3
 
 
+def test_the_query_keeps_a_ledger_where_one_is_named(spark, odd, tmp_path):
+    folder, name = tables(tmp_path, spark, documents=odd), f"file://{tmp_path}/kept"
+    plain = sorted(map(str, secrets.op4_secrets(spark, folder).collect()))
+    spark.conf.set(secrets.LEDGER_SETTING, name)
+    try:
+        for _ in range(2):
+            assert sorted(map(str, secrets.op4_secrets(spark, folder).collect())) == plain
+        ledger = spark.read.parquet(name)
+        assert ledger.count() == ledger.select("blob").distinct().count() == odd.select(F.coalesce("text", F.lit(""))).distinct().count()
+    finally:
+        spark.conf.unset(secrets.LEDGER_SETTING)
+
+
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_texts_move_or_stay(spark, odd, rows, monkeypatch):
+    monkeypatch.setattr(secrets, "small", lambda df, *_: df.count() <= rows)
+    base = odd.unionByName(odd)
+    known, fresh = secrets.scan(base)
+    assert known.count() == base.count() and fresh.count() == odd.select(F.coalesce("text", F.lit(""))).distinct().count()
+    ledger = spark.createDataFrame(fresh.limit(3).collect(), secrets.LEDGER)
+    assert secrets.scan(base, ledger)[1].count() == fresh.count() - 3
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    def seconds(*texts):
+        df = spark.createDataFrame([(t,) for t in texts], "text string")
+        began = time.monotonic()
+        sizes = [len(r[0]) for r in df.select(secrets.spans_of(F.col("text"))).collect()]
+        return time.monotonic() - began, sizes
+
+    seconds("password=abcdef12 eyJ :// gh AKIA -----BEGIN ")
+    for run in ("a", "z", "eyJ", "A", "AKIA", "-----BEGIN ", "ghp_", "password ", "a.", "://", "eyJaaaaaaaaaaa.", "x://y:"):
+        took, _ = seconds(run * (1_000_000 // len(run)))
+        assert took < 4, (run, took)
+    many = "token=abcdef12 é "
+    took, sizes = seconds(many * 100_000)
+    assert took < 15 and sizes == [100_000]
+
+
+def test_positions_of_many_matches(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice(["token=abcdef12 ", "é" * rng.randrange(9), "token=ab ", "𝔘 "]) for _ in range(5000))
+    got = spark.createDataFrame([(text,)], "text string").select(secrets.spans_of(F.col("text")).alias("s")).first()["s"]
+    assert [(x["start"], x["rank"], x["kind"], x["end"]) for x in got] == base(text)
+
+
 def test_odd_tables(spark, odd, none, tmp_path):
     rows = secrets.op4_secrets(spark, tables(tmp_path / "a", spark, documents=odd)).collect()
     assert len(rows) == odd.count() and sum(r["n_assign"] for r in rows) == 1 and sum(r["n_hex"] for r in rows) == 1
