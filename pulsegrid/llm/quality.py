@@ -5,8 +5,10 @@ non-negative unbiased risk of Kiryo et al. (2017) with the logistic loss,
 
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]),
 
-and takes gradient steps that raise the second term whenever it falls below zero.  The class prior is estimated from
-the labelled rows of the training fold (the share of good ones), or given.
+and takes gradient steps that raise the second term whenever it falls below zero.  The class prior is given, or
+estimated from positives and unlabelled texts alone, as by Garg et al. (2021): of a classifier of one against the other,
+the share of unlabelled texts above a score is at least the prior times that of positives; the score where this bound,
+with its error, is lowest gives the prior.  Each half of the sample is scored by a classifier of the other half.
 
 Features describe the form of a text, in any language: log frequencies of pairs of character classes, and how often
 words and word triples repeat.  The model is linear in them.
@@ -16,7 +18,8 @@ ids; the bound is a parameter and does not grow with the corpus.  Every whole te
 
 Defined cases: a null text is empty; an empty text has the features of no pair at all and gets a score like any other;
 without positives, or without documents, every score is the prior (0.5 where that is unknown); labels that are null are
-not used; repeated label rows count once; an empty table gives an empty result; further columns are ignored.
+not used; repeated label rows count once, ids labelled both ways are no positives; of an id with several texts the
+smallest is learned from; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import fold, slices, table, texts
-from pulsegrid.llm.labelled import sample_ids, with_texts
+from pulsegrid.llm.common import fold, id_text, slices, table, texts
+from pulsegrid.llm.labelled import agreed, sample_ids, with_texts
 
 SAMPLE = 6000
 THRESHOLD = 0.3
@@ -79,45 +82,80 @@ class Linear:
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
+def risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(risk of positives, unbiased risk of negatives, their gradients by the weights); the last column of the rows is one."""
+    zp, zu = positive @ w, unlabelled @ w
+    sp, su = 1 / (1 + np.exp(-zp.clip(-30, 30))), 1 / (1 + np.exp(-zu.clip(-30, 30)))
+    # loss(-) = log(1 + e^z) has derivative s, loss(+) = log(1 + e^-z) has derivative s - 1
+    good = prior * (positive.T @ (sp - 1)) / len(positive)
+    bad = (unlabelled.T @ su) / len(unlabelled) - prior * (positive.T @ sp) / len(positive)
+    return float(prior * np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()), good, bad
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 500, rate: float = 0.03, decay: float = 1e-3) -> Linear:
     """Minimise the non-negative unbiased risk by Adam over all rows."""
     if not len(positive) or not len(unlabelled):
         return Linear(np.zeros(DIMENSIONS), np.ones(DIMENSIONS), np.zeros(DIMENSIONS), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0)
     both = np.concatenate((positive, unlabelled)).astype(np.float64)
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (((x - mean) / scale).clip(-8, 8) for x in (positive, unlabelled))
     w = np.zeros(DIMENSIONS + 1)
-    p, u = (np.concatenate((x, np.ones((len(x), 1))), axis=1) for x in (p, u))
+    p, u = (np.concatenate((((x - mean) / scale).clip(-8, 8), np.ones((len(x), 1))), axis=1) for x in (positive, unlabelled))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        sp, su = 1 / (1 + np.exp(-zp.clip(-30, 30))), 1 / (1 + np.exp(-zu.clip(-30, 30)))
-        # loss(-) = log(1 + e^z) has derivative s, loss(+) = log(1 + e^-z) has derivative s - 1
-        good = prior * (p.T @ (sp - 1)) / len(p)
-        bad = (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
-        risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g = (good + bad if risk >= 0 else -bad) + decay * np.append(w[:-1], 0)
+        _, negative, good, bad = risk(w, p, u, prior)
+        g = (good + bad if negative >= 0 else -bad) + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Linear(mean, scale, w[:-1], float(w[-1]))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 200) -> float:
+    """The share of positives among the unlabelled; 0.5 where either has fewer than two rows."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        model = _apart(positive[k::2], unlabelled[k::2], steps)
+        p, u = (np.sort(model.scores(x)) for x in (positive[1 - k :: 2], unlabelled[1 - k :: 2]))
+        cuts = p[:-1] if len(p) > 1 else p
+        above_p, above_u = (1 - np.searchsorted(x, cuts, side="left") / len(x) for x in (p, u))
+        error = np.sqrt(np.log(40) / (2 * len(u))) + np.sqrt(np.log(40) / (2 * len(p)))
+        best = int(np.argmin(above_u / above_p + 1.01 * error / above_p))
+        found.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(found), 0.02, 0.98))
+
+
+def _apart(positive: np.ndarray, unlabelled: np.ndarray, steps: int) -> Linear:
+    """A plain logistic classifier of positives against unlabelled rows, each with half of the weight."""
+    both = np.concatenate((positive, unlabelled)).astype(np.float64)
+    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+    x = np.concatenate((((both - mean) / scale).clip(-8, 8), np.ones((len(both), 1))), axis=1)
+    y = np.repeat([1.0, 0.0], [len(positive), len(unlabelled)])
+    weight = np.repeat([0.5 / len(positive), 0.5 / len(unlabelled)], [len(positive), len(unlabelled)])
+    w, m, v = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
+    for t in range(1, steps + 1):
+        g = x.T @ (weight * (1 / (1 + np.exp(-(x @ w).clip(-30, 30))) - y)) + 1e-3 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return Linear(mean, scale, w[:-1], float(w[-1]))
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", sample: int = SAMPLE, prior: float | None = None) -> Linear:
     """Fit on trusted positives of ``labels`` and unlabelled documents; give only rows of the training fold."""
-    if prior is None:
-        share = labels.agg(F.avg((F.col(label_col) == 1).cast("double")).alias("p"), F.count("*").alias("n")).first()
-        prior = min(max(share["p"], 0.02), 0.98) if share["p"] is not None else 0.5
-    ids = sample_ids(labels, F.col(label_col) == 1, sample, "p").unionByName(sample_ids(docs, F.lit(True), sample, "u"))
-    rows = with_texts(docs, ids).select("role", "id", "text")
+    good = agreed(labels, label_col).filter("mark = 1")
+    ids = sample_ids(good, sample, "p").unionByName(sample_ids(docs.select(id_text().alias("__id")), sample, "u"))
+    rows = with_texts(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t).tobytes() for t in texts(batch)], pa.binary())], names=["role", "id", "x"])
 
-    found = rows.mapInArrow(run, "role string, id string, x binary").dropDuplicates(["role", "id"]).collect()
+    found = rows.mapInArrow(run, "role string, id string, x binary").collect()
     found.sort(key=lambda r: (r["role"], r["id"]))
-    pick = lambda role: np.array([np.frombuffer(r["x"], dtype=np.float32) for r in found if r["role"] == role]).reshape(-1, DIMENSIONS)
-    return fit(pick("p"), pick("u"), prior)
+    p, u = (np.array([np.frombuffer(r["x"], dtype=np.float32) for r in found if r["role"] == role]).reshape(-1, DIMENSIONS) for role in "pu")
+    # Ids are in no random order: deal the rows out by a fixed shuffle before they are halved.
+    p, u = (x[np.random.default_rng(5).permutation(len(x))] for x in (p, u))
+    return fit(p, u, estimate_prior(p, u) if prior is None else prior)
 
 
 def score(docs: DataFrame, model: Linear, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

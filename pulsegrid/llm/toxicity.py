@@ -11,7 +11,8 @@ Classes are weighted back to their shares among the labelled rows.  Every whole
 
 Defined cases: a null text is empty; a text without n-grams gets the score of the bias alone; without labels of both
 classes every score is the share of toxic labels (0 if there is none); null labels are not used; repeated label rows
-count once; an empty table gives an empty result; further columns are ignored.
+count once, ids labelled both ways not at all; of an id with several texts the smallest is learned from; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import fold, slices, table, texts
-from pulsegrid.llm.labelled import sample_ids, with_texts
+from pulsegrid.llm.labelled import agreed, sample_ids, with_texts
 
 BUCKETS = 1 << 18
 WIDTH = 8
@@ -76,64 +77,97 @@ class Bag:
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
-def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, least_docs: int = 20, epochs: int = 10, least_steps: int = 250, batch: int = 128, rate: float = 0.02, decay: float = 3e-4, seed: int = 7) -> Bag:
-    """Train table and softmax jointly by Adam on mini-batches.
-
-    N-grams of fewer than ``least_docs`` sample texts keep a zero row: a rare one says what text it is, not of which kind.
+class _Batch:
+    """The n-grams of some texts, in the order of the texts and in the order of the n-grams."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        sizes = np.array([len(ids) for ids, _ in rows])
+        self.docs = len(rows)
+        self.some = np.flatnonzero(sizes)
+        self.starts = (np.cumsum(sizes) - sizes)[self.some]
+        self.x = np.concatenate([x for _, x in rows])
+        self.active, place = np.unique(np.concatenate([ids for ids, _ in rows]), return_inverse=True)
+        self.place = place.astype(np.int32)
+        self.order = np.argsort(self.place, kind="stable").astype(np.int32)
+        self.doc = np.repeat(np.arange(len(rows)), sizes)[self.order].astype(np.int32)
+        self.begins = np.searchsorted(self.place[self.order], np.arange(len(self.active)))
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        """[text, width] weighted sums of the rows of the active n-grams."""
+        out = np.zeros((self.docs, table.shape[1]), dtype=table.dtype)
+        if len(self.some):
+            out[self.some] = np.add.reduceat(table[self.place] * self.x[:, None], self.starts, axis=0)
+        return out
+
+    def back(self, inner: np.ndarray) -> np.ndarray:
+        """[active n-gram, width]: what a gradient at the means is at the rows."""
+        if not len(self.active):
+            return np.zeros((0, inner.shape[1]), dtype=inner.dtype)
+        return np.add.reduceat(inner[self.doc] * self.x[self.order][:, None], self.begins, axis=0)
+
+
+def gradients(batch: _Batch, y: np.ndarray, scale: np.ndarray, table: np.ndarray, softmax: np.ndarray, bias: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Weighted cross-entropy of a batch, and its gradients by the active rows, the softmax and the bias."""
+    mean = batch.means(table)
+    z = mean @ softmax + bias
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z)
+    total = p.sum(axis=1, keepdims=True)
+    loss = float((scale * (np.log(total[:, 0]) - (z * y).sum(axis=1))).sum() / len(y))
+    d = (p / total - y) * scale[:, None] / len(y)
+    return loss, (batch.back(d @ softmax.T), mean.T @ d, d.sum(axis=0))
+
+
+def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, least_docs: int = 1, epochs: int = 10, least_steps: int = 250, size: int = 128, rate: float = 0.02, decay: float = 3e-4, seed: int = 7) -> Bag:
+    """Train table and softmax jointly by Adam on mini-batches, whose n-grams alone move in a step.
+
+    N-grams of fewer than ``least_docs`` sample texts keep a zero row; by default every one is learned.
     """
     share = float((weight * toxic).sum() / weight.sum()) if len(found) else 0.0
-    least_docs = min(least_docs, max(1, len(found) // 50))
     if not 0 < share < 1:
         return Bag(np.zeros(BUCKETS, dtype=np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     rows = []
-    seen = np.zeros(BUCKETS, dtype=np.int64)
+    seen = np.zeros(BUCKETS, dtype=np.int32)
     for t in found:
         ids, counts = np.unique(np.concatenate([h for h, _ in ngrams([t])]), return_counts=True)
         seen[ids] += 1
-        rows.append((ids, (GAIN * counts / max(counts.sum(), 1)).astype(np.float32)))
-    active = np.flatnonzero(seen >= least_docs)
-    place = np.full(BUCKETS, -1, dtype=np.int64)
-    place[active] = np.arange(len(active))
-    rows = [(place[ids[keep]], x[keep]) for ids, x in rows for keep in [seen[ids] >= least_docs]]
+        rows.append((ids.astype(np.int32), (GAIN * counts / max(counts.sum(), 1)).astype(np.float32)))
+    if least_docs > 1:
+        rows = [(ids[keep], x[keep]) for ids, x in rows for keep in [seen[ids] >= least_docs]]
     random = np.random.default_rng(seed)
-    table = random.normal(0, 0.02, (len(active), WIDTH)).astype(np.float32)
+    every = np.flatnonzero(seen >= least_docs)
+    table = np.zeros((BUCKETS, WIDTH), dtype=np.float32)
+    table[every] = random.normal(0, 0.02, (len(every), WIDTH))
     softmax = random.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.array([0.0, np.log(share / (1 - share))], dtype=np.float32)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, softmax, bias)]
     y = np.eye(2, dtype=np.float32)[toxic.astype(int)]
     scale = (weight / weight.mean()).astype(np.float32)
-    step, batches = 0, max(1, len(rows) // batch)
-    epochs = max(epochs, -(-least_steps // batches))
+    parts = np.array_split(random.permutation(len(rows)), max(1, len(rows) // size))
+    batches = [(some, _Batch([rows[i] for i in some])) for some in parts]
+    del rows
+    step, epochs = 0, max(epochs, -(-least_steps // len(batches)))
     for epoch in range(epochs):
-        for some in np.array_split(random.permutation(len(rows)), batches):
+        for k in random.permutation(len(batches)):
+            some, batch = batches[k]
             step += 1
-            ids, x = (np.concatenate([rows[i][k] for i in some]) for k in (0, 1))
-            doc = np.repeat(np.arange(len(some)), [len(rows[i][0]) for i in some])
-            mean = np.stack([np.bincount(doc, x * table[ids, k], len(some)) for k in range(WIDTH)], axis=1).astype(np.float32)
-            z = mean @ softmax + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            d = (p - y[some]) * scale[some, None] / len(some)
-            inner = d @ softmax.T
-            grad = np.stack([np.bincount(ids, x * inner[doc, k], len(active)) for k in range(WIDTH)], axis=1).astype(np.float32)
-            grad += decay * table
+            own = batch.active
+            _, (g, *others) = gradients(batch, y[some], scale[some], table[own], softmax, bias)
             pace = rate * (1 - epoch / epochs)
-            for value, g, (m, v) in ((table, grad, state[0]), (softmax, mean.T @ d, state[1]), (bias, d.sum(axis=0), state[2])):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                value -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    weights = np.zeros(BUCKETS, dtype=np.float32)
-    weights[active] = GAIN * (table @ (softmax[:, 1] - softmax[:, 0]))
-    return Bag(weights, float(bias[1] - bias[0]))
+            for value, g, (m, v), at in ((table, g + decay * table[own], state[0], own), (softmax, others[0], state[1], slice(None)), (bias, others[1], state[2], slice(None))):
+                new_m, new_v = 0.9 * m[at] + 0.1 * g, 0.99 * v[at] + 0.01 * g * g
+                m[at], v[at] = new_m, new_v
+                value[at] -= pace * (new_m / (1 - 0.9**step)) / (np.sqrt(new_v / (1 - 0.99**step)) + 1e-6)
+    return Bag(GAIN * (table @ (softmax[:, 1] - softmax[:, 0])), float(bias[1] - bias[0]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", toxic_docs: int = 1500, clean_docs: int = 3000, sample_chars: int = 50_000) -> Bag:
     """Fit on a bounded sample of labelled rows; give only rows of the training fold."""
-    mark = F.col(label_col)
-    share = labels.agg(F.avg((mark == 1).cast("double")).alias("p")).first()["p"] or 0.0
-    ids = sample_ids(labels, mark == 1, toxic_docs, "1").unionByName(sample_ids(labels, mark == 0, clean_docs, "0"))
+    rows = agreed(labels, label_col)
+    share = rows.agg(F.avg((F.col("mark") == 1).cast("double")).alias("p")).first()["p"] or 0.0
     short = docs.filter(F.length(F.coalesce("text", F.lit(""))) <= sample_chars)
-    found = sorted((r["role"], r["id"], r["text"]) for r in with_texts(short, ids).dropDuplicates(["role", "id"]).collect())
+    ids = sample_ids(rows.filter("mark = 1"), toxic_docs, "1").unionByName(sample_ids(rows.filter("mark = 0"), clean_docs, "0"))
+    found = sorted((r["role"], r["id"], r["text"]) for r in with_texts(short, ids).collect())
     toxic = np.array([r[0] == "1" for r in found], dtype=bool)
     n = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     return fit([r[2].encode() for r in found], toxic, np.where(toxic, share / n[0], (1 - share) / n[1]))

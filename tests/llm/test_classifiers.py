@@ -3,7 +3,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pulsegrid.llm import labelled as labelled_rows
 from pulsegrid.llm import langid, quality, toxicity
 from tests.llm.conftest import tables
 
@@ -98,6 +100,88 @@ def test_prior_and_risk():
     assert (model.scores(bad[200:]) < 0.5).mean() > 0.98 and (model.scores(good[200:]) > 0.5).mean() > 0.98
 
 
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(1)
+    p, u = (np.concatenate((rng.normal(size=(n, 6)), np.ones((n, 1))), axis=1) for n in (7, 11))
+    for prior in (0.2, 0.7):
+        w = rng.normal(size=7)
+        plus, minus, good, bad = quality.risk(w, p, u, prior)
+        loss = lambda z: np.log(1 + np.exp(z))
+        assert plus == pytest.approx(prior * np.mean([loss(-(x @ w)) for x in p])) and minus == pytest.approx(np.mean([loss(x @ w) for x in u]) - prior * np.mean([loss(x @ w) for x in p]))
+        for i in range(7):
+            e = np.eye(7)[i] * 1e-5
+            (a1, b1, *_), (a0, b0, *_) = quality.risk(w + e, p, u, prior), quality.risk(w - e, p, u, prior)
+            assert (a1 - a0) / 2e-5 == pytest.approx(good[i], abs=1e-6) and (b1 - b0) / 2e-5 == pytest.approx(bad[i], abs=1e-6)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_the_prior_is_estimated_without_negatives(share):
+    rng = np.random.default_rng(2)
+    rows = lambda n, mean: rng.normal(mean, 1, (n, quality.DIMENSIONS))
+    k = int(2000 * share)
+    unlabelled = rng.permutation(np.concatenate((rows(k, 0.5), rows(2000 - k, -0.5))))
+    assert quality.estimate_prior(rows(2000, 0.5), unlabelled) == pytest.approx(share, abs=0.06)
+    assert quality.estimate_prior(rows(1, 0.5), unlabelled) == 0.5
+
+
+def test_repeated_and_contradicting_labels(spark, labelled, tmp_path):
+    docs, labels = labelled
+    more = labels.unionByName(labels.filter("quality = 1 and doc_id < 100")).unionByName(labels.filter("quality = 1 and doc_id < 100"))
+    for module, query in ((quality, quality.op2_quality), (toxicity, toxicity.op3_toxicity)):
+        one, two = (sorted(map(str, query(spark, tables(tmp_path / f"{module.__name__}{k}", spark, documents=docs, labels=x.repartition(k + 1))).collect())) for k, x in enumerate((labels, more)))
+        assert one == two
+    both = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, None), (None, 0)], "doc_id bigint, toxic int")
+    assert {(r["__id"], r["mark"]) for r in labelled_rows.agreed(both, "toxic").collect()} == {("2", 1), ("", 0)}
+
+
+def test_samples_do_not_depend_on_the_order_or_on_repeats(spark):
+    ids = spark.range(5000).select(F.col("id").cast("string").alias("__id"))
+    hot = ids.unionByName(spark.range(20_000).select(F.lit("7").alias("__id")))
+    want = {r[0] for r in labelled_rows.sample_ids(ids, 50, "x").collect()}
+    assert len(want) == 50 == len({r[0] for r in labelled_rows.sample_ids(hot.repartition(7), 50, "x").collect()} & want)
+    assert labelled_rows.sample_ids(ids.limit(10), 50, "x").count() == 10 and labelled_rows.sample_ids(ids.limit(0), 50, "x").count() == 0
+
+
+def test_gradients_of_the_bag():
+    rng = np.random.default_rng(3)
+    rows = [(np.array([1, 4, 7], dtype=np.int32), np.array([0.5, 1.0, 2.0])), (np.array([], dtype=np.int32), np.array([])), (np.array([4, 9], dtype=np.int32), np.array([1.5, 0.25]))]
+    batch, y, scale = toxicity._Batch(rows), np.eye(2)[[1, 0, 1]], np.array([1.0, 2.0, 0.5])
+    values = [rng.normal(size=s) for s in ((4, 3), (3, 2), (2,))]
+    means = [sum((x * values[0][list(batch.active).index(i)] for i, x in zip(ids, xs, strict=True)), np.zeros(3)) for ids, xs in rows]
+    z = np.array(means) @ values[1] + values[2]
+    plain = -(scale * np.log((np.exp(z) / np.exp(z).sum(axis=1, keepdims=True) * y).sum(axis=1))).mean()
+    loss, found = toxicity.gradients(batch, y, scale, *values)
+    assert loss == pytest.approx(plain)
+    for k, (value, g) in enumerate(zip(values, found, strict=True)):
+        for at in np.ndindex(value.shape):
+            moved = [[v.copy() for v in values] for _ in range(2)]
+            moved[0][k][at] += 1e-5
+            moved[1][k][at] -= 1e-5
+            up, down = (toxicity.gradients(batch, y, scale, *v)[0] for v in moved)
+            assert (up - down) / 2e-5 == pytest.approx(g[at], abs=1e-6)
+
+
+def test_scores_against_a_loop_over_ngrams():
+    model = toxicity.Bag(np.random.default_rng(4).normal(size=toxicity.BUCKETS).astype(np.float32), 0.3)
+
+    def plain(text):
+        padded = b" " + "".join(" " if c in toxicity.string.punctuation + "\t\n" else c for c in text.lower()).encode() + b" "
+        weights = []
+        for n in toxicity.SIZES:
+            for i in range(len(padded) - n + 1):
+                if b" " in padded[i + 1 : i + n - 1]:
+                    continue
+                h = n * 0x9E3779B1 & 0xFFFFFFFF
+                for c in padded[i : i + n]:
+                    h = ((h ^ c) * 0x01000193) & 0xFFFFFFFF
+                h = ((h ^ (h >> 15)) * 0x85EBCA6B) & 0xFFFFFFFF
+                weights.append(float(model.weights[h >> 14]))
+        return 1 / (1 + np.exp(-(sum(weights) / max(len(weights), 1) + 0.3)))
+
+    found = ["You IDIOT, go away!", "", "ab", "a-b c_d\tlonger words here", "é ü"]
+    assert model.scores([t.encode() for t in found]).tolist() == pytest.approx([plain(t) for t in found], abs=1e-6)
+
+
 def brute_phrases(sample, text):
     n, i = 0, 0
     while i < len(text):
