@@ -61,31 +61,48 @@ def flatten(patients: DataFrame, studies: DataFrame) -> DataFrame:
     return live(studies).join(p, F.col("patient_id") == F.col("_p")).drop("_p")
 
 
+def _wide(c: Column, level: Column, width: int) -> Column:
+    """The bucket of a time at a level, whose buckets are ``width`` microseconds times a power of two."""
+    return F.floor(F.unix_micros(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), level))).cast("bigint")
+
+
+def _levelled(spans: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """Adds ``_level`` and ``_bucket``: each span is laid out at the level whose buckets are as long as it, so over two at most."""
+    length = (F.unix_micros(end) - F.unix_micros(start)) / F.lit(float(width))
+    rows = spans.filter(F.col(end) > F.col(start)).withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(length))).cast("int"))
+    return rows.withColumn("_bucket", F.explode(F.sequence(_wide(F.col(start), F.col("_level"), width), _wide(F.col(end), F.col("_level"), width))))
+
+
+def _levels(points: DataFrame, spans: DataFrame, time: str, width: int) -> DataFrame:
+    """Points once for each level that spans have; levels are logarithms of lengths, so there are a few dozen at most."""
+    found = sorted(r[0] for r in spans.select("_level").distinct().collect()) or [0]
+    level = F.explode(F.array(*[F.lit(x) for x in found]))
+    return points.withColumn("_level", level).withColumn("_bucket", _wide(F.col(time), F.col("_level"), width))
+
+
 def containing_study(rows: DataFrame, studies: DataFrame, as_of: datetime | str, *, time: str, key: str, days: int = 7) -> DataFrame:
     """The study of a row's device that holds its time: started_at <= t < coalesce(ended_at, as_of).
 
-    Rows carry ``key`` (unique), device_id and ``time``.  Studies are laid out over buckets of ``days`` days, so that
-    device and bucket are plain equi-keys and a device with many studies does not meet all of them at once.  Of
-    several studies the one that started last wins, then the smallest id; rows without any keep a null study_id.
+    Rows carry ``key`` (unique), device_id and ``time``.  Studies are laid out over buckets as long as they are, from
+    ``days`` days on by powers of two, so that device, level and bucket are plain equi-keys, an open study of many years
+    takes two rows like any other, and a device with many studies does not meet all of them at once.  Of several studies
+    the one that started last wins, then the smallest id; rows without any keep a null study_id.
     """
-    width = days * 86_400
-    bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(width * 1_000_000)).cast("bigint")
-    end = F.coalesce("ended_at", at(as_of))
-    s = live(studies).filter(end > F.col("started_at")).select(
-        F.col("device_id").alias("_d"), F.col("id").alias("study_id"), F.col("started_at").alias("_from"), end.alias("_to"), F.explode(F.sequence(bucket(F.col("started_at")), bucket(end))).alias("_b")
-    )
-    hit = (F.col("device_id") == F.col("_d")) & (bucket(F.col(time)) == F.col("_b")) & (F.col(time) >= F.col("_from")) & (F.col(time) < F.col("_to"))
-    best = rows.join(s, hit).groupBy(F.col(key).alias("_k")).agg(F.min_by("study_id", F.struct((-F.unix_micros("_from")).alias("a"), F.col("study_id").alias("b"))).alias("study_id"))
+    width = days * 86_400_000_000
+    s = live(studies).select(F.col("device_id").alias("_d"), F.col("id").alias("study_id"), F.col("started_at").alias("_from"), F.coalesce("ended_at", at(as_of)).alias("_to"))
+    s = _levelled(s, "_from", "_to", width)
+    near = _levels(rows.select(F.col(key).alias("_k"), F.col("device_id").alias("_d"), F.col(time).alias("_t")), s, "_t", width)
+    hit = near.join(s, ["_d", "_level", "_bucket"]).filter((F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_to")))
+    best = hit.groupBy("_k").agg(F.min_by("study_id", F.struct((-F.unix_micros("_from")).alias("a"), F.col("study_id").alias("b"))).alias("study_id"))
     return rows.join(best, F.col(key) == F.col("_k"), "left").drop("_k")
 
 
 def in_interval(points: DataFrame, intervals: DataFrame, *, key: str, time: str, start: str, end: str, days: int = 1) -> DataFrame:
     """Every (point, interval) of the same key with start <= time < end; intervals must not share column names but the key's."""
     width = days * 86_400_000_000
-    bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(width)).cast("bigint")
-    wide = intervals.filter(F.col(end) > F.col(start)).withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
-    near = points.withColumn("_b", bucket(F.col(time)))
-    return near.join(wide, [key, "_b"]).filter((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_b")
+    wide = _levelled(intervals, start, end, width)
+    near = _levels(points, wide, time, width)
+    return near.join(wide, [key, "_level", "_bucket"]).filter((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_level", "_bucket")
 
 
 def synchronised(ecg: DataFrame, impedance: DataFrame, keys: tuple[str, ...] = ("study_id", "frame")) -> DataFrame:

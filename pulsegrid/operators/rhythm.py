@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.aggregates import session_summary
+from pulsegrid.operators.signal import sized
 from pulsegrid.operators.windows import islands, outliers, rr_intervals, sustained
+from pulsegrid.sources.shipping import ship
 
 FAST_BPM, SLOW_BPM, SUSTAINED_MS, PAUSE_MS = 100, 60, 30_000, 2_000
 
@@ -65,23 +67,37 @@ def detect_peaks(signal: np.ndarray, rate: int) -> np.ndarray:
     return np.array(found, dtype=np.int64)
 
 
-def peaks(chunks: DataFrame, key: str = "study_id") -> DataFrame:
-    """(key, i, t_ms, amplitude) of R peaks from (key, sample_rate, chunk_index, samples); a signal is one task's work."""
+def peaks(chunks: DataFrame, key: str = "study_id", *, segment_s: int = 3600, overlap_s: int = 10) -> DataFrame:
+    """(key, i, t_ms, amplitude) of R peaks from (key, sample_rate, chunk_index, samples).
+
+    A signal is worked on in segments of ``segment_s`` seconds, each with the chunks that reach ``overlap_s`` into its
+    neighbours, where the detector settles; a peak counts in the segment that its sample lies in.  So a task holds one
+    segment, however long the signal is, and signals of up to one segment are detected whole.
+    """
+    ship(chunks.sparkSession)
 
     def run(group: tuple, t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("chunk_index").to_numpy())
-        parts = t.column("samples").to_pylist()
-        signal = np.concatenate([np.asarray(parts[i], dtype=np.float32) for i in order])
-        rate = t.column("sample_rate")[0].as_py()
+        t = t.sort_by("chunk_index")
+        samples = t.column("samples").combine_chunks()
+        signal = (samples.flatten() if isinstance(samples, pa.ListArray) else pa.chunked_array(samples).combine_chunks().flatten()).to_numpy(zero_copy_only=False)
+        rate, first = t.column("sample_rate")[0].as_py(), t.column("first")[0].as_py()
         at = detect_peaks(signal, rate)
-        return pa.table([pa.array([group[0].as_py()] * len(at), pa.string()), pa.array(at), pa.array(at * 1000.0 / rate), pa.array(signal[at].astype(np.float64))], names=["key", "i", "t_ms", "amplitude"])
+        lo = group[1].as_py() * segment_s * rate
+        at = at[(at + first >= lo) & (at + first < lo + segment_s * rate)]
+        i = at + first
+        return pa.table([pa.array([group[0].as_py()] * len(at), pa.string()), pa.array(i), pa.array(i * 1000.0 / rate), pa.array(signal[at].astype(np.float64))], names=["key", "i", "t_ms", "amplitude"])
 
-    rows = chunks.select(F.col(key).cast("string").alias("key"), "sample_rate", "chunk_index", "samples")
-    return rows.groupBy("key").applyInArrow(run, "key string, i bigint, t_ms double, amplitude double").withColumnRenamed("key", key)
+    rows = sized(chunks.select(F.col(key).cast("string").alias("key"), "sample_rate", "chunk_index", "samples"), "key").filter(F.size("samples") > 0)
+    size, reach = F.col("sample_rate") * segment_s, F.col("sample_rate") * overlap_s
+    low = F.greatest(F.lit(0), F.floor((F.col("first") - reach) / size))
+    high = F.least(F.floor((F.col("total") - 1) / size), F.floor((F.col("first") + F.size("samples") - 1 + reach) / size))
+    rows = rows.withColumn("segment", F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"))))
+    return rows.groupBy("key", "segment").applyInArrow(run, "key string, i bigint, t_ms double, amplitude double").withColumnRenamed("key", key)
 
 
 def peaks_of(rows: DataFrame, signal: Callable[[str], np.ndarray], rate: int, key: str = "study_id") -> DataFrame:
     """As ``peaks``, for signals that a function makes from their key: no sample moves or is stored."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def sized(chunks: DataFrame, *keys: str) -> DataFrame:
     """Adds to each chunk the index of its first sample and its signal's number of samples."""
-    n = F.size("samples")
-    per = chunks.select(*keys, F.struct("chunk_index", n.alias("n")).alias("c")).groupBy(*keys).agg(F.sort_array(F.collect_list("c")).alias("_c"), F.sum("c.n").alias("total"))
-    own = F.aggregate(F.filter("_c", lambda c: c["chunk_index"] < F.col("chunk_index")), F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
-    return chunks.join(per, list(keys)).withColumn("first", own).drop("_c")
+    n = F.sum(F.size("samples").cast("bigint"))
+    own = Window.partitionBy(*keys)
+    before = own.orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    return chunks.withColumn("total", n.over(own)).withColumn("first", F.coalesce(n.over(before), F.lit(0).cast("bigint")))
 
 
 def samples(chunks: DataFrame, *keys: str) -> DataFrame:

@@ -69,3 +69,10 @@ def period_delta(df: DataFrame, value: str, period: str, *keys: str) -> DataFram
     """Each period's value against the period before, with its trend."""
     delta = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(period))
     return df.withColumn("delta", delta).withColumn("trend", F.when(F.col("delta").isNotNull(), trend(F.col("delta"))))
+
+
+def debounced(inputs: DataFrame, *keys: str, time: str = "at", ms: int = 300) -> DataFrame:
+    """The inputs that stand: those not followed by another of the same keys within ``ms``; of equal times the last by all columns."""
+    w = Window.partitionBy(*keys).orderBy(time, *[c for c in inputs.columns if c not in (*keys, time)])
+    later = F.unix_micros(F.lead(time).over(w)) - F.unix_micros(time)
+    return inputs.withColumn("_later", later).filter(F.col("_later").isNull() | (F.col("_later") >= ms * 1000)).drop("_later")

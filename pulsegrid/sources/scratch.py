@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table below ``spark.checkpoint.dir`` (a temporary folder where that is unset, as in tests).
+    """Cut the lineage by a table below ``spark.checkpoint.dir`` (in local mode a temporary folder where that is unset).
 
     A table has its real size, whereas a checkpoint keeps estimates that multiply with every join of a loop.
     """
@@ -17,7 +18,11 @@ def kept(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     folder = getattr(context, "_pulsegrid_kept", None)
     if folder is None:
-        top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="shared-")
+        top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not top:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            top = "file://" + tempfile.mkdtemp(prefix="shared-")
         folder = f"{top.rstrip('/')}/pulsegrid-kept-{uuid.uuid4().hex[:12]}"
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)

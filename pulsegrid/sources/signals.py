@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.sources.shipping import ship
+
 #: Samples in one row at most.
 CHUNK = 65_536
 #: Full scale of a 24-bit code: reference voltage over gain, in microvolts per code.
@@ -41,6 +43,7 @@ def decode_float32(blobs: DataFrame, key: str, *, most: int = CHUNK) -> DataFram
                 for i, part in chunked(np.frombuffer(content or b"", dtype="<f4"), most):
                     yield pa.RecordBatch.from_arrays([pa.array([k], batch.schema.field(0).type), pa.array([i], pa.int32()), pa.array([part], pa.list_(pa.float32()))], names=["key", "chunk_index", "samples"])
 
+    ship(blobs.sparkSession)
     rows = blobs.select(F.col(key).alias("key"), "content")
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, chunk_index int, samples array<float>")
 
@@ -79,6 +82,7 @@ def decode_batches(batches: DataFrame, *, scale: float = 1.0, most: int = CHUNK)
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["batch_id", "channel", "chunk_index", "samples", "error"])
 
+    ship(batches.sparkSession)
     return batches.select(F.col("id").cast("string").alias("id"), "data", "num_channels", "compression_type").mapInArrow(run, "batch_id string, channel int, chunk_index int, samples array<float>, error string")
 
 
@@ -151,4 +155,5 @@ def export_edf(signals: DataFrame, *, scale: float = 1.0) -> DataFrame:
         samples = np.concatenate([np.asarray(parts[i], dtype=np.float32) for i in order])
         return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([edf_bytes(samples, t.column("sample_rate")[0].as_py(), scale=scale)], pa.binary())], names=["study_id", "file"])
 
+    ship(signals.sparkSession)
     return signals.groupBy("study_id").applyInArrow(run, "study_id string, file binary")

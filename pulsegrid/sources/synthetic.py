@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import clinical, clock, text
 from pulsegrid.schemas import PATIENT_STATUSES
+from pulsegrid.sources.shipping import ship
 from pulsegrid.sources.signals import chunked
 
 #: Names to draw from.
@@ -131,4 +132,5 @@ def signals(studies_df: DataFrame, *, seconds: float = 3600.0, rate: int = 250)
                 for k, part in chunked(ecg(study, seconds, rate)):
                     yield pa.RecordBatch.from_arrays([pa.array([study]), pa.array([rate], pa.int32()), pa.array([start], pa.int64()), pa.array([k], pa.int32()), pa.array([part], pa.list_(pa.float32()))], names=["study_id", "sample_rate", "start_ts_ms", "chunk_index", "samples"])
 
+    ship(studies_df.sparkSession)
     return studies_df.select("study_id", "start_ts_ms").mapInArrow(run, "study_id string, sample_rate int, start_ts_ms bigint, chunk_index int, samples array<float>")

@@ -76,7 +76,7 @@ def write_stream(batches: DataFrame, path: str, checkpoint: str, *, repair_path:
             df.filter(old).write.mode("append").parquet(repair_path)
             new = deduplicated(df.filter(~old)).withColumn("date", F.to_date("event_time"))
             if _exists(df.sparkSession, path):
-                new = new.join(df.sparkSession.read.schema(new.schema).parquet(path).select(*KEY, "date", "chunk_index"), [*KEY, "date", "chunk_index"], "left_anti")
+                new = new.join(_stored(df.filter(~old), df.sparkSession.read.schema(new.schema).parquet(path)), [*KEY, "date", "chunk_index"], "left_anti")
             new.write.mode("append").partitionBy("device_id", "date").parquet(path)
             df.unpersist()
 
@@ -88,15 +88,26 @@ def write_stream(batches: DataFrame, path: str, checkpoint: str, *, repair_path:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _stored(batch: DataFrame, store: DataFrame, devices: int = 500) -> DataFrame:
+    """Keys of the part of the store that a micro-batch can repeat: its days, and its devices if they are few."""
+    days = batch.agg(F.min(F.to_date("event_time")).alias("lo"), F.max(F.to_date("event_time")).alias("hi")).first()
+    part = store.filter(F.col("date").between(F.lit(days["lo"]), F.lit(days["hi"])))
+    few = [r[0] for r in batch.select("device_id").distinct().limit(devices + 1).collect()]
+    if len(few) <= devices:
+        part = part.filter(F.col("device_id").isin(*few))
+    return part.select(*KEY, "date", "chunk_index")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def repair(stored: DataFrame, late: DataFrame) -> DataFrame:
-    """Rows of the repair path that are not stored yet, each once."""
+    """Chunks of the repair path that are not stored yet, each once; a chunk without an index is chunk 0."""
     late = deduplicated(late)
-    return late.join(stored.select(*KEY).distinct(), KEY, "left_anti")
+    have = stored.select(*KEY, F.coalesce("chunk_index", F.lit(0)).alias("chunk_index")).distinct()
+    return late.join(have, [*KEY, "chunk_index"], "left_anti")
 
 
 def hourly(batches: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from pulsegrid.functions import clinical, clock
 from pulsegrid.streaming.ingest import timed
@@ -50,16 +53,36 @@ def watchdog(devices: DataFrame, as_of: datetime | str, *, quality: str | None =
     return rows.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
-def silent(batches: DataFrame, hours: int = 10, *, late: str = "48 hours") -> DataFrame:
-    """(device_id, last_seen_at) of devices without a batch for ``hours``: sessions that the watermark has closed.
+def silent(batches: DataFrame, as_of: datetime | str, hours: float = 10) -> DataFrame:
+    """(device_id, last_seen_at, silent_since) of devices whose newest batch is more than ``hours`` before ``as_of``."""
+    rows = batches if "event_time" in batches.columns else timed(batches)
+    last = rows.groupBy("device_id").agg(F.max("event_time").alias("last_seen_at"))
+    since = F.timestamp_micros(F.unix_micros("last_seen_at") + int(hours * 3_600_000_000))
+    return last.withColumn("silent_since", since).filter(F.col("silent_since") < clock.at(as_of))
+
+
+def silent_stream(batches: DataFrame, hours: float = 10, *, late: str = "48 hours") -> DataFrame:
+    """The same over a stream, in append mode: one row when the watermark passes ``hours`` after a device's newest batch.
 
-    In a stream a row comes out once the watermark has passed the end of the device's session.
+    A device that sends again before that gives no row, however long its gap was; one that falls silent again gives
+    another row.  The state is one timestamp per device.
     """
     rows = batches if "event_time" in batches.columns else timed(batches)
-    if rows.isStreaming:
-        rows = rows.withWatermark("event_time", late)
-    done = rows.groupBy("device_id", F.session_window("event_time", f"{hours} hours")).agg(F.max("event_time").alias("last_seen_at"))
-    return done.select("device_id", "last_seen_at", F.col("session_window.end").alias("silent_since"))
+    rows = rows.withWatermark("event_time", late).select("device_id", "event_time")
+    wait = int(hours * 3_600_000)
+
+    def watch(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"device_id": [key[0]], "last_seen_at": [pd.Timestamp(last, unit="ms")], "silent_since": [pd.Timestamp(last + wait, unit="ms")]})
+            return
+        newest = max(int(p["event_time"].max().timestamp() * 1000) for p in parts)
+        last = newest if last is None else max(last, newest)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
+
+    return rows.groupBy("device_id").applyInPandasWithState(watch, "device_id string, last_seen_at timestamp, silent_since timestamp", "last_ms long", "append", "EventTimeTimeout")
 
 
 def advance(batches: DataFrame, results: DataFrame) -> DataFrame:

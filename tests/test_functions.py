@@ -154,3 +154,29 @@ def test_one(spark):
 
 def test_severity_rank(spark):
     assert values(spark, schemas.severity_rank, ["LOW", "MEDIUM", "HIGH", "CRITICAL", "?"]) == [1, 2, 3, 4, None]
+
+
+def test_requests(spark):
+    from pulsegrid.functions import requests
+
+    rows = [("get", None, None, 0), ("get", None, "ERR_CANCELED", 0), ("GET", 503, None, 1), ("get", 503, None, 2), ("post", 500, None, 0), (None, 600, None, 0), ("get", 404, None, 0), ("get", None, "ETIMEDOUT", 1), ("get", 422, None, 0), ("get", 302, None, 0)]
+    df = spark.createDataFrame(rows, "method string, status int, failure string, attempt int")
+    got = df.select(requests.error_code(F.col("status"), F.col("failure")), requests.may_retry(F.col("method"), F.col("status"), F.col("failure"), F.col("attempt"))).collect()
+    assert [tuple(r) for r in got] == [("NETWORK", True), ("CANCELLED", False), ("SERVER", True), ("SERVER", False), ("SERVER", False), ("SERVER", False), ("NOT_FOUND", False), ("TIMEOUT", True), ("VALIDATION", False), ("UNKNOWN", False)]
+    hours = spark.range(7).select(requests.upload_interval_hours(F.col("id"))).collect()
+    assert [r[0] for r in hours] == [1, 1, 1, 2, 4, 4, 4]
+    steps = [("RECORDING", True, "PREPARING_BATCH"), ("SENDING", False, "SIM_ERROR"), ("SENDING", True, "CONFIRMING"), ("SIM_ERROR", True, "SIM_SLEEPING"), ("SIM_SLEEPING", True, "RECORDING"), ("CLEANING_SD", False, "SIM_SLEEPING"), ("elsewhere", True, None)]
+    df = spark.createDataFrame([s[:2] for s in steps], "state string, ok boolean")
+    assert [r[0] for r in df.select(requests.next_device_state(F.col("state"), F.col("ok"))).collect()] == [s[2] for s in steps]
+    row = spark.sql("select timestamp_seconds(1700000000.9) as t").select(requests.claims(F.lit(7), F.lit("a@b"), F.lit("admin"), F.col("t"), 60).alias("c")).first()["c"]
+    assert row.asDict() == {"sub": "7", "email": "a@b", "role": "admin", "iat": 1_700_000_000, "exp": 1_700_003_600}
+    df = spark.createDataFrame([('{"token": "x", "user": "u"}',), ("not json",), (None,), ('{"token": 1',)], "text string")
+    assert [r[0] if r[0] is None else r[0]["token"] for r in df.select(requests.stored_session(F.col("text"), "token string, user string")).collect()] == ["x", None, None, None]
+
+
+def test_debounce(spark):
+    from pulsegrid.operators import windows
+
+    rows = [("u", 0, "a"), ("u", 100, "ab"), ("u", 350, "abc"), ("u", 900, "x"), ("u", 1200, "xy"), ("v", 0, "q")]
+    df = spark.createDataFrame(rows, "who string, ms long, text string").withColumn("at", F.timestamp_millis("ms"))
+    assert sorted((r["who"], r["text"]) for r in windows.debounced(df, "who").collect()) == [("u", "abc"), ("u", "x"), ("u", "xy"), ("v", "q")]

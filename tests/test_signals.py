@@ -138,3 +138,14 @@ def test_synthetic_entities(spark):
     assert {r["status"]: r["count"] for r in d.groupBy("status").count().collect()} == {"assigned": 19, "available": 8, "maintenance": 2, "retired": 1}
     assert synthetic.health(d, "2024-01-01").count() == 19 + 6 + 2
     assert synthetic.next_device_id(d).first()[0] == "d_037"
+
+
+def test_peaks_by_segments(spark):
+    """A signal of any length is found in segments just as in one piece, but for where the detector settles."""
+    whole = synthetic.ecg("long", 400, 250)
+    rows = [("long", 250, k, part.tolist()) for k, part in signals.chunked(whole, 7000)]
+    df = spark.createDataFrame(rows, "study_id string, sample_rate int, chunk_index int, samples array<float>")
+    want = rhythm.detect_peaks(whole, 250).tolist()
+    assert [r["i"] for r in rhythm.peaks(df).orderBy("i").collect()] == want
+    got = [r["i"] for r in rhythm.peaks(df, segment_s=60).orderBy("i").collect()]
+    assert len(set(got) & set(want)) >= 0.99 * len(want) and len(got) == len(set(got)) and abs(len(got) - len(want)) <= 0.01 * len(want)

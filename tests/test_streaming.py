@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -81,7 +81,41 @@ def test_windows(spark):
     assert ingest.hourly(df).count() == 5
     assert sorted(r["batches"] for r in ingest.sessions(df).collect()) == [2, 3]
     assert ingest.rolling(df, 24).agg(F.max("batches")).first()[0] == 5
-    assert status.silent(df, 2).count() == 2
+    late = datetime.fromtimestamp(T0 + 8 * 3600 + 1, timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    assert status.silent(df, late, 2).count() == 1 and status.silent(df, late, 3).count() == 0
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([tuple(r.values()) for r in rows], schemas.UPLOAD_FLAT.__class__([schemas.UPLOAD_FLAT[k] for k in rows[0]]))
+
+
+def test_a_late_chunk_is_repaired(spark):
+    stored = ingest.timed(frame(spark, [payload("a", 1, chunk=0, total=2, data="AA"), payload("b", 1, data="DD")]))
+    late = ingest.timed(frame(spark, [payload("a", 1, chunk=0, total=2, data="AA"), payload("a", 1, chunk=1, total=2, data="BB"), payload("a", 1, chunk=1, total=2, data="BB"), payload("b", 1, chunk=0, data="DD"), payload("c", 1)]))
+    found = ingest.repair(stored, late)
+    assert sorted((r["device_id"], r["chunk_index"]) for r in found.collect()) == [("a", 1), ("c", 0)]
+    whole = ingest.reassembled(stored.unionByName(found))
+    assert {r["device_id"]: r["data"] for r in whole.collect()} == {"a": "AABB", "b": "DD", "c": "AAAA"}
+
+
+def test_only_the_days_and_devices_of_a_batch_are_read(spark, tmp_path):
+    store = ingest.timed(frame(spark, [payload(d, h, chunk=0) for d in "abc" for h in (0, 48, 96)])).withColumn("date", F.to_date("event_time"))
+    store.write.partitionBy("device_id", "date").parquet(str(tmp_path / "store"))
+    again = ingest.timed(frame(spark, [payload("a", 48), payload("b", 49)]))
+    part = ingest._stored(again, spark.read.schema(store.schema).parquet(str(tmp_path / "store")))
+    assert sorted((r["device_id"], (r["batch_timestamp"] - T0) // 3600) for r in part.collect()) == [("a", 48), ("b", 48)]
+    assert "PartitionFilters: [isnotnull(date" in part._jdf.queryExecution().executedPlan().toString() or "PartitionFilters" in part._jdf.queryExecution().toString()
+
+
+def test_a_device_that_comes_back_is_not_silent(spark, tmp_path):
+    src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    days = [[payload("gone", 0), payload("back", 0), payload("on", 0)], [payload("back", 30), payload("on", 20)], [payload("on", 40), payload("back", 41)], [payload("on", 120)], [payload("on", 121)]]
+    for i, rows in enumerate(days):
+        land(src, f"{i}.json", rows)
+        batches = ingest.flat(ingest.uploads(spark, str(src)))
+        status.silent_stream(batches, 24, late="48 hours").writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {(r["device_id"], (int(r["last_seen_at"].timestamp()) - T0) // 3600) for r in spark.read.parquet(out).collect()}
+    assert got == {("gone", 0), ("back", 41)}
 
 
 def test_batch_states(spark):
