@@ -6,26 +6,24 @@ of documents.  The last returns one row per kept document with the words that th
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontam, langid, linededup, mixing, neardup
-from pulsegrid.llm.common import shared_uri, ship, table
+from pulsegrid.llm.common import fresh, scratch_folder, ship, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of a language that can be learned; texts without a letter go."""
+    """Keep documents of a language that can be learned; texts without a letter, or unlike every learned language, go."""
     ship(spark)
     return langid.filter_languages(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source's boilerplate lines out of its texts; every document stays, and n_chars follows its text."""
-    out = linededup.drop_boilerplate(docs, F.col("source"))
-    changed = F.col("_dropped_lines") > 0
-    out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    (went,) = fresh(docs, "__lines_gone")
+    out = linededup.drop_boilerplate(docs, F.col("source"), count=went)
+    out = out.withColumn("n_chars", F.when(F.col(went) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -59,9 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; the folder goes with the application."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_uri(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:

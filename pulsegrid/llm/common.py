@@ -6,7 +6,6 @@ import os
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.sources.shipping import ship as ship
+
 #: A word: a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: ``bytes.translate`` table that lower-cases A-Z and nothing else.
@@ -35,23 +36,6 @@ def shared_uri(spark: SparkSession) -> str:
     return uri
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that their Python workers can import it."""
-    context = spark.sparkContext
-    if getattr(context, "_pulsegrid_sent", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="package-"), "pulsegrid.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in sorted(os.walk(top)):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
-    context.addPyFile(path)
-    context._pulsegrid_sent = True
-
-
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder name below the shared folder, as a path every executor can map (POSIX mounts only)."""
     uri = urlparse(_scratch(spark))

@@ -342,6 +342,11 @@ def _residuals(data: bytes, frames: list[_Frame]) -> np.ndarray:
     return out[:, back].T
 
 
+def stream_bits(data: bytes) -> int:
+    """Bits per sample, as the stream's header names them."""
+    return _streams(data, 0)[0]["bits"]
+
+
 def _streams(data: bytes, at: int) -> tuple[dict, list[tuple[int, int, int]], int]:
     if data[at : at + 4] != b"fLaC":
         raise FlacError("not a FLAC stream")

@@ -9,8 +9,9 @@ Texts are lower-cased and mapped to a small learned alphabet; runs of other symb
 Texts are parsed in stretches of ``STRETCH`` symbols (a phrase ends at the end of a stretch), so that many
 stretches advance in step, one numpy lane each; every symbol of every text is parsed.
 
-The sample: the first ``sample_chars`` characters per language of labelled texts in hash order of their ids, of
-at most ``sample_docs`` texts per language; these bounds are parameters and do not grow with the corpus.
+The sample: ``sample_chars`` characters per language of labelled texts in hash order of their ids, at most ``doc_chars``
+of each and at most ``sample_docs`` texts, for the ``languages`` languages with the most labelled texts; these bounds are
+parameters and do not grow with the corpus.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; documents with a null language are
 never learned from; if nothing is labelled every text is ``und``; ties go to the language first by code point;
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import fold, id_text, slices, table
 
 STRETCH = 2048
+#: A text is in no learned language if it needs more than so many times the phrases of the nearest one's own texts.
+UNLIKE = 2.5
 SYMBOLS = 62
 SEPARATOR = 1
 OTHER = 2
@@ -103,10 +106,11 @@ class CrossParser:
             codes = self.codes(samples[lang])
             cut = max(1, len(codes) * 9 // 10)
             one = SuffixAutomaton(codes[:cut].tolist()).table(self.width)
-            tables.append(np.where(one < 0, one - base, one + base).astype(np.int32))
+            tables.append(np.where(one < 0, one.astype(np.int64) - base, one.astype(np.int64) + base))
             base += len(one)
             self.roots.append(base - self.width)
-        self.tables = np.concatenate(tables) if tables else np.empty(0, dtype=np.int32)
+        kind = np.int32 if base < 1 << 31 else np.int64
+        self.tables = np.concatenate([t.astype(kind) for t in tables]) if tables else np.empty(0, dtype=kind)
         for lang, root in zip(self.languages, self.roots, strict=True):
             own = self.codes(samples[lang])
             own = own[max(1, len(own) * 9 // 10) :]
@@ -147,24 +151,29 @@ class CrossParser:
         pieces.sort(key=lambda p: -len(p[1]))
         sizes = np.array([len(p) for _, p in pieces])
         doc = np.array([d for d, _ in pieces])
-        steps = np.zeros((int(sizes[0]), len(pieces)), dtype=np.int32)
+        kind, sign = self.tables.dtype, self.tables.dtype.itemsize * 8 - 1
+        steps = np.zeros((int(sizes[0]), len(pieces)), dtype=kind)
         for j, (_, p) in enumerate(pieces):
             steps[: len(p), j] = p
         live = np.searchsorted(-sizes, -np.arange(len(steps)), side="left")
-        root = np.array(roots, dtype=np.int32)[:, None]
+        root = np.array(roots, dtype=kind)[:, None]
         state = np.repeat(root, len(pieces), axis=1)
-        phrases = np.zeros(state.shape, dtype=np.int32)
+        phrases = np.zeros(state.shape, dtype=kind)
         for i in range(len(steps)):
             m = live[i]
             step = self.tables.take(state[:, :m] + steps[i, :m])
-            new = step >> 31  # -1 where a phrase begins
+            new = step >> sign  # -1 where a phrase begins
             phrases[:, :m] -= new
             np.bitwise_xor(step, new, out=state[:, :m])
         for lang in range(len(roots)):
             out[:, lang] = np.bincount(doc, phrases[lang], len(codes))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], unlike: float | None = None) -> tuple[list[str], list[float]]:
+        """Language and score of each text; with ``unlike``, texts that are in none of the languages are ``und`` too.
+
+        For that the number of phrases counts less two of its roots, so that a short text is not turned away by chance.
+        """
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return langs, scores
@@ -178,19 +187,23 @@ class CrossParser:
             order = np.sort(need, axis=1)
             second = order[:, 1] if need.shape[1] > 1 else order[:, 0] * 2
             score = second / (second + order[:, 0])
-            for i, b, s in zip(some, best.tolist(), score.tolist(), strict=True):
-                langs[i], scores[i] = self.languages[b], float(s)
+            least = phrases[np.arange(len(some)), best]
+            far = np.zeros(len(some), dtype=bool) if unlike is None else (least - 2 * np.sqrt(least)) / size / self.rate[best] > unlike
+            for i, b, s, out in zip(some, best.tolist(), score.tolist(), far.tolist(), strict=True):
+                if not out:
+                    langs[i], scores[i] = self.languages[b], float(s)
         return langs, scores
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 60_000, sample_docs: int = 400) -> CrossParser:
-    """Fit on a bounded, documented sample of labelled rows: at most ``sample_docs`` texts per language."""
-    rows = docs.select(id_text(id_col).alias("_id"), F.substring(F.col(text_col).cast("string"), 1, sample_chars).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 60_000, sample_docs: int = 400, doc_chars: int = 3_000, languages: int = 200) -> CrossParser:
+    """Fit on a bounded, documented sample of labelled rows: many texts of each language, none of which stands for it alone."""
+    rows = docs.select(id_text(id_col).alias("_id"), F.substring(F.col(text_col).cast("string"), 1, doc_chars).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     rows = rows.filter("_lang is not null and _text is not null").withColumn("_key", F.xxhash64("_id"))
     # A histogram of keys per language gives a cut that leaves few rows; the window then sees only those.
-    counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect()}
     if not counts:
         return CrossParser({})
+    rows = rows.filter(F.col("_lang").isin(*counts))
     cut = F.lit(1.0)
     for lang, n in counts.items():
         cut = F.when(F.col("_lang") == lang, F.lit(min(1.0, 4.0 * sample_docs / n))).otherwise(cut)
@@ -228,11 +241,11 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, parser).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def filter_languages(docs: DataFrame, accepted: tuple[str, ...] | None = None, *, text_col: str = "text") -> DataFrame:
+def filter_languages(docs: DataFrame, accepted: tuple[str, ...] | None = None, *, text_col: str = "text", unlike: float = UNLIKE) -> DataFrame:
     """The documents whose predicted language is accepted (by default any that can be learned); columns stay as they are.
 
-    A text without a letter has no language and is rejected.  Where nothing can be learned and no language is named, all
-    documents stay.
+    A text without a letter, or unlike all learned languages, has no language and is rejected.  Where nothing can be
+    learned and no language is named, all documents stay.
     """
     parser = learn(docs)
     if accepted is None and not parser.languages:
@@ -243,7 +256,7 @@ def filter_languages(docs: DataFrame, accepted: tuple[str, ...] | None = None, *
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):
-                langs, _ = shared.value.predict(part.column(at).to_pylist())
+                langs, _ = shared.value.predict(part.column(at).to_pylist(), unlike)
                 yield part.filter(pa.array([x != "und" if accepted is None else x in accepted for x in langs], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

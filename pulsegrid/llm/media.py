@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import slices, table, texts
-from pulsegrid.llm.flac import FlacError, decode, encode
+from pulsegrid.llm.flac import FlacError, decode, encode, stream_bits
 
 #: Payloads are padded with zero bytes to a positive multiple of this.
 UNIT = 64
@@ -49,7 +49,10 @@ def stored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def pcm_blocks(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", errors: str = "raise") -> DataFrame:
-    """(doc_id, block, sample_offset, n_samples, pcm): signed little-endian samples, one row per FLAC frame."""
+    """(doc_id, block, sample_offset, n_samples, bits, pcm): one row per FLAC frame.
+
+    Samples are signed and little-endian, of one byte where the stream's ``bits`` per sample are 8 or fewer, else of two.
+    """
     rows = media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).filter(F.col("media").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,16 +60,16 @@ def pcm_blocks(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "me
             for doc, raw in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 try:
                     (x,), (where,) = decode([raw])
-                    width = "<i1" if len(x) == 0 or (x.min() >= -128 and x.max() < 128) else "<i2"
-                    out = [(i, at, n, x[at : at + n].astype(width).tobytes()) for i, (at, n) in enumerate(where)]
+                    bits = stream_bits(raw)
+                    out = [(i, at, n, bits, x[at : at + n].astype("<i1" if bits <= 8 else "<i2").tobytes()) for i, (at, n) in enumerate(where)]
                 except FlacError:
                     if errors != "null":
                         raise
-                    out = [(0, 0, 0, None)]
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(out), batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True))], names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
+                    out = [(0, 0, 0, None, None)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(out), batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True))], names=["doc_id", "block", "sample_offset", "n_samples", "bits", "pcm"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, block int, sample_offset bigint, n_samples int, pcm binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, block int, sample_offset bigint, n_samples int, bits int, pcm binary")
 
 
 def _features(samples: list[np.ndarray]) -> list[str]:

@@ -200,6 +200,13 @@ def test_foreign_frames(bits):
         flac.decode([bytes(bad)])
 
 
+def test_quiet_media_keep_their_width(spark):
+    samples = [i % 7 - 3 for i in range(256)]
+    data = stream([frame(samples, 16, [], 0, [3], fixed=0)], samples, 16)
+    (r,) = media.pcm_blocks(spark.createDataFrame([(1, bytearray(data))], "doc_id bigint, media binary")).collect()
+    assert r["bits"] == 16 and np.frombuffer(bytes(r["pcm"]), dtype="<i2").tolist() == samples
+
+
 def test_every_check_is_made():
     (data,) = flac.encode([b"some text that is long enough" * 90])
     caught = 0
@@ -250,6 +257,7 @@ def test_pcm_blocks(spark):
         if d == 1:
             assert offset == at
             at += n
+    assert all(r["bits"] == 8 for r in media.pcm_blocks(df).collect())
     bad = spark.createDataFrame([(1, bytearray(b"fLaC nonsense that is no stream at all, none whatever ......")), (2, None)], "doc_id bigint, media binary")
     got = media.pcm_blocks(bad, errors="null").collect()
     assert [(r["doc_id"], r["pcm"]) for r in got] == [(1, None)]

@@ -48,10 +48,20 @@ def test_stages(spark, tmp_path):
     assert final == sorted(map(str, corpus_pipeline.run(spark, folder).collect()))
 
 
+def test_languages_that_were_not_learned_go(spark):
+    rng = random.Random(8)
+    words = {"en": "the house with would think and river they were walking".split(), "de": "der haus und schön nicht gehen fluß werden über".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang, "s", 1) for i in range(120) for lang in [rng.choice(["en", "de"])]]
+    rows += [(500, " ".join("".join(rng.choice("бвгджзклмнпрст") for _ in range(6)) for _ in range(60)), None, "s", 1), (501, "the house", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.language_id(spark, docs, "").collect()
+    assert {r["doc_id"] for r in kept} == {r[0] for r in rows} - {500}
+
+
 def test_one_query_per_operator():
     names = [n for n in registry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
-    assert set(registry.oracle_sql()) <= set(names)
+    assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
 def test_the_rest_works_without(tmp_path):

@@ -117,11 +117,34 @@ def test_line_dedup_by_hand(spark, monkeypatch):
 
 
 def test_line_dedup_odd(spark, odd, none):
-    out = linededup.drop_boilerplate(odd, F.col("source"), ratio=0.3, least=2)
-    assert out.count() == odd.count() and out.filter("_dropped_lines > 0").count() == 3
+    marked = odd.withColumn("_dropped_lines", F.lit(7))
+    out = linededup.drop_boilerplate(marked, F.col("source"), ratio=0.3, least=2, count="went")
+    assert out.count() == odd.count() and out.filter("went > 0").count() == 3 and out.filter("_dropped_lines = 7").count() == odd.count()
+    assert linededup.drop_boilerplate(marked, F.col("source")).columns == marked.columns
     assert linededup.drop_boilerplate(none, F.col("source")).count() == 0
 
 
+def test_lines_keep_their_ends(spark):
+    rows = [(0, "menu\r\na\rmenu\nb\r\n\r\nc\nmenu"), (1, "menu"), (2, "x\r\nmenu\r\n"), (3, "y\r\nz\n")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in linededup.drop_boilerplate(df, F.lit("h"), ratio=0.5, count="n").collect()}
+    assert got == {0: ("a\rb\r\n\r\nc", 3), 1: ("", 1), 2: ("x\r\n", 1), 3: ("y\r\nz\n", 0)}
+    # two pages are few, but what stands on both is repeated; what stands on one is not
+    pair = spark.createDataFrame([(0, "menu\nown"), (1, "menu\nother")], "doc_id bigint, text string")
+    assert sorted(r["text"] for r in linededup.drop_boilerplate(pair, F.lit("h")).collect()) == ["other", "own"]
+    assert linededup.drop_boilerplate(pair.limit(1), F.lit("h")).first()["text"] == "menu\nown"
+
+
+def test_line_dedup_of_pages_against_sql(spark, tmp_path):
+    rows = [(i, url, html) for i, (url, html) in enumerate([("https://A.example.com/x?q=1", "<nav>\n<p>one</p>\n</html>"), ("http://a.example.com:80/y", "<nav>\r\n<p>two</p>\r\n</html>"), ("https://b.example/#z", "<nav>\n<p>three</p>"), (None, "<nav>\nq"), (None, None), ("nonsense", "<nav>"), ("https://b.example", "")])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = linededup.line_dedup_pages(spark, tables(tmp_path, spark, pages=pages)).collect()
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    compare(got, con, linededup.SQL["line_dedup_pages"])
+    assert {r["page_id"]: r["dropped_lines"] for r in got} == {0: 2, 1: 2, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0}
+
+
 def brute_leaks(docs, items):
     found = {}
     for i, t in items:
