@@ -609,7 +609,7 @@ def _(d: Domain) -> DataFrame:
     return d.event.select("number", rounded(signals.microvolts(code), 2).alias("microvolts"))
 
 
-# Without an oracle: generated signals and what is found in them.
+# Generated entities and signals
 
 
 SECONDS, RATE = 120, 250
@@ -621,16 +621,22 @@ def _recorded(d: Domain) -> DataFrame:
     return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "study_id")
 
 
-@query("g15_synthetic_signal")
+@query("g15_synthetic_signal", f"SELECT id AS study_id, CAST({RATE} AS BIGINT) AS sample_rate, (epoch_us(started_at) // 1000) AS start_ts_ms, CAST(0 AS BIGINT) AS chunk_index, CAST({SECONDS * RATE} AS BIGINT) AS n FROM live_study")
 def _(d: Domain) -> DataFrame:
-    return synthetic.signals(_recorded(d), seconds=SECONDS, rate=RATE).select("study_id", "sample_rate", "start_ts_ms", "chunk_index", F.size("samples").alias("n"))
+    return timed(synthetic.signals(_recorded(d), seconds=SECONDS, rate=RATE).select("study_id", "sample_rate", "start_ts_ms", "chunk_index", F.size("samples").alias("n")))
 
 
 @query("g20_rhythm")
 def _(d: Domain) -> DataFrame:
+    """Without an oracle: what is found in generated signals is held against their beats in the tests."""
     return rhythm.hrv(rhythm.peaks_of(_recorded(d), partial(synthetic.ecg, seconds=SECONDS, rate=RATE), RATE))
 
 
-@query("s07_synthetic_devices")
+@query("s07_synthetic_devices", f""", g AS (SELECT i AS k, 'assigned' AS status, 'p_' || lpad(CAST(i AS VARCHAR), 3, '0') AS holder, TRUE AS seen, 30 AS age FROM range(1, 26) t(i) WHERE (i - 1) % 4 <> 3
+ UNION ALL SELECT 25 + e, CASE WHEN e <= 8 THEN 'available' WHEN e <= 10 THEN 'maintenance' ELSE 'retired' END, NULL, e NOT IN (7, 8, 11), 7 FROM range(1, 12) t(e))
+SELECT 'd_' || lpad(CAST(k AS VARCHAR), 3, '0') AS id, 'HOLTER-AR-' || lpad(CAST(k AS VARCHAR), 3, '0') AS serial, 'SIM7080G v1' AS model, '0.3.1' AS firmware_version, status, holder AS assigned_patient_id, CASE WHEN seen THEN (epoch_us(TIMESTAMP '{AS_OF}') // 1000) - (k % 24) * 3600000 - 900000 END AS last_seen_at, (epoch_us(TIMESTAMP '{AS_OF}') // 1000) - (k + age) * 86400000 AS created_at FROM g""")
 def _(d: Domain) -> DataFrame:
-    return synthetic.devices(synthetic.patients(d.event.sparkSession, AS_OF), AS_OF)
+    return timed(synthetic.devices(synthetic.patients(d.event.sparkSession, AS_OF), AS_OF))
+
+
+from pulsegrid import catalog_details as _details  # noqa: E402, F401  it adds its queries to these

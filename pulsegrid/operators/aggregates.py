@@ -15,6 +15,11 @@ def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 
 
+def there() -> Column:
+    """Whether a group has a row."""
+    return F.count("*") > 0
+
+
 def exists(df: DataFrame) -> bool:
     return not df.limit(1).isEmpty()
 

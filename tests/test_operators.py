@@ -98,3 +98,16 @@ def test_projections(spark):
     assert back["contact_email"] == "" and back["contact_phone"] == "x"
     d = spark.createDataFrame([(" s ", "m ", "  ")], "serial string, model string, firmware_version string")
     assert list(projections.device_form_to_input(d).first()) == ["s", "m", None]
+
+
+def test_tables_of_a_database(spark):
+    """The relational connector, against the database that Spark brings along."""
+    url = "jdbc:derby:memory:pulsegrid;create=true"
+    rows = spark.createDataFrame([(i, f"p_{i}", None if i % 3 else f"n{i}") for i in range(20)], "n int, id string, dni string")
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows.write.jdbc(url, '"patient"', mode="overwrite", properties=driver)
+    whole = tables.scan_jdbc(spark, url, "patient", **driver)
+    parts = tables.scan_jdbc(spark, url, "patient", key="n", bounds=(0, 20), parts=4, **driver)
+    assert parts.rdd.getNumPartitions() == 4 and sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) == sorted(map(tuple, rows.collect()))
+    plan = whole.filter("id = 'p_3'").select("dni")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*IsNotNull(id), *EqualTo(id,p_3)]" in plan
