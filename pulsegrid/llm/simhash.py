@@ -23,12 +23,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import saved, shuffle_tasks, slices, table, texts
+from pulsegrid.llm.common import by_group, saved, shuffle_tasks, slices, table, texts
 from pulsegrid.llm.components import components
 
 SEED = 42
@@ -143,25 +142,6 @@ def _shard_keys(fp: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("which"), block[i].alias("one"), block[j].alias("two")) for k, (i, j) in enumerate(combinations(range(n), 2))])
 
 
-def by_group(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by group; a group may go on in the next batch."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([*held, batch])
-        new = np.zeros(t.num_rows, dtype=bool)
-        for g in group:
-            c = t.column(g).combine_chunks()
-            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
-        starts = [0, *np.flatnonzero(new).tolist()]
-        for a, b in zip(starts, starts[1:], strict=False):
-            yield t.slice(a, b - a)
-        held = t.slice(starts[-1]).to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _meet(rows: DataFrame, group: list[str], radius: int, payload: str | None, same: Callable[[object, object], bool] | None) -> DataFrame:
     """rows (id, fp, group columns, tree, query, payload) -> links (a, b): in each group the queries search the trees' rows."""
     kind = rows.schema["id"].dataType.simpleString()
