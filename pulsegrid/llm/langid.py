@@ -106,11 +106,16 @@ class CrossParser:
             codes = self.codes(samples[lang])
             cut = max(1, len(codes) * 9 // 10)
             one = SuffixAutomaton(codes[:cut].tolist()).table(self.width)
-            tables.append(np.where(one < 0, one.astype(np.int64) - base, one.astype(np.int64) + base))
+            if base + len(one) >= 1 << 31:
+                one = one.astype(np.int64)
+            for lo in range(0, len(one), 1 << 20):  # in place, and without large temporary arrays
+                part = one[lo : lo + (1 << 20)]
+                part += np.where(part < 0, -base, base).astype(one.dtype)
+            tables.append(one)
             base += len(one)
             self.roots.append(base - self.width)
-        kind = np.int32 if base < 1 << 31 else np.int64
-        self.tables = np.concatenate([t.astype(kind) for t in tables]) if tables else np.empty(0, dtype=kind)
+        self.tables = np.concatenate(tables) if tables else np.empty(0, dtype=np.int32)
+        del tables
         for lang, root in zip(self.languages, self.roots, strict=True):
             own = self.codes(samples[lang])
             own = own[max(1, len(own) * 9 // 10) :]
