@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pulsegrid.llm.common import mixed, slices, table
 
@@ -195,7 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """(doc_id, item_id, similarity, start_word): each document and item that a window of the document matches."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = [rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
-    item_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for index in _blocks(benchmark, item_col, "text", block_items):
         shared = docs.sparkSession.sparkContext.broadcast(index)

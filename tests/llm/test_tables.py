@@ -207,4 +207,7 @@ def test_decontamination_odd(spark, odd, none):
     b = spark.createDataFrame([(None, "the cat sat on the mat and looked at the dog"), (1, None)], "item_id bigint, text string")
     assert sorted(r["doc_id"] for r in decontam.leaks(odd, b).collect()) == [1, 1, 2]
     assert decontam.drop_leaks(odd, b).columns == odd.columns and decontam.drop_leaks(odd, b).count() == odd.count() - 3
+    for kind, value in (("smallint", 3), ("double", 2.5), ("string", "q"), ("date", "2024-01-02")):
+        item = spark.createDataFrame([("the cat sat on the mat and looked at the dog",)], "text string").withColumn("item_id", F.lit(value).cast(kind))
+        assert [str(r["item_id"]) for r in decontam.leaks(odd, item).collect()] == [str(value)] * 3
     assert decontam.leaks(none, b).count() == 0 and decontam.leaks(odd, b.limit(0)).count() == 0
