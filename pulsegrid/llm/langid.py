@@ -20,6 +20,7 @@ an empty table gives an empty result; repeated rows are answered alike; further
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,52 +41,50 @@ FIRST = 3
 
 
 class SuffixAutomaton:
-    """The smallest automaton of all substrings of a sequence of symbols."""
+    """The smallest automaton of all substrings of a sequence of symbols, as one flat array of transitions (-1: none)."""
 
-    def __init__(self, symbols: list[int]):
-        nexts: list[dict[int, int]] = [{}]
-        link, length, last = [-1], [0], 0
+    def __init__(self, symbols: list[int], width: int):
+        flat = array("i", [-1]) * (2 * max(len(symbols), 1) * width)  # there are fewer than twice as many states as symbols
+        link, length, last, states = [-1], [0], 0, 1
         for c in symbols:
-            cur = len(nexts)
-            nexts.append({})
+            cur, states = states, states + 1
             length.append(length[last] + 1)
             link.append(0)
             p = last
-            while p != -1 and c not in nexts[p]:
-                nexts[p][c] = cur
+            while p != -1 and flat[p * width + c] < 0:
+                flat[p * width + c] = cur
                 p = link[p]
             if p != -1:
-                q = nexts[p][c]
+                q = flat[p * width + c]
                 if length[p] + 1 == length[q]:
                     link[cur] = q
                 else:
-                    clone = len(nexts)
-                    nexts.append(dict(nexts[q]))
+                    clone, states = states, states + 1
+                    flat[clone * width : (clone + 1) * width] = flat[q * width : (q + 1) * width]
                     length.append(length[p] + 1)
                     link.append(link[q])
-                    while p != -1 and nexts[p].get(c) == q:
-                        nexts[p][c] = clone
+                    while p != -1 and flat[p * width + c] == q:
+                        flat[p * width + c] = clone
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.nexts = nexts
+        self.flat, self.width, self.states = flat, width, states
 
-    def table(self, width: int) -> np.ndarray:
-        """Flat transitions: (state * width + symbol) -> next state * width, or its negative complement if a new phrase begins there.
+    def table(self, out: np.ndarray | None = None, base: int = 0) -> np.ndarray:
+        """Flat transitions, from ``base`` on: state * width + symbol -> next state * width, or its negative complement if a new phrase begins there.
 
         A last row is the state before the first symbol and after one that the sample does not have: whatever follows
         begins a phrase.
         """
-        n = len(self.nexts)
-        out = np.empty((n + 1, width), dtype=np.int32)
-        first = np.full(width, n * width, dtype=np.int32)
-        for c, t in self.nexts[0].items():
-            first[c] = t * width
-        out[:] = ~first
-        rows = np.repeat(np.arange(n), [len(x) for x in self.nexts])
-        cols = np.array([c for x in self.nexts for c in x], dtype=np.int64)
-        out[rows, cols] = np.array([t * width for x in self.nexts for t in x.values()], dtype=np.int32)
-        return out.ravel()
+        n, width = self.states, self.width
+        out = np.empty((n + 1) * width, dtype=np.int32) if out is None else out[: (n + 1) * width]
+        own, rows = np.frombuffer(self.flat, dtype=np.int32)[: n * width].reshape(n, width), out.reshape(n + 1, width)
+        first = np.where(own[0] < 0, n * width, own[0] * width).astype(out.dtype) + base
+        for lo in range(0, n, 4096):
+            part = own[lo : lo + 4096]
+            rows[lo : lo + len(part)] = np.where(part < 0, ~first, part.astype(out.dtype) * width + base)
+        rows[n] = ~first
+        return out
 
 
 class CrossParser:
@@ -100,22 +99,16 @@ class CrossParser:
         self.alphabet = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - FIRST]]
         self.width = SYMBOLS
         self._lookup()
-        tables, rate, base = [], [], 0
+        rate, base = [], 0
         self.roots = []
-        for lang in self.languages:
-            codes = self.codes(samples[lang])
-            cut = max(1, len(codes) * 9 // 10)
-            one = SuffixAutomaton(codes[:cut].tolist()).table(self.width)
-            if base + len(one) >= 1 << 31:
-                one = one.astype(np.int64)
-            for lo in range(0, len(one), 1 << 20):  # in place, and without large temporary arrays
-                part = one[lo : lo + (1 << 20)]
-                part += np.where(part < 0, -base, base).astype(one.dtype)
-            tables.append(one)
+        learned = [(lang, codes[: max(1, len(codes) * 9 // 10)]) for lang in self.languages for codes in [self.codes(samples[lang])]]
+        most = sum((2 * max(len(codes), 1) + 1) * self.width for _, codes in learned)
+        every = np.empty(most, dtype=np.int32 if most < 1 << 31 else np.int64)  # all languages in one; what is not filled is never touched
+        for _, codes in learned:
+            one = SuffixAutomaton(codes.tolist(), self.width).table(every[base:], base)
             base += len(one)
             self.roots.append(base - self.width)
-        self.tables = np.concatenate(tables) if tables else np.empty(0, dtype=np.int32)
-        del tables
+        self.tables = every[:base]
         for lang, root in zip(self.languages, self.roots, strict=True):
             own = self.codes(samples[lang])
             own = own[max(1, len(own) * 9 // 10) :]

@@ -207,7 +207,7 @@ def test_cross_parsing_against_brute_force():
 
 def test_suffix_automaton():
     text = [3, 4, 3, 3, 4, 5, 3, 4]
-    table = langid.SuffixAutomaton(text).table(8).reshape(-1, 8)
+    table = langid.SuffixAutomaton(text, 8).table().reshape(-1, 8)
     for i in range(len(text)):
         at = 0
         for c in text[i:]:
