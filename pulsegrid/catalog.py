@@ -446,15 +446,10 @@ def _(d: Domain) -> DataFrame:
     return windows.period_delta(days, "events", "day", "device_id").select("device_id", F.col("day").cast("string").alias("day"), "events", "delta", "trend")
 
 
-@query("w08_baseline_drift", ", n AS (SELECT device_id, CAST(moment AS DATE) AS night, avg(value) AS mean FROM event WHERE device_id IN ('d_1', 'd_2', 'd_3') GROUP BY ALL) SELECT device_id, CAST(night AS VARCHAR) AS night, round(mean, 4) AS mean, round(mean - avg(mean) OVER (PARTITION BY device_id ORDER BY night ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 4) AS drift FROM n")
-def _(d: Domain) -> DataFrame:
-    rows = d.event.filter(F.col("device_id").isin("d_1", "d_2", "d_3")).withColumn("night", F.to_date("at"))
-    return windows.baseline_drift(rows, "device_id").select("device_id", F.col("night").cast("string").alias("night"), rounded(F.col("mean")).alias("mean"), rounded(F.col("drift")).alias("drift"))
-
-
 _DRIFT = ", n AS (SELECT device_id, CAST(moment AS DATE) AS night, avg(value) AS mean FROM event GROUP BY ALL) SELECT device_id, CAST(night AS VARCHAR) AS night, round(mean, 8) AS mean, round(mean - avg(mean) OVER (PARTITION BY device_id ORDER BY night ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 8) AS drift FROM n"
 
 
+@query("w08_baseline_drift", _DRIFT)
 @query("w08_baseline_drift_all", _DRIFT)
 def _(d: Domain) -> DataFrame:
     rows = d.event.withColumn("night", F.to_date("at"))
