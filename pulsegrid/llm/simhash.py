@@ -6,8 +6,9 @@ A text's fingerprint is the bitwise majority of the XXH64 values of its word shi
 Search: the 64 bits are cut into ``radius + 2`` blocks.  Two fingerprints within the radius agree in two blocks at
 least, so each distinct fingerprint goes to one shard per pair of blocks, keyed by their bits.  A shard's fingerprints
 form a BK-tree (children keyed by their Hamming distance to the parent), and a query follows only the edges whose
-distance is within the radius of its own distance to the node.  A shard beyond ``shard_rows`` is cut into parts (see
-``link``).  Trees meet their queries through the shuffle, which takes the place of a driver broadcast: fingerprints of
+distance is within the radius of its own distance to the node.  A shard beyond ``shard_rows`` is sharded once more: its
+other blocks are halved, and of the halves as many as ``radius`` agree.  What is still larger, numbers that differ in few
+bits, is cut into parts (see ``link``).  Trees meet their queries through the shuffle, which takes the place of a driver broadcast: fingerprints of
 all documents never reach the driver.  A shard yields links from each linked set to its smallest fingerprint; that keeps
 all components and stays linear.
 
@@ -142,6 +143,19 @@ def _shard_keys(fp: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("which"), block[i].alias("one"), block[j].alias("two")) for k, (i, j) in enumerate(combinations(range(n), 2))])
 
 
+def _finer_keys(fp: Column, which: Column, radius: int) -> Column:
+    """One struct (choice, bits) per choice of ``radius`` of the halves of the blocks that the shard's two leave."""
+    n = radius + 2
+    cuts = [64 * i // n for i in range(n + 1)]
+    out = None
+    for k, pair in enumerate(combinations(range(n), 2)):
+        halves = [(lo, hi) for i in range(n) if i not in pair for mid in [(cuts[i] + cuts[i + 1]) // 2] for lo, hi in ((cuts[i], mid), (mid, cuts[i + 1]))]
+        taken = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in halves]
+        keys = F.array(*[F.struct(F.lit(c).alias("choice"), F.concat_ws(".", *[taken[i].cast("string") for i in some]).alias("bits")) for c, some in enumerate(combinations(range(len(halves)), radius))])
+        out = F.when(which == k, keys) if out is None else out.when(which == k, keys)
+    return out
+
+
 def _meet(rows: DataFrame, group: list[str], radius: int, payload: str | None, same: Callable[[object, object], bool] | None) -> DataFrame:
     """rows (id, fp, group columns, tree, query, payload) -> links (a, b): in each group the queries search the trees' rows."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -170,10 +184,12 @@ def _meet(rows: DataFrame, group: list[str], radius: int, payload: str | None, s
     return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def link(keys: DataFrame, by: list[str], *, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, payload: str | None = None, same: Callable[[object, object], bool] | None = None) -> DataFrame:
+def link(keys: DataFrame, by: list[str], *, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, payload: str | None = None, same: Callable[[object, object], bool] | None = None, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """keys (id, fp, shard columns) -> links (a, b) that connect all ids of a shard within the radius, directly or through others.
 
-    ``same`` may test two payloads further.  A shard beyond ``shard_rows`` is cut into parts.  First each part is
+    ``same`` may test two payloads further.  ``finer`` lays the rows of shards beyond ``shard_rows`` out over further
+    shard columns, which it adds, such that no two within the radius miss each other; so they cost in proportion to
+    their number.  Where there is none, or what it makes is still too large, a shard is cut into parts.  First each part is
     searched by itself, together with some anchors of the shard that go to all parts; near copies all join the shard's
     largest component there.  Then only rows outside that component go to all parts and are searched for there: pairs
     inside it are connected already, so no link between components is lost, and a large group of near copies costs in
@@ -187,6 +203,10 @@ def link(keys: DataFrame, by: list[str], *, radius: int = RADIUS, shard_rows: in
     if full.filter(F.col("_n") > shard_rows).isEmpty():
         return links
     hot = keys.join(full.filter(F.col("_n") > shard_rows), by)
+    if finer is not None:
+        spread = finer(hot.drop("_n"))
+        more = [c for c in spread.columns if c not in keys.columns]
+        return links.unionByName(link(spread, [*by, *more], radius=radius, shard_rows=shard_rows, payload=payload, same=same))
     hot = hot.withColumn("_parts", F.ceil(F.col("_n") * 2 / F.lit(shard_rows)).cast("int"))
     hot = saved(hot.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("_parts")).cast("int")))
     parts = F.sequence(F.lit(0), F.col("_parts") - 1)
@@ -205,12 +225,13 @@ def link(keys: DataFrame, by: list[str], *, radius: int = RADIUS, shard_rows: in
     return links.unionByName(_meet(asked.unionByName(hot.withColumn("tree", whole).withColumn("query", F.lit(False))), group, radius, payload, same))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, fp, root, component_id, fingerprint) for every document."""
     prints = saved(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("_first")))
     keys = distinct.select(F.col("fp").alias("id"), "fp", F.explode(_shard_keys(F.col("fp"), radius)).alias("k")).select("id", "fp", "k.*")
-    linked = components(link(keys, ["which", "one", "two"], radius=radius)).withColumnRenamed("node", "fp")
+    finer = lambda hot: hot.select("*", F.explode(_finer_keys(F.col("fp"), F.col("which"), radius)).alias("_f")).select(*hot.columns, "_f.*")
+    linked = components(link(keys, ["which", "one", "two"], radius=radius, shard_rows=shard_rows, finer=finer)).withColumnRenamed("node", "fp")
     named = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("_first").alias("component_id"))
     groups = saved(named.select("fp", "root").join(names, "root"))

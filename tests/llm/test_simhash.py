@@ -117,3 +117,28 @@ def test_keep_one_on_odd_tables(spark, odd, none):
     ids = sorted((r["doc_id"] or 0) for r in kept.collect())
     assert ids == [0, 1, 3, 5, 7, 8, 9]
     assert neardup.keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("radius", [2, 3])
+def test_a_large_shard_without_a_large_group(spark, radius):
+    """Many fingerprints that agree in two blocks and hardly in more: found through further keys, and whole."""
+    rng = random.Random(radius)
+    n = radius + 2
+    free = [64 * i // n for i in range(n + 1)][-radius - 1]  # the upper blocks are free
+    values = {(rng.getrandbits(64 - free) << free) | 0x123 for _ in range(300)}
+    for v in list(values)[:150]:
+        for _ in range(rng.choice([1, 2])):
+            w = v
+            for b in rng.sample(range(64), radius):
+                w ^= 1 << b
+            values.add(w)
+    values = sorted(values)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(v),) for v in values], "fp bigint")
+    keys = df.select(F.col("fp").alias("id"), "fp", F.explode(simhash._shard_keys(F.col("fp"), radius)).alias("k")).select("id", "fp", "k.*")
+    finer = lambda hot: hot.select("*", F.explode(simhash._finer_keys(F.col("fp"), F.col("which"), radius)).alias("_f")).select(*hot.columns, "_f.*")
+    found = components(simhash.link(keys, ["which", "one", "two"], radius=radius, shard_rows=32, finer=finer))
+    want = groups([(signed(a), signed(b)) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= radius], [signed(v) for v in values])
+    assert {r["node"]: r["root"] for r in found.collect()} == {v: r for v, r in want.items() if list(want.values()).count(r) > 1}
+    linked = simhash.near_duplicates(spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "q r s")], "doc_id bigint, text string"), shard_rows=1)
+    assert {r["doc_id"]: r["component_id"] for r in linked.collect()} == {1: 1, 2: 1, 3: 3}
