@@ -99,11 +99,13 @@ def test_probabilities_sum_to_one(spark):
 
 def test_runs_and_shards_do_not_change_the_model(spark):
     docs = spark.createDataFrame(lm_docs(spark), "doc_id bigint, text string").repartition(3)
-    a, b, c = kneserney.train(docs), kneserney.train(docs, run_tokens=50), kneserney.train(docs, shard_bytes=512)
-    assert a.shards == b.shards < c.shards
-    assert len({(m.tokens, m.grams, m.discounts, m.word_total, m.word_rest) for m in (a, b, c)}) == 1
-    one, two, three = (sorted(map(str, kneserney.score(docs, m).collect())) for m in (a, b, c))
-    assert one == two == three
+    models = kneserney.train(docs), kneserney.train(docs, run_tokens=50), kneserney.train(docs, shard_bytes=512, least_share=0.01), kneserney.train(docs, least_share=2.0)
+    a, b, c, d = models
+    assert a.shards == b.shards == d.shards < c.shards
+    assert len(c.frequent(2)) > 3 and len(a.frequent(2)) > 0 and len(d.frequent(2)) == 0  # more, some and no frequent contexts
+    assert len({(m.tokens, m.grams, m.discounts, m.word_total, m.word_rest) for m in models}) == 1
+    one, *others = (sorted(map(str, kneserney.score(docs, m).collect())) for m in models)
+    assert all(x == one for x in others)
 
 
 def test_a_missing_or_short_file_is_an_error(spark):
