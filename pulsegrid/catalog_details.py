@@ -18,7 +18,11 @@ from pulsegrid.sources import scratch, signals, tables
 from pulsegrid.sources.bindings import AS_OF, Domain
 from pulsegrid.streaming import ingest, status
 
-N = F.col("number")
+
+def num() -> Column:
+    """An event's number."""
+    return F.col("number")
+
 
 # Filters and sets
 
@@ -42,16 +46,16 @@ def _users(d: Domain) -> DataFrame:
 
 @query("f09_valid_sessions", _USERS + " SELECT u.id, e.number FROM usr u JOIN event e ON u.id = 'u_' || (e.number % 25) WHERE u.deleted_at IS NULL AND u.is_active AND (u.last_logout_at IS NULL OR e.moment > u.last_logout_at)")
 def _(d: Domain) -> DataFrame:
-    tokens = d.event.select("number", F.col("at").alias("issued_at"), F.concat(F.lit("u_"), (N % 25).cast("string")).alias("id"))
+    tokens = d.event.select("number", F.col("at").alias("issued_at"), F.concat(F.lit("u_"), (num() % 25).cast("string")).alias("id"))
     return predicates.valid_session(_users(d).join(tokens, "id"), F.col("issued_at")).select("id", "number")
 
 
 @query("f16_lists", """SELECT id, array_to_string(list_filter(string_split(t, ','), lambda x: x IN ('available', 'assigned', 'maintenance', 'retired')), ',') AS parsed, array_to_string(CASE WHEN list_contains(l, s) THEN list_filter(l, lambda x: x <> s) ELSE list_append(l, s) END, ',') AS toggled,
  array_to_string(list_sort(list_distinct(list_append(l, s))), ',') AS added, array_to_string(list_filter(l, lambda x: x <> s), ',') AS removed FROM (SELECT id, CASE number % 3 WHEN 0 THEN 'assigned,foo,available' WHEN 1 THEN 'retired,retired' ELSE '' END AS t, CASE WHEN number % 2 = 0 THEN ['assigned', 'available'] ELSE ['retired'] END AS l, CASE number % 4 WHEN 0 THEN 'assigned' WHEN 1 THEN 'retired' ELSE 'maintenance' END AS s FROM event)""")
 def _(d: Domain) -> DataFrame:
-    t = F.when(N % 3 == 0, "assigned,foo,available").when(N % 3 == 1, "retired,retired").otherwise("")
-    some = F.when(N % 2 == 0, F.array(F.lit("assigned"), F.lit("available"))).otherwise(F.array(F.lit("retired")))
-    s = F.when(N % 4 == 0, "assigned").when(N % 4 == 1, "retired").otherwise("maintenance")
+    t = F.when(num() % 3 == 0, "assigned,foo,available").when(num() % 3 == 1, "retired,retired").otherwise("")
+    some = F.when(num() % 2 == 0, F.array(F.lit("assigned"), F.lit("available"))).otherwise(F.array(F.lit("retired")))
+    s = F.when(num() % 4 == 0, "assigned").when(num() % 4 == 1, "retired").otherwise("maintenance")
     joined = lambda c: F.array_join(c, ",")
     return d.event.select("id", joined(text.parse_list(t, DEVICE_STATUSES)).alias("parsed"), joined(text.toggle(some, s)).alias("toggled"), joined(F.sort_array(sets.add(some, s))).alias("added"), joined(sets.remove(some, s)).alias("removed"))
 
@@ -71,17 +75,17 @@ def _(d: Domain) -> DataFrame:
  attempt < 2 AND method = 'get' AND failure IS DISTINCT FROM 'ERR_CANCELED' AND (status IS NULL OR status BETWEEN 500 AND 599) AS retried, CAST(least(1000 * 2 ** attempt, 8000) AS BIGINT) AS wait_ms, CASE WHEN attempt < 3 THEN 1 WHEN attempt = 3 THEN 2 ELSE 4 END AS upload_hours
 FROM (SELECT id, CASE WHEN number % 3 = 0 THEN 'post' ELSE 'get' END AS method, CASE number % 7 WHEN 0 THEN 'ETIMEDOUT' WHEN 1 THEN 'ERR_CANCELED' WHEN 2 THEN 'ECONNABORTED' END AS failure, CASE WHEN number % 2 = 0 THEN 390 + number % 230 END AS status, number % 6 AS attempt FROM event)""")
 def _(d: Domain) -> DataFrame:
-    method, attempt = F.when(N % 3 == 0, "post").otherwise("get"), N % 6
-    failure = F.when(N % 7 == 0, "ETIMEDOUT").when(N % 7 == 1, "ERR_CANCELED").when(N % 7 == 2, "ECONNABORTED")
-    code = F.when(N % 2 == 0, 390 + N % 230)
+    method, attempt = F.when(num() % 3 == 0, "post").otherwise("get"), num() % 6
+    failure = F.when(num() % 7 == 0, "ETIMEDOUT").when(num() % 7 == 1, "ERR_CANCELED").when(num() % 7 == 2, "ECONNABORTED")
+    code = F.when(num() % 2 == 0, 390 + num() % 230)
     return timed(d.event.select("id", requests.error_code(code, failure).alias("code"), requests.may_retry(method, code, failure, attempt).alias("retried"), clinical.backoff_ms(attempt).alias("wait_ms"), requests.upload_interval_hours(attempt).alias("upload_hours")))
 
 
 @query("t15_device_states", """SELECT id, state, CASE WHEN state = 'SIM_ERROR' THEN 'SIM_SLEEPING' WHEN state IN ('SIM_WAKING', 'SENDING', 'CONFIRMING') AND number % 3 = 0 THEN 'SIM_ERROR' ELSE list_extract(['PREPARING_BATCH', 'SIM_WAKING', 'SENDING', 'CONFIRMING', 'CLEANING_SD', 'SIM_SLEEPING', 'RECORDING'], CAST(number % 8 + 1 AS BIGINT)) END AS then_state
 FROM (SELECT id, number, list_extract(['RECORDING', 'PREPARING_BATCH', 'SIM_WAKING', 'SENDING', 'CONFIRMING', 'CLEANING_SD', 'SIM_SLEEPING', 'SIM_ERROR'], CAST(number % 8 + 1 AS BIGINT)) AS state FROM event)""")
 def _(d: Domain) -> DataFrame:
-    rows = d.event.withColumn("state", text.cyclic([*requests.DEVICE_STATES, "SIM_ERROR"], N))
-    return rows.select("id", "state", requests.next_device_state(F.col("state"), N % 3 != 0).alias("then_state"))
+    rows = d.event.withColumn("state", text.cyclic([*requests.DEVICE_STATES, "SIM_ERROR"], num()))
+    return rows.select("id", "state", requests.next_device_state(F.col("state"), num() % 3 != 0).alias("then_state"))
 
 
 @query("x37_claims", _USERS + f" SELECT id AS sub, email, role, epoch_us(TIMESTAMP '{AS_OF}') // 1000000 AS iat, epoch_us(TIMESTAMP '{AS_OF}') // 1000000 + 28800 AS exp FROM usr")
@@ -91,7 +95,7 @@ def _(d: Domain) -> DataFrame:
 
 @query("s09_stored_sessions", "SELECT id, CASE WHEN number % 3 <> 0 THEN 't' || number END AS token FROM event")
 def _(d: Domain) -> DataFrame:
-    kept = F.when(N % 3 == 0, F.concat(F.lit('{"token": '), N.cast("string"))).otherwise(F.concat(F.lit('{"token": "t'), N.cast("string"), F.lit('", "user": null}')))
+    kept = F.when(num() % 3 == 0, F.concat(F.lit('{"token": '), num().cast("string"))).otherwise(F.concat(F.lit('{"token": "t'), num().cast("string"), F.lit('", "user": null}')))
     return d.event.select("id", requests.stored_session(kept, "token string, user string")["token"].alias("token"))
 
 
@@ -114,7 +118,7 @@ def _(d: Domain) -> DataFrame:
 
 @query("j10_synchronised", "SELECT number AS frame, number % 1000 AS ecg, number % 77 AS impedance FROM event WHERE number % 2 = 0 AND number % 3 = 0")
 def _(d: Domain) -> DataFrame:
-    keys = d.event.select(F.lit("s").alias("study_id"), N.alias("frame"))
+    keys = d.event.select(F.lit("s").alias("study_id"), num().alias("frame"))
     ecg = keys.filter("frame % 2 = 0").withColumn("ecg", F.col("frame") % 1000)
     impedance = keys.filter("frame % 3 = 0").withColumn("impedance", F.col("frame") % 77)
     return joins.synchronised(ecg, impedance).select("frame", "ecg", "impedance")
@@ -158,56 +162,56 @@ def _(d: Domain) -> DataFrame:
 
 @query("x03_strip", "SELECT id, 'e' || number AS stripped FROM event")
 def _(d: Domain) -> DataFrame:
-    return d.event.select("id", text.strip(F.concat(F.lit(" \t\n"), F.lit("e"), N.cast("string"), F.lit("\r \x0b"))).alias("stripped"))
+    return d.event.select("id", text.strip(F.concat(F.lit(" \t\n"), F.lit("e"), num().cast("string"), F.lit("\r \x0b"))).alias("stripped"))
 
 
 @query("x04_split_names", "SELECT id, CASE WHEN number % 4 <> 3 THEN 'n' || number END AS first, CASE number % 4 WHEN 0 THEN '' WHEN 1 THEN 'b' WHEN 2 THEN 'b c' END AS last FROM event")
 def _(d: Domain) -> DataFrame:
-    name = F.when(N % 4 == 0, F.concat(F.lit("n"), N.cast("string"))).when(N % 4 == 1, F.concat(F.lit(" n"), N.cast("string"), F.lit("  b "))).when(N % 4 == 2, F.concat(F.lit("n"), N.cast("string"), F.lit(" b\t c"))).otherwise("  ")
+    name = F.when(num() % 4 == 0, F.concat(F.lit("n"), num().cast("string"))).when(num() % 4 == 1, F.concat(F.lit(" n"), num().cast("string"), F.lit("  b "))).when(num() % 4 == 2, F.concat(F.lit("n"), num().cast("string"), F.lit(" b\t c"))).otherwise("  ")
     parts = text.split_full_name(name)
     return d.event.select("id", parts["first"].alias("first"), parts["last"].alias("last"))
 
 
 @query("x08_client_ip", "SELECT id, CASE WHEN number % 3 = 0 THEN '10.0.0.' || (number % 250) ELSE '127.0.0.1' END AS ip FROM event")
 def _(d: Domain) -> DataFrame:
-    forwarded = F.when(N % 3 == 0, F.concat(F.lit(" 10.0.0."), (N % 250).cast("string"), F.lit(" , 9.9.9.9"))).when(N % 3 == 1, "")
+    forwarded = F.when(num() % 3 == 0, F.concat(F.lit(" 10.0.0."), (num() % 250).cast("string"), F.lit(" , 9.9.9.9"))).when(num() % 3 == 1, "")
     return d.event.select("id", text.client_ip(forwarded, F.lit("127.0.0.1")).alias("ip"))
 
 
 @query("x18_dates", "SELECT id, COALESCE(strftime(t, '%d/%m/%Y'), '—') AS day, COALESCE(strftime(t, '%d/%m/%Y, %H:%M'), '—') AS minute FROM (SELECT id, CASE WHEN number % 4 <> 0 THEN moment END AS t FROM event)")
 def _(d: Domain) -> DataFrame:
-    t = F.when(N % 4 != 0, F.col("at"))
+    t = F.when(num() % 4 != 0, F.col("at"))
     return d.event.select("id", clock.date_text(t).alias("day"), clock.datetime_text(t).alias("minute"))
 
 
 @query("x20_timestamps", """SELECT id, CASE WHEN ms < 0 THEN '-' ELSE '' END || lpad(CAST(a // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST(a // 3600000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(a % 3600000 // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(a % 60000 // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST(a % 1000 AS VARCHAR), 3, '0') AS shown
 FROM (SELECT id, ms, CAST(abs(floor(ms)) AS BIGINT) AS a FROM (SELECT id, (number * 7919 - 4000000) / 2.0e0 AS ms FROM event))""")
 def _(d: Domain) -> DataFrame:
-    return d.event.select("id", clock.timestamp_text((N * 7919 - 4_000_000) / F.lit(2.0)).alias("shown"))
+    return d.event.select("id", clock.timestamp_text((num() * 7919 - 4_000_000) / F.lit(2.0)).alias("shown"))
 
 
 @query("x22_deltas", "SELECT id, CASE WHEN v = 0 THEN 'Sin cambios' WHEN v > 0 THEN '+' || v || ' lpm' ELSE '−' || abs(v) || ' lpm' END AS shown, CASE WHEN v > 0 THEN '+' ELSE '' END || v || ' vs. período anterior' AS against, CASE WHEN v > 0 THEN 'up' WHEN v < 0 THEN 'down' ELSE 'flat' END AS trend FROM (SELECT id, number % 7 - 3 AS v FROM event)")
 def _(d: Domain) -> DataFrame:
-    v = N % 7 - 3
+    v = num() % 7 - 3
     return d.event.select("id", clinical.delta_text(v, "lpm").alias("shown"), clinical.delta_period_text(v).alias("against"), clinical.trend(v).alias("trend"))
 
 
 @query("x31_ids", "SELECT id, CASE WHEN number % 3 <> 0 THEN 'p_' || number END AS patient, CASE WHEN number % 3 <> 0 THEN number % 9 END AS study_number, 'HOLTER-AR-' || number AS serial, 'd_' || lpad(CAST(number AS VARCHAR), CAST(greatest(3, length(CAST(number AS VARCHAR))) AS INTEGER), '0') AS padded FROM event")
 def _(d: Domain) -> DataFrame:
-    n = N.cast("string")
-    parts = text.study_id_parts(F.when(N % 3 != 0, F.concat(F.lit("s_p_"), n, F.lit("_"), (N % 9).cast("string"))).otherwise(F.concat(F.lit("s_q_"), n)))
-    return timed(d.event.select("id", parts["patient"].alias("patient"), parts["number"].alias("study_number"), text.serial_of(F.concat(F.lit("d_"), n)).alias("serial"), text.padded("d_", N).alias("padded")))
+    n = num().cast("string")
+    parts = text.study_id_parts(F.when(num() % 3 != 0, F.concat(F.lit("s_p_"), n, F.lit("_"), (num() % 9).cast("string"))).otherwise(F.concat(F.lit("s_q_"), n)))
+    return timed(d.event.select("id", parts["patient"].alias("patient"), parts["number"].alias("study_number"), text.serial_of(F.concat(F.lit("d_"), n)).alias("serial"), text.padded("d_", num()).alias("padded")))
 
 
 @query("x33_numbers", "SELECT id, replace(format('{:,}', number * 1237), ',', '.') AS shown, nullif(CAST(number % 3 AS DOUBLE), 0) AS hours, '{\"reason\":\"r' || number || '\"' || CASE WHEN number % 2 = 0 THEN ',\"n\":' || number ELSE '' END || '}' AS metadata FROM event")
 def _(d: Domain) -> DataFrame:
-    return d.event.select("id", text.thousands(N * 1237).alias("shown"), clinical.zero_as_missing((N % 3).cast("double")).alias("hours"), text.metadata_json(reason=F.concat(F.lit("r"), N.cast("string")), n=F.when(N % 2 == 0, N)).alias("metadata"))
+    return d.event.select("id", text.thousands(num() * 1237).alias("shown"), clinical.zero_as_missing((num() % 3).cast("double")).alias("hours"), text.metadata_json(reason=F.concat(F.lit("r"), num().cast("string")), n=F.when(num() % 2 == 0, num())).alias("metadata"))
 
 
 @query("x40_synthetic_text", f"SELECT id, 'josé.' || CASE number % 3 WHEN 0 THEN 'garcia' WHEN 1 THEN 'pérez-gomez' ELSE 'diazáá' END || '@example.com' AS email, CASE number % 3 WHEN 0 THEN 'tachycardia' WHEN 1 THEN 'pause' ELSE 'pvc' END AS kind, (epoch_us(TIMESTAMP '{AS_OF}') // 1000) - (number % 50 + 1) * 37 * 60000 AS detected_at FROM event".replace("'pérez-gomez'", "'perez-gomez'").replace("'diazáá'", "'diazaá'"))
 def _(d: Domain) -> DataFrame:
-    last = F.when(N % 3 == 0, "García").when(N % 3 == 1, "Pérez-Gómez").otherwise("Díazáá")
-    return d.event.select("id", text.synthetic_email(F.lit("José"), last).alias("email"), text.cyclic(["tachycardia", "pause", "pvc"], N).alias("kind"), (clock.epoch_ms(clock.at(AS_OF)) - (N % 50 + 1) * 37 * 60_000).alias("detected_at"))
+    last = F.when(num() % 3 == 0, "García").when(num() % 3 == 1, "Pérez-Gómez").otherwise("Díazáá")
+    return d.event.select("id", text.synthetic_email(F.lit("José"), last).alias("email"), text.cyclic(["tachycardia", "pause", "pvc"], num()).alias("kind"), (clock.epoch_ms(clock.at(AS_OF)) - (num() % 50 + 1) * 37 * 60_000).alias("detected_at"))
 
 
 @query("x12_epoch", "SELECT id, CAST(floor(epoch_us(moment) / 1000) AS BIGINT) AS at_ms, moment IS NOT NULL AS there FROM event")
@@ -231,8 +235,8 @@ def _clamped(lo: str, hi: str) -> str:
 
 
 def _view(d: Domain) -> tuple[DataFrame, Column, Column, Column]:
-    lo = (N % 300).cast("double")
-    return d.event, lo, lo + 5 + N % 20, (310 + N % 50).cast("double")
+    lo = (num() % 300).cast("double")
+    return d.event, lo, lo + 5 + num() % 20, (310 + num() % 50).cast("double")
 
 
 @query("g06_initial", f", {_VIEW} SELECT id, total - 10 AS lo, total AS hi, CASE WHEN least(total, hi) > greatest(0, lo - 50) THEN greatest(0, lo - 50) ELSE 0 END AS asked_lo, CASE WHEN least(total, hi) > greatest(0, lo - 50) THEN least(total, hi) ELSE total END AS asked_hi FROM v")
@@ -244,7 +248,7 @@ def _(d: Domain) -> DataFrame:
 @query("g08_jump", f", {_VIEW} SELECT id, {_clamped('number % 400 - (hi - lo) / 2', 'number % 400 + (hi - lo) / 2')} FROM v")
 def _(d: Domain) -> DataFrame:
     df, lo, hi, total = _view(d)
-    return df.select("id", *_span(viewport.jump_to((N % 400) * 1000 + 5000, F.lit(5000), lo, hi, total)))
+    return df.select("id", *_span(viewport.jump_to((num() % 400) * 1000 + 5000, F.lit(5000), lo, hi, total)))
 
 
 @query("g09_zoom_about", f", {_VIEW} SELECT id, {_clamped('(lo + 1) - 1 * 1.2e0', '(lo + 1) + (hi - lo - 1) * 1.2e0')} FROM v")
@@ -256,7 +260,7 @@ def _(d: Domain) -> DataFrame:
 @query("g10_pan", f", {_VIEW}, w AS (SELECT id, {_clamped('lo - (number % 500 / 800e0) * (hi - lo)', 'hi - (number % 500 / 800e0) * (hi - lo)')} FROM v), k AS (SELECT id, {_clamped('lo + (hi - lo) * 0.1e0', 'hi + (hi - lo) * 0.1e0')} FROM v) SELECT w.id, w.lo, w.hi, k.lo AS key_lo, k.hi AS key_hi FROM w JOIN k USING (id)")
 def _(d: Domain) -> DataFrame:
     df, lo, hi, total = _view(d)
-    return df.select("id", *_span(viewport.pan_pixels(N % 500, F.lit(800.0), lo, hi, total)), *_span(viewport.pan_key(lo, hi, total, right=True), "key_lo", "key_hi"))
+    return df.select("id", *_span(viewport.pan_pixels(num() % 500, F.lit(800.0), lo, hi, total)), *_span(viewport.pan_key(lo, hi, total, right=True), "key_lo", "key_hi"))
 
 
 @query("g11_zoom", f", {_VIEW} SELECT id, round((lo + hi) / 2 - greatest(500, (hi - lo) / 2) / 2, 6) AS lo, round((lo + hi) / 2 + greatest(500, (hi - lo) / 2) / 2, 6) AS hi, round((lo + hi) / 2 - least(total, (hi - lo) * 2) / 2, 6) AS out_lo, round((lo + hi) / 2 + least(total, (hi - lo) * 2) / 2, 6) AS out_hi FROM (SELECT id, lo * 90 AS lo, hi * 100 AS hi, total * 10 AS total FROM v)")
@@ -269,7 +273,7 @@ def _(d: Domain) -> DataFrame:
 def _(d: Domain) -> DataFrame:
     df, lo, hi, total = _view(d)
     p = viewport.percents(lo * 1000 + 7000, hi * 1000 + 7000, F.lit(7000.0), total)
-    return df.select("id", rounded(p["left"], 6).alias("l"), rounded(p["width"], 6).alias("width"), *_span(viewport.reset(total), "reset_lo", "reset_hi"), rounded(viewport.duration_s(N % 9000, F.lit(250)), 6).alias("duration"), rounded(viewport.end_ms(F.lit(7000), N % 9000, F.lit(250)), 6).alias("end_at"))
+    return df.select("id", rounded(p["left"], 6).alias("l"), rounded(p["width"], 6).alias("width"), *_span(viewport.reset(total), "reset_lo", "reset_hi"), rounded(viewport.duration_s(num() % 9000, F.lit(250)), 6).alias("duration"), rounded(viewport.end_ms(F.lit(7000), num() % 9000, F.lit(250)), 6).alias("end_at"))
 
 
 @query("g03_pixels", """, s AS (SELECT vec_id, len(embedding) AS n, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)), k AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM s GROUP BY vec_id),
@@ -291,8 +295,8 @@ def _(d: Domain) -> DataFrame:
 @query("v05_device_forms", "SELECT id, array_to_string(list_filter([CASE WHEN NOT regexp_full_match(s, 'HOLTER-AR-[0-9]{3,}') THEN 'serial' END, CASE WHEN length(m) < 2 THEN 'model' END], lambda x: x IS NOT NULL), ',') AS broken, array_to_string(list_filter([CASE WHEN length(m) < 2 THEN 'model' END, CASE WHEN number % 4 >= 2 THEN 'status' END], lambda x: x IS NOT NULL), ',') AS edit_broken, number % 5 = 0 AS uuid FROM (SELECT id, number, 'HOLTER-AR-' || number AS s, CASE WHEN number % 3 = 0 THEN 'M' ELSE 'M1' END AS m FROM event)")
 def _(d: Domain) -> DataFrame:
     h = F.md5("id")
-    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.when(N % 5 == 0, F.upper(F.substring(h, 21, 12))).otherwise(F.substring(h, 21, 11)))
-    rows = d.event.select("id", F.concat(F.lit(" HOLTER-AR-"), N.cast("string")).alias("serial"), F.when(N % 3 == 0, "M ").otherwise("M1").alias("model"), F.element_at(F.array(*[F.lit(s) for s in ("available", "maintenance", "assigned", "retired")]), (N % 4 + 1).cast("int")).alias("status"), uuid.alias("u"))
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.when(num() % 5 == 0, F.upper(F.substring(h, 21, 12))).otherwise(F.substring(h, 21, 11)))
+    rows = d.event.select("id", F.concat(F.lit(" HOLTER-AR-"), num().cast("string")).alias("serial"), F.when(num() % 3 == 0, "M ").otherwise("M1").alias("model"), F.element_at(F.array(*[F.lit(s) for s in ("available", "maintenance", "assigned", "retired")]), (num() % 4 + 1).cast("int")).alias("status"), uuid.alias("u"))
     joined = lambda rules: F.array_join(validation.broken(rules), ",")
     return rows.select("id", joined(validation.device_form_rules()).alias("broken"), joined(validation.device_edit_rules()).alias("edit_broken"), validation.is_uuid(F.col("u")).alias("uuid"))
 
@@ -391,7 +395,7 @@ def _(d: Domain) -> DataFrame:
 
 
 def _logins(d: Domain) -> DataFrame:
-    return d.event.select(F.concat(F.lit("auth|"), (N % 40).cast("string")).alias("auth0_id"), F.concat(F.lit("w"), (N % 40).cast("string"), F.lit("@x.org")).alias("email"), F.lit("10.0.0.1").alias("ip"), "at")
+    return d.event.select(F.concat(F.lit("auth|"), (num() % 40).cast("string")).alias("auth0_id"), F.concat(F.lit("w"), (num() % 40).cast("string"), F.lit("@x.org")).alias("email"), F.lit("10.0.0.1").alias("ip"), "at")
 
 
 @query("m10_login", _USERS + ", l AS (SELECT 'auth|' || (number % 40) AS a, number % 40 AS n, moment FROM event) SELECT 'new' AS what, substr(sha256(a), 1, 32) AS id, 'w' || n AS name, count(*) AS rows FROM l WHERE n >= 25 GROUP BY a, n UNION ALL SELECT 'audit', COALESCE(u.id, substr(sha256(l.a), 1, 32)), 'LOGIN_OK', count(*) FROM l LEFT JOIN usr u ON l.a = u.auth0_id WHERE COALESCE(u.is_active, TRUE) GROUP BY ALL")
@@ -404,7 +408,7 @@ def _(d: Domain) -> DataFrame:
 
 @query("m11_logout", _USERS + ", o AS (SELECT 'u_' || (number % 25) AS u, max(moment) AS m FROM event WHERE number % 2 = 0 GROUP BY ALL) SELECT id, (epoch_us(COALESCE(o.m, last_logout_at)) // 1000) AS last_logout_at FROM usr LEFT JOIN o ON usr.id = o.u")
 def _(d: Domain) -> DataFrame:
-    outs = d.event.filter(N % 2 == 0).select(F.concat(F.lit("u_"), (N % 25).cast("string")).alias("user_id"), F.lit("10.0.0.1").alias("ip"), "at")
+    outs = d.event.filter(num() % 2 == 0).select(F.concat(F.lit("u_"), (num() % 25).cast("string")).alias("user_id"), F.lit("10.0.0.1").alias("ip"), "at")
     return timed(commands.log_out(_users(d), outs)[0].select("id", "last_logout_at"))
 
 
@@ -413,8 +417,8 @@ j AS (SELECT r.*, CASE WHEN a.id IS NULL THEN 'FORBIDDEN' WHEN m.email IS NOT NU
 SELECT seq, COALESCE(code, CASE WHEN seq > min(seq) FILTER (WHERE code IS NULL) OVER (PARTITION BY email) THEN 'EMAIL_CONFLICT' ELSE 'made' END) AS outcome FROM j""")
 def _(d: Domain) -> DataFrame:
     names = _users(d).select(F.regexp_extract("id", r"(\d+)$", 1).cast("bigint").alias("k"), F.col("email").alias("mail"))
-    rows = d.event.join(names, N % 25 == F.col("k"))
-    asked = rows.select(N.alias("seq"), F.concat(F.lit("x"), N.cast("string")).alias("id"), F.concat(F.lit("u_"), (N % 25).cast("string")).alias("by"), F.when(N % 4 == 0, F.col("mail")).otherwise(F.concat(F.lit("r"), (N % 300).cast("string"), F.lit("@x.org"))).alias("email"), F.lit("n").alias("full_name"), F.lit("medico").alias("role"))
+    rows = d.event.join(names, num() % 25 == F.col("k"))
+    asked = rows.select(num().alias("seq"), F.concat(F.lit("x"), num().cast("string")).alias("id"), F.concat(F.lit("u_"), (num() % 25).cast("string")).alias("by"), F.when(num() % 4 == 0, F.col("mail")).otherwise(F.concat(F.lit("r"), (num() % 300).cast("string"), F.lit("@x.org"))).alias("email"), F.lit("n").alias("full_name"), F.lit("medico").alias("role"))
     new, _, rejects = commands.register(_users(d), asked)
     return sets.bag(new.select("seq", F.lit("made").alias("outcome")), rejects.select("seq", F.col("code").alias("outcome")))
 
@@ -474,7 +478,7 @@ def _(d: Domain) -> DataFrame:
 
 @query("s05_checked_blobs", "SELECT id, CASE WHEN number % 3 <> 1 THEN 'SIGNAL_CORRUPT' END AS code FROM event")
 def _(d: Domain) -> DataFrame:
-    blobs = d.event.select("id", F.unhex(F.md5("id")).alias("content"), (3 + N % 3).alias("sample_count"))
+    blobs = d.event.select("id", F.unhex(F.md5("id")).alias("content"), (3 + num() % 3).alias("sample_count"))
     whole, corrupt = signals.checked_blobs(blobs)
     return sets.bag(whole.select("id", F.lit(None).cast("string").alias("code")), corrupt.select("id", "code"))
 
@@ -524,5 +528,5 @@ def _(d: Domain) -> DataFrame:
 
 @query("g24_non_diagnostic", ", s AS (SELECT device_id, number, row_number() OVER (PARTITION BY device_id ORDER BY number) AS n, number % 5 < 2 AS bad FROM event), i AS (SELECT *, n - row_number() OVER (PARTITION BY device_id, bad ORDER BY number) AS g FROM s) SELECT device_id, round(min(number) / 500e0, 6) AS start_s, round((max(number) + 1) / 500e0, 6) AS end_s, count(*) AS frames FROM i WHERE bad GROUP BY device_id, g")
 def _(d: Domain) -> DataFrame:
-    frames = d.event.select("device_id", N.alias("frame"), F.when(N % 5 < 2, "C00001").otherwise("C00000").alias("status"))
+    frames = d.event.select("device_id", num().alias("frame"), F.when(num() % 5 < 2, "C00001").otherwise("C00000").alias("status"))
     return rhythm.non_diagnostic(frames, "C00000", "device_id").select("device_id", rounded(F.col("start_s"), 6).alias("start_s"), rounded(F.col("end_s"), 6).alias("end_s"), "frames")

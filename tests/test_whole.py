@@ -1,5 +1,8 @@
 """Queries cover whole tables, not a few of their ids."""
 
+import os
+import subprocess
+import sys
 from datetime import datetime
 
 import duckdb
@@ -51,3 +54,9 @@ def test_peaks_of_a_function_are_peaks_of_its_chunks(spark):
     rows = spark.createDataFrame([("a", 0), ("b", 0)], "study_id string, start_ts_ms bigint")
     same = [sorted(map(tuple, df.collect())) for df in (rhythm.peaks(synthetic.signals(rows, seconds=20)), rhythm.peaks_of(rows, lambda k: synthetic.ecg(k, 20), 250))]
     assert same[0] == same[1] and same[0]
+
+
+def test_the_entry_point_needs_no_session():
+    """Queries are listed before there is a session."""
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; assert len(e.queries()) > 140 and set(e.oracle_sql()) <= set(e.queries()) and SparkContext._active_spark_context is None"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True, timeout=120)
