@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import by_group, saved, shuffle_tasks, slices, table, texts
+from pulsegrid.llm.common import by_group, maybe_broadcast, saved, shuffle_tasks, slices, table, texts
 from pulsegrid.llm.components import components
 
 SEED = 42
 RADIUS = 2
 #: Rows of a shard that one task works on together.
 SHARD_ROWS = 1024
+#: Shards of more than one row are picked out by a broadcast up to so many (some dozen bytes each), so that payloads move once.
+FULL_ROWS = 200_000
 #: About so many rows of a large shard go to all its parts.
 ANCHORS = 32
 
@@ -198,11 +200,11 @@ def link(keys: DataFrame, by: list[str], *, radius: int = RADIUS, shard_rows: in
     keys = saved(keys)
     whole = F.lit(True)
     full = saved(keys.groupBy(*by).agg(F.count("*").alias("_n")).filter("_n > 1"))
-    plain = keys.join(full.filter(F.col("_n") <= shard_rows).drop("_n"), by).withColumn("tree", whole).withColumn("query", whole)
+    plain = keys.join(maybe_broadcast(full.filter(F.col("_n") <= shard_rows).drop("_n"), FULL_ROWS), by).withColumn("tree", whole).withColumn("query", whole)
     links = _meet(plain, by, radius, payload, same)
     if full.filter(F.col("_n") > shard_rows).isEmpty():
         return links
-    hot = keys.join(full.filter(F.col("_n") > shard_rows), by)
+    hot = keys.join(maybe_broadcast(full.filter(F.col("_n") > shard_rows), FULL_ROWS), by)
     if finer is not None:
         spread = finer(hot.drop("_n"))
         more = [c for c in spread.columns if c not in keys.columns]
