@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontam, kneserney, langid, linededup, media, mixing, negatives, periodic, quality, secrets, simhash, toxicity
+from pulsegrid.llm import decontam, kneserney, langid, linededup, media, mixing, negatives, periodic, quality, secrets, sharding, simhash, toxicity
 from pulsegrid.llm.common import ship
 
-MODULES = (simhash, quality, toxicity, secrets, kneserney, linededup, mixing, langid, decontam, media, periodic, negatives)
+MODULES = (simhash, quality, toxicity, secrets, kneserney, linededup, mixing, langid, decontam, media, periodic, negatives, sharding)
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
