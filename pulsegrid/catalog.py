@@ -634,4 +634,5 @@ def _(d: Domain) -> DataFrame:
     return timed(synthetic.devices(synthetic.patients(d.event.sparkSession, AS_OF), AS_OF))
 
 
-from pulsegrid import catalog_details as _details  # noqa: E402, F401  it adds its queries to these
+from pulsegrid import catalog_details as _details  # noqa: E402, F401  they add their queries to these
+from pulsegrid import catalog_signals as _signals  # noqa: E402, F401
