@@ -411,8 +411,9 @@ def _(d: Domain) -> DataFrame:
 
 @query("t11_latest_status", "SELECT device_id, (epoch_us(max(moment)) // 1000) AS last_seen_at, arg_max(CAST(json_extract(props, '$.k') AS BIGINT), {'a': moment, 'b': number}) AS battery FROM event GROUP BY device_id")
 def _(d: Domain) -> DataFrame:
-    rows = d.event.withColumn("battery", F.get_json_object("metadata", "$.k").cast("bigint"))
-    return timed(rows.groupBy("device_id").agg(F.max("at").alias("last_seen_at"), F.max_by("battery", F.struct("at", "number")).alias("battery")))
+    nothing = F.lit(None).cast("string")
+    readings = d.event.select("device_id", F.col("at").alias("event_time"), F.get_json_object("metadata", "$.k").cast("bigint").alias("battery_pct"), nothing.alias("sd_free_mb"), nothing.alias("firmware_version"))
+    return timed(status.latest_status(readings).select("device_id", "last_seen_at", F.col("last_battery_pct").alias("battery")))
 
 
 @query("g01_time_axis", "SELECT 'v_' || vec_id AS study_id, CAST(i AS BIGINT) AS i, CAST(i AS DOUBLE) / 250 AS t, CAST(embedding[i + 1] AS DOUBLE) AS v FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)")

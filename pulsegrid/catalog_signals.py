@@ -1,4 +1,4 @@
-"""Queries of filters, lead-off and chunk quality, with their oracles."""
+"""Queries of filters, lead-off, chunk quality and uploads, with their oracles."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.catalog import Domain, query, rounded
 from pulsegrid.operators import filters, quality
+from pulsegrid.streaming import ingest
 
 _SECTIONS = filters.Band().sections(250.0)
 
@@ -63,3 +64,25 @@ def _(d: Domain) -> DataFrame:
     # 64 samples at 250 a second hold too few beats for a template, so the score is that of the samples.
     out = quality.chunk_quality(d.signal, quality.QualityCuts(flat_step=0.02, saturated=0.25))
     return out.select("study_id", rounded(F.col("flat"), 8).alias("flat"), rounded(F.col("saturated"), 8).alias("saturated"), rounded(F.col("quality_score"), 8).alias("quality_score"), "diagnostic")
+
+
+@query("t09_hours", "SELECT device_id, (epoch_us(date_trunc('hour', moment)) // 1000) AS hour, count(*) AS batches, CAST(sum(length(props)) AS BIGINT) AS bytes FROM event GROUP BY ALL")
+def _(d: Domain) -> DataFrame:
+    rows = d.event.select("device_id", F.col("at").alias("event_time"), F.col("metadata").alias("data"))
+    return ingest.hourly(rows).select("device_id", F.unix_millis("window.start").alias("hour"), "batches", "bytes")
+
+
+@query(
+    "s12_routed",
+    """SELECT CASE WHEN number % 11 = 3 THEN 'UNREADABLE' WHEN number % 7 = 2 THEN 'NO_DEVICE' WHEN number % 5 = 1 THEN 'NO_TIMESTAMP' WHEN number % 13 = 4 THEN 'NO_DATA' ELSE 'STORED' END AS reason,
+  count(*) AS n, CAST(sum(number) AS BIGINT) AS total FROM event GROUP BY ALL""",
+)
+def _(d: Domain) -> DataFrame:
+    k = F.col("number")
+    rows = d.event.select(
+        "number", F.when(k % 7 == 2, F.when(k % 2 == 0, " ")).otherwise(F.col("device_id")).alias("device_id"), F.when(k % 5 != 1, F.col("batch_timestamp")).alias("batch_timestamp"),
+        F.when(k % 13 != 4, F.col("metadata")).otherwise("").alias("data"), F.when(k % 11 == 3, "{").alias(ingest.CORRUPT),
+    )
+    good, bad = ingest.routed(rows)
+    both = good.select("number", F.lit("STORED").alias("reason")).unionByName(bad.select("number", "reason"))
+    return both.groupBy("reason").agg(F.count("*").alias("n"), F.sum("number").alias("total"))
