@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog import Domain, query, rounded
-from pulsegrid.operators import filters, quality
-from pulsegrid.streaming import ingest
+from pulsegrid.catalog_details import _payloads
+from pulsegrid.operators import filters, quality, rhythm
+from pulsegrid.sources import scratch
+from pulsegrid.streaming import ingest, pipeline
 
 _SECTIONS = filters.Band().sections(250.0)
 
@@ -86,3 +88,36 @@ def _(d: Domain) -> DataFrame:
     good, bad = ingest.routed(rows)
     both = good.select("number", F.lit("STORED").alias("reason")).unionByName(bad.select("number", "reason"))
     return both.groupBy("reason").agg(F.count("*").alias("n"), F.sum("number").alias("total"))
+
+
+@query("c21_exactly_once", "SELECT 'v_' || vec_id AS id, CASE WHEN vec_id % 10 = 0 THEN 'FAILED' ELSE 'DONE' END AS processing_status, vec_id % 10 = 0 AS has_error, CAST(1 AS BIGINT) AS results FROM embeddings")
+def _(d: Domain) -> DataFrame:
+    """Every payload through the pipeline in two micro-batches that share rows, the second twice."""
+    rows = _payloads(d).withColumns({"device_id": F.lit("d_1"), "batch_timestamp": F.regexp_extract("id", "[0-9]+", 0).cast("bigint")})
+    folder, k = scratch.folder(d.event.sparkSession), F.col("batch_timestamp")
+    for number, part in ((0, k % 3 < 2), (1, k % 3 > 0), (1, k % 3 > 0)):
+        pipeline.commit(rows.filter(part), d.device, d.patient, folder, "query", number)
+    seen = pipeline.committed(d.event.sparkSession, folder, pipeline.RESULTS).groupBy("id").agg(F.count("*").alias("results"))
+    return pipeline.batch_states(rows, folder).join(seen, "id").select("id", "processing_status", F.col("processing_error").isNotNull().alias("has_error"), "results")
+
+
+_BEATS = "b AS (SELECT user_id % 5 AS g, event_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n FROM events), r AS (SELECT *, CASE WHEN n // 100 % 2 = 0 THEN 400 + event_id % 150 ELSE 700 END AS step FROM b), t AS (SELECT *, CAST(sum(step) OVER (PARTITION BY g ORDER BY n ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS t_ms FROM r)"
+
+
+@query(
+    "c21_tachycardia",
+    f""", {_BEATS}, f AS (SELECT *, t_ms - lag(t_ms) OVER (PARTITION BY g ORDER BY t_ms) AS rr FROM t), m AS (SELECT *, COALESCE(60000e0 / rr > 100, FALSE) AS fast FROM f),
+i AS (SELECT *, n - row_number() OVER (PARTITION BY g, fast ORDER BY n) AS island FROM m)
+SELECT 'g_' || g AS signal, CASE WHEN max(t_ms) - min(t_ms - rr) >= 120000 THEN 'HIGH' ELSE 'LOW' END AS severity, round(min(t_ms - rr) / 1000, 3) AS at_s, round((max(t_ms) - min(t_ms - rr)) / 1000, 3) AS lasted_s
+FROM i WHERE fast GROUP BY g, island HAVING max(t_ms) - min(t_ms - rr) >= 30000""",
+)
+def _(d: Domain) -> DataFrame:
+    """Beats of five signals, a hundred of them fast, then a hundred slower ones."""
+    g = F.regexp_extract("device_id", "[0-9]+", 0).cast("bigint") % 5
+    order = Window.partitionBy("g").orderBy("number")
+    rows = d.event.select(g.alias("g"), "number").withColumn("n", F.row_number().over(order))
+    step = F.when(F.floor(F.col("n") / 100) % 2 == 0, 400 + F.col("number") % 150).otherwise(700)
+    rows = rows.withColumn("t_ms", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double"))
+    beats = rows.select(F.concat(F.lit("g_"), F.col("g").cast("string")).alias("signal"), "t_ms", F.lit(1.0).alias("amplitude"))
+    found = rhythm.classify(beats, "signal").filter("event_type = 'TACHYCARDIA'")
+    return found.select("signal", "severity", rounded(F.col("timestamp_in_recording"), 3).alias("at_s"), rounded(F.col("duration_seconds"), 3).alias("lasted_s"))
