@@ -5,13 +5,17 @@ against each automaton: a phrase is the longest stretch that occurs in the langu
 needs the fewest phrases, normalised by the number of symbols and by the phrases that its own held-back sample
 needs, wins.
 
-Texts are lower-cased and mapped to a small learned alphabet; runs of other symbols count as one separator.
-Texts are parsed in stretches of ``STRETCH`` symbols (a phrase ends at the end of a stretch), so that many
-stretches advance in step, one numpy lane each; every symbol of every text is parsed.
+Texts are lower-cased; a symbol is a letter of some language's sample, and runs of other characters count as one
+separator.  Each language has an alphabet of its own: a letter that its sample does not have ends a phrase, and no letter of
+any sample is left out.  Automata over at most ``DENSE`` symbols are tables, those over more are sorted arrays of their
+transitions, so memory follows the sample, not the alphabet.  Texts are parsed in stretches of ``STRETCH`` symbols (a phrase
+ends at the end of a stretch), so that many stretches advance in step, one numpy lane each; every symbol of every text
+is parsed.
 
 The sample: ``sample_chars`` characters per language of labelled texts in hash order of their ids, at most ``doc_chars``
-of each and at most ``sample_docs`` texts, for the ``languages`` languages with the most labelled texts; these bounds are
-parameters and do not grow with the corpus.
+of each and at most ``sample_docs`` texts, for the ``languages`` languages with the most labelled texts, and ``all_chars``
+characters of all languages together, so the automata take at most about half a gigabyte of a worker, however many
+languages there are; these bounds are parameters and do not grow with the corpus.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; documents with a null language are
 never learned from; if nothing is labelled every text is ``und``; ties go to the language first by code point;
@@ -21,7 +25,6 @@ an empty table gives an empty result; repeated rows are answered alike; further
 from __future__ import annotations
 
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +37,9 @@ from pulsegrid.llm.common import fold, id_text, slices, table
 STRETCH = 2048
 #: A text is in no learned language if it needs more than so many times the phrases of the nearest one's own texts.
 UNLIKE = 2.5
-SYMBOLS = 62
+#: Symbols up to which an automaton is a table, and languages that are parsed at once.
+DENSE = 64
+TOGETHER = 8
 SEPARATOR = 1
 OTHER = 2
 FIRST = 3
@@ -87,53 +92,109 @@ class SuffixAutomaton:
         return out
 
 
+class SparseAutomaton:
+    """The same automaton as sorted arrays of its transitions, for wide alphabets."""
+
+    def __init__(self, symbols: list[int], width: int):
+        follow: list[dict[int, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for c in symbols:
+            cur = len(follow)
+            follow.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p != -1 and c not in follow[p]:
+                follow[p][c] = cur
+                p = link[p]
+            if p != -1:
+                q = follow[p][c]
+                if length[p] + 1 == length[q]:
+                    link[cur] = q
+                else:
+                    clone = len(follow)
+                    follow.append(dict(follow[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p != -1 and follow[p].get(c) == q:
+                        follow[p][c] = clone
+                        p = link[p]
+                    link[q] = link[cur] = clone
+            last = cur
+        self.width = width
+        pairs = sorted((state * width + c, to) for state, row in enumerate(follow) for c, to in row.items())
+        self.keys = np.array([k for k, _ in pairs], dtype=np.int64)
+        self.to = np.array([t for _, t in pairs], dtype=np.int64)
+        self.root = len(follow)  # before the first symbol, and after one that the sample does not have
+        self.first = np.full(width, self.root, dtype=np.int64)
+        for c, to in follow[0].items():
+            self.first[c] = to
+
+    def phrases(self, steps: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Phrases of each column of steps, of which the first ``live[i]`` columns go on to row i."""
+        state = np.full(steps.shape[1], self.root, dtype=np.int64)
+        count = np.zeros(steps.shape[1], dtype=np.int64)
+        for i, m in enumerate(live):
+            symbol, at = steps[i, :m], state[:m]
+            after = self.first[symbol]  # a new phrase
+            known = np.flatnonzero((after != self.root) & (at != self.root))
+            count[:m] += 1
+            if len(known):
+                key = at[known] * self.width + symbol[known]
+                spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                goes_on = self.keys[spot] == key
+                after[known[goes_on]] = self.to[spot[goes_on]]
+                count[known[goes_on]] -= 1
+            state[:m] = after
+        return count
+
+
 class CrossParser:
-    """Automata of all languages, and the alphabet."""
+    """Automata of all languages, each over its own alphabet."""
 
     def __init__(self, samples: dict[str, str]):
         self.samples = samples
         self.languages = sorted(samples)
-        count: Counter[str] = Counter()
-        for text in samples.values():
-            count.update(c for c in text.lower() if c.isalpha())
-        self.alphabet = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - FIRST]]
-        self.width = SYMBOLS
-        self._lookup()
-        rate, base = [], 0
-        self.roots = []
-        learned = [(lang, codes[: max(1, len(codes) * 9 // 10)]) for lang in self.languages for codes in [self.codes(samples[lang])]]
-        most = sum((2 * max(len(codes), 1) + 1) * self.width for _, codes in learned)
-        every = np.empty(most, dtype=np.int32 if most < 1 << 31 else np.int64)  # all languages in one; what is not filled is never touched
-        for _, codes in learned:
-            one = SuffixAutomaton(codes.tolist(), self.width).table(every[base:], base)
-            base += len(one)
-            self.roots.append(base - self.width)
+        letters = sorted({c for text in samples.values() for c in set(text.lower()) if c.isalpha()})
+        table = np.full(0x110000, SEPARATOR, dtype=np.int32)
+        table[[i for i in range(0x110000) if chr(i).isalpha()]] = OTHER
+        table[[ord(c) for c in letters]] = np.arange(FIRST, FIRST + len(letters))
+        self.symbols = table
+        self.roots = list(range(len(self.languages)))
+        self.local, self.sparse, dense = [], {}, []
+        for k, lang in enumerate(self.languages):
+            codes = self.codes(samples[lang])
+            learned = codes[: max(1, len(codes) * 9 // 10)]
+            own = np.unique(learned[learned >= FIRST])
+            local = np.full(FIRST + len(letters), OTHER, dtype=np.int32)
+            local[SEPARATOR] = SEPARATOR
+            local[own] = np.arange(FIRST, FIRST + len(own))
+            self.local.append(local)
+            if FIRST + len(own) <= DENSE:
+                dense.append((k, local[learned], FIRST + len(own)))
+            else:
+                self.sparse[k] = SparseAutomaton(local[learned].tolist(), FIRST + len(own))
+        most = sum((2 * max(len(codes), 1) + 1) * width for _, codes, width in dense)
+        every = np.empty(most, dtype=np.int32 if most < 1 << 31 else np.int64)  # all tables in one; what is not filled is never touched
+        self.starts, base = {}, 0
+        for k, codes, width in dense:
+            base += len(SuffixAutomaton(codes.tolist(), width).table(every[base:], base))
+            self.starts[k] = base - width
         self.tables = every[:base]
-        for lang, root in zip(self.languages, self.roots, strict=True):
-            own = self.codes(samples[lang])
-            own = own[max(1, len(own) * 9 // 10) :]
-            phrases = self._parse([own], [root])[0, 0] if len(own) else 1
+        rate = []
+        for k, lang in enumerate(self.languages):
+            codes = self.codes(samples[lang])
+            own = codes[max(1, len(codes) * 9 // 10) :]
+            phrases = self._parse([own], [k])[0, 0] if len(own) else 1
             rate.append(max(phrases, 1) / max(len(own), 1))
         self.rate = np.array(rate)
 
     def __reduce__(self):
         return CrossParser, (self.samples,)  # workers get the samples and build the automata themselves
 
-    def _lookup(self) -> None:
-        table = np.full(0x110000, SEPARATOR, dtype=np.uint8)
-        for i, c in enumerate(self.alphabet):
-            table[ord(c)] = FIRST + i
-        self.small = table[:0x3000].copy()
-        self.rare = {ord(c): FIRST + i for i, c in enumerate(self.alphabet) if ord(c) >= 0x3000}
-        self.letters = np.array([chr(i).isalpha() for i in range(0x3000)])
-        self.small[self.letters & (self.small == SEPARATOR)] = OTHER
-
     def codes(self, text: str) -> np.ndarray:
-        """Symbols of a text; runs of separators count once."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        out = self.small[np.minimum(points, 0x2FFF)]
-        for i in np.flatnonzero(points >= 0x3000):
-            out[i] = self.rare.get(int(points[i]), OTHER if chr(points[i]).isalpha() else SEPARATOR)
+        """Symbols of a text, the same for all languages; runs of separators count once."""
+        out = self.symbols[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         if len(out):
             keep = np.ones(len(out), dtype=bool)
             keep[1:] = (out[1:] != SEPARATOR) | (out[:-1] != SEPARATOR)
@@ -141,7 +202,7 @@ class CrossParser:
         return out
 
     def _parse(self, codes: list[np.ndarray], roots: list[int]) -> np.ndarray:
-        """[text, language] number of phrases."""
+        """[text, language] number of phrases, of the languages numbered in ``roots``."""
         out = np.zeros((len(codes), len(roots)), dtype=np.int64)
         pieces = [(d, c[i : i + STRETCH]) for d, c in enumerate(codes) for i in range(0, len(c), STRETCH)]
         if not pieces:
@@ -149,23 +210,32 @@ class CrossParser:
         pieces.sort(key=lambda p: -len(p[1]))
         sizes = np.array([len(p) for _, p in pieces])
         doc = np.array([d for d, _ in pieces])
-        kind, sign = self.tables.dtype, self.tables.dtype.itemsize * 8 - 1
-        steps = np.zeros((int(sizes[0]), len(pieces)), dtype=kind)
+        steps = np.full((int(sizes[0]), len(pieces)), OTHER, dtype=np.int32)
         for j, (_, p) in enumerate(pieces):
             steps[: len(p), j] = p
         live = np.searchsorted(-sizes, -np.arange(len(steps)), side="left")
-        root = np.array(roots, dtype=kind)[:, None]
-        state = np.repeat(root, len(pieces), axis=1)
+        tabled = [(at, k) for at, k in enumerate(roots) if k in self.starts]
+        for lo in range(0, len(tabled), TOGETHER):
+            some = tabled[lo : lo + TOGETHER]
+            phrases = self._together(np.stack([self.local[k].astype(np.uint8)[steps] for _, k in some]), [self.starts[k] for _, k in some], live)
+            for (at, _), own in zip(some, phrases, strict=True):
+                out[:, at] = np.bincount(doc, own, len(codes))
+        for at, k in enumerate(roots):
+            if k in self.sparse:
+                out[:, at] = np.bincount(doc, self.sparse[k].phrases(self.local[k][steps], live), len(codes))
+        return out
+
+    def _together(self, steps: np.ndarray, starts: list[int], live: np.ndarray) -> np.ndarray:
+        """[language, piece] number of phrases by the tables, from [language, symbol, piece]."""
+        kind, sign = self.tables.dtype, self.tables.dtype.itemsize * 8 - 1
+        state = np.repeat(np.array(starts, dtype=kind)[:, None], steps.shape[2], axis=1)
         phrases = np.zeros(state.shape, dtype=kind)
-        for i in range(len(steps)):
-            m = live[i]
-            step = self.tables.take(state[:, :m] + steps[i, :m])
+        for i, m in enumerate(live):
+            step = self.tables.take(state[:, :m] + steps[:, i, :m])
             new = step >> sign  # -1 where a phrase begins
             phrases[:, :m] -= new
             np.bitwise_xor(step, new, out=state[:, :m])
-        for lang in range(len(roots)):
-            out[:, lang] = np.bincount(doc, phrases[lang], len(codes))
-        return out
+        return phrases
 
     def predict(self, texts: list[str | None], unlike: float | None = None) -> tuple[list[str], list[float]]:
         """Language and score of each text; with ``unlike``, texts that are in none of the languages are ``und`` too.
@@ -193,7 +263,7 @@ class CrossParser:
         return langs, scores
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 60_000, sample_docs: int = 400, doc_chars: int = 3_000, languages: int = 200) -> CrossParser:
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 60_000, sample_docs: int = 400, doc_chars: int = 3_000, languages: int = 200, all_chars: int = 1_000_000) -> CrossParser:
     """Fit on a bounded, documented sample of labelled rows: many texts of each language, none of which stands for it alone."""
     rows = docs.select(id_text(id_col).alias("_id"), F.substring(F.col(text_col).cast("string"), 1, doc_chars).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     rows = rows.filter("_lang is not null and _text is not null").withColumn("_key", F.xxhash64("_id"))
@@ -201,6 +271,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect()}
     if not counts:
         return CrossParser({})
+    sample_chars = min(sample_chars, max(1, all_chars // len(counts)))
     rows = rows.filter(F.col("_lang").isin(*counts))
     cut = F.lit(1.0)
     for lang, n in counts.items():

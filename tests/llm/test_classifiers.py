@@ -205,6 +205,52 @@ def test_cross_parsing_against_brute_force():
             assert got[k] == brute_phrases(name(codes[: max(1, len(codes) * 9 // 10)]), name(text))
 
 
+SCRIPTS = {
+    "latin a": range(0x61, 0x7B), "latin b": range(0x61, 0x7B), "cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "arabic": range(0x627, 0x648), "devanagari": range(0x905, 0x939), "thai": range(0xE01, 0xE2E),
+    "han": range(0x4E00, 0x5200), "kana": range(0x3042, 0x3094), "hangul": range(0xAC00, 0xB400), "han too": range(0x4F00, 0x5400),
+}
+
+
+def invented(rng, letters, n=1500):
+    """A language of ``n`` words."""
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 4 if len(letters) > 200 else 9))) for _ in range(n)]
+    return lambda: " ".join(words[min(int(rng.paretovariate(0.7)), n) - 1] for _ in range(40))
+
+
+def test_no_letter_is_dropped(spark, tmp_path):
+    """Eleven languages in nine scripts, two of them with a thousand letters each."""
+    rng = random.Random(12)
+    speak = {lang: invented(rng, [chr(i) for i in letters]) for lang, letters in SCRIPTS.items()}
+    rows = [(i, speak[lang](), lang, "s", 1) for i in range(2200) for lang in [list(SCRIPTS)[i % 11]]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = [r for r in langid.op8_langid(spark, tables(tmp_path, spark, documents=docs)).collect() if r["held_out"]]
+    for lang in SCRIPTS:
+        own = [r["lang_pred"] == lang for r in out if rows[r["doc_id"]][2] == lang]
+        assert len(own) > 30 and sum(own) >= 0.95 * len(own), (lang, sum(own), len(own))
+
+
+def test_cross_parsing_over_wide_alphabets():
+    rng = random.Random(13)
+    wide = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 4))) for _ in range(200))
+    samples = {"latin": wide("abcdef"), "han": wide([chr(i) for i in range(0x4E00, 0x4E80)]), "both": wide(["a", "b", *(chr(i) for i in range(0x4E00, 0x4E60))])}
+    parser = langid.CrossParser(samples)
+    assert set(parser.sparse) == {0, 1} and set(parser.starts) == {2}
+    name = lambda codes: "".join(map(chr, codes))
+    texts = [parser.codes("".join(rng.choice(["a", "b", "z", " ", chr(0x4E00 + rng.randrange(90)), samples["han"][rng.randrange(40) :][:5]]) for _ in range(rng.randrange(0, 80)))) for _ in range(40)]
+    got = parser._parse(texts, parser.roots)
+    for k, lang in enumerate(parser.languages):
+        own = parser.codes(samples[lang])
+        for t, text in enumerate(texts):
+            assert got[t, k] == brute_phrases(name(own[: max(1, len(own) * 9 // 10)]), name(text))
+
+
+def test_samples_are_bounded_together(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(500)), f"l{i % 20}") for i in range(400)]
+    parser = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), all_chars=20_000)
+    assert len(parser.languages) == 20 and all(len(t) == 1000 for t in parser.samples.values())
+
+
 def test_suffix_automaton():
     text = [3, 4, 3, 3, 4, 5, 3, 4]
     table = langid.SuffixAutomaton(text, 8).table().reshape(-1, 8)
