@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import clinical, clock, text, viewport
-from pulsegrid.operators import aggregates, commands, joins, paging, projections, rhythm, sets, validation, windows
+from pulsegrid.operators import aggregates, commands, joins, paging, projections, pyramid, rhythm, sets, validation, windows
 from pulsegrid.operators import signal as sig
 from pulsegrid.operators.predicates import Page, device_search, live, patient_search, substring_search, tenant, tri_state
 from pulsegrid.plans import clinical as plans_clinical
@@ -426,8 +426,7 @@ def _(d: Domain) -> DataFrame:
 k AS (SELECT study_id, min(v) AS lo, max(v) AS hi FROM s GROUP BY study_id), c AS (SELECT study_id, i // greatest(1, n // 10) AS col, min(v) AS mn, max(v) AS mx FROM s GROUP BY ALL)
 SELECT study_id, col, CAST(mn AS DOUBLE) AS mn, CAST(mx AS DOUBLE) AS mx, CAST(CASE WHEN lo = hi THEN lo - 1 ELSE lo END AS DOUBLE) AS lo, CAST(CASE WHEN lo = hi THEN hi + 1 ELSE hi END AS DOUBLE) AS hi FROM c JOIN k USING (study_id) WHERE col < 10""")
 def _(d: Domain) -> DataFrame:
-    rows = sig.samples(sig.sized(d.signal, "study_id"), "study_id")
-    return sig.overview(rows, 10, "study_id").select("study_id", "col", *[F.col(c).cast("double").alias(c) for c in ("mn", "mx", "lo", "hi")])
+    return pyramid.overview_chunks(d.signal, 10, "study_id").select("study_id", "col", *[F.col(c).cast("double").alias(c) for c in ("mn", "mx", "lo", "hi")])
 
 
 @query("g07_range", "SELECT 'v_' || vec_id AS study_id, CAST(i AS BIGINT) AS i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings) WHERE i BETWEEN 10 AND 20")

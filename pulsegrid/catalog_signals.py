@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.catalog import Domain, query, rounded
 from pulsegrid.catalog_details import _payloads
-from pulsegrid.operators import filters, quality, rhythm
+from pulsegrid.operators import filters, pyramid, quality, rhythm
 from pulsegrid.sources import scratch
 from pulsegrid.streaming import ingest, pipeline
 
@@ -121,3 +121,14 @@ def _(d: Domain) -> DataFrame:
     beats = rows.select(F.concat(F.lit("g_"), F.col("g").cast("string")).alias("signal"), "t_ms", F.lit(1.0).alias("amplitude"))
     found = rhythm.classify(beats, "signal").filter("event_type = 'TACHYCARDIA'")
     return found.select("signal", "severity", rounded(F.col("timestamp_in_recording"), 3).alias("at_s"), rounded(F.col("duration_seconds"), 3).alias("lasted_s"))
+
+
+@query(
+    "g02_zoom",
+    """ SELECT 'v_' || vec_id AS study_id, CAST((i - 5) // 18 AS BIGINT) AS col, CAST(min(embedding[i + 1]) AS DOUBLE) AS mn, CAST(max(embedding[i + 1]) AS DOUBLE) AS mx FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)
+WHERE i BETWEEN 5 AND 58 GROUP BY ALL""",
+)
+def _(d: Domain) -> DataFrame:
+    """Samples 5 to 58 in three columns of eighteen, from the stored tree of every signal."""
+    nodes = scratch.kept(pyramid.tree(d.signal, "study_id"))
+    return pyramid.zoom(nodes, 5, 59, 3, "study_id").select("study_id", "col", *[F.col(c).cast("double").alias(c) for c in ("mn", "mx")])
