@@ -1,14 +1,21 @@
-"""Queries of filters, lead-off, chunk quality and uploads, with their oracles."""
+"""Queries of filters, quality, uploads, zoom, links, stored views and rules, with their oracles."""
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog import Domain, query, rounded
 from pulsegrid.catalog_details import _payloads
-from pulsegrid.operators import filters, pyramid, quality, rhythm
+from pulsegrid.functions import clock, links
+from pulsegrid.operators import filters, joins, pyramid, quality, rhythm, validation, views
+from pulsegrid.operators.predicates import live
 from pulsegrid.sources import scratch
+from pulsegrid.sources.bindings import AS_OF
 from pulsegrid.streaming import ingest, pipeline
 
 _SECTIONS = filters.Band().sections(250.0)
@@ -132,3 +139,87 @@ def _(d: Domain) -> DataFrame:
     """Samples 5 to 58 in three columns of eighteen, from the stored tree of every signal."""
     nodes = scratch.kept(pyramid.tree(d.signal, "study_id"))
     return pyramid.zoom(nodes, 5, 59, 3, "study_id").select("study_id", "col", *[F.col(c).cast("double").alias(c) for c in ("mn", "mx")])
+
+
+_SIGNING_KEY = b"AWS4secret"
+for _part in ("20240131", "sa-east-1", "s3", "aws4_request"):
+    _SIGNING_KEY = hmac.new(_SIGNING_KEY, _part.encode(), hashlib.sha256).digest()
+_PADS = ["".join(f"{b ^ pad:02x}" for b in _SIGNING_KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+_LINK = "X-Amz-Algorithm=AWS4-HMAC-SHA256&X-Amz-Credential=key%2F20240131%2Fsa-east-1%2Fs3%2Faws4_request&X-Amz-Date=20240131T000000Z&X-Amz-Expires=3600&X-Amz-SignedHeaders=host"
+
+
+@query(
+    "s04_signed_links",
+    f""", r AS (SELECT id, 'GET' || chr(10) || '/' || ecg_s3_key || chr(10) || '{_LINK}' || chr(10) || 'host:ecg.example.com' || chr(10) || chr(10) || 'host' || chr(10) || 'UNSIGNED-PAYLOAD' AS request, ecg_s3_key FROM live_study),
+m AS (SELECT *, 'AWS4-HMAC-SHA256' || chr(10) || '20240131T000000Z' || chr(10) || '20240131/sa-east-1/s3/aws4_request' || chr(10) || sha256(request) AS message FROM r)
+SELECT id, 'https://ecg.example.com/' || ecg_s3_key || '?{_LINK}&X-Amz-Signature=' || sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(message)))) AS link FROM m""",
+)
+def _(d: Domain) -> DataFrame:
+    link = links.signed_link(F.col("ecg_s3_key"), F.lit(AS_OF).cast("timestamp"), host="ecg.example.com", region="sa-east-1", access_key="key", secret=F.lit("secret"))
+    return live(d.study).select("id", link.alias("link"))
+
+
+@query(
+    "t04_refreshed",
+    """, d2 AS (SELECT id, CASE WHEN CAST(substr(id, 3) AS BIGINT) % 15 <> 1 AND status = 'assigned' THEN patient_id END AS patient_id FROM live_device)
+SELECT p.id, min(d2.id) AS assigned_device_id, p.email AS contact FROM patient p LEFT JOIN d2 ON d2.patient_id = p.id GROUP BY p.id, p.email""",
+)
+def _(d: Domain) -> DataFrame:
+    """The stored page of patients and devices, after every fifteenth device was given back."""
+    spark, path = d.event.sparkSession, scratch.folder(d.event.sparkSession)
+    patients, old = d.patient, d.device
+    gone = F.substring("id", 3, 20).cast("bigint") % 15 == 1
+    new = old.withColumn("patient_id", F.when(~gone, F.col("patient_id"))).withColumn("status", F.when(gone & (F.col("status") == "assigned"), "available").otherwise(F.col("status")))
+    page = lambda devices: lambda keep: joins.with_assigned_device(keep(patients, "id"), keep(devices, "patient_id")).select("id", "assigned_device_id", F.col("email").alias("contact"))
+    views.build(spark, page(old), "id", path)
+    views.refresh(spark, page(new), "id", path, [(patients, patients, "id"), (old, new, "patient_id")])
+    return views.stored(spark, path)
+
+
+@query(
+    "v01_rules",
+    f""", f AS (SELECT c_custkey AS k, CASE c_custkey % 7 WHEN 0 THEN ' ' WHEN 1 THEN 'A ' WHEN 2 THEN repeat('x', 241) ELSE c_name END AS full_name,
+  CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '1234567' WHEN 2 THEN ' 12345678 ' WHEN 3 THEN '1234567x' ELSE repeat('9', 51) END AS dni,
+  CASE c_custkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 'soon' WHEN 2 THEN '1900-12-31' WHEN 3 THEN '1901-01-01' WHEN 4 THEN '2024-02-01' WHEN 5 THEN '2024-01-31' WHEN 6 THEN '2023-02-29' ELSE '1980-05-06' END AS birth_date,
+  CASE c_custkey % 4 WHEN 0 THEN 'Q' WHEN 1 THEN NULL ELSE 'F' END AS sex,
+  CASE c_custkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'a@b' WHEN 3 THEN 'a.b+c@ex-ample.com.ar' WHEN 4 THEN '@x.com' WHEN 5 THEN repeat('m', 315) || '@x.com' ELSE 'a@b.co' END AS email FROM customer)
+SELECT k, concat_ws(',', CASE WHEN length(trim(full_name)) < 2 THEN 'name' END, CASE WHEN dni IS NULL OR NOT regexp_full_match(trim(dni), '[0-9]{{8}}') THEN 'dni' END,
+  CASE WHEN TRY_CAST(birth_date AS DATE) IS NULL OR TRY_CAST(birth_date AS DATE) < DATE '1901-01-01' OR TRY_CAST(birth_date AS DATE) > DATE '{AS_OF[:10]}' THEN 'birth_date' END,
+  CASE WHEN sex IS NULL OR sex = 'Q' THEN 'sex' END, CASE WHEN email IN ('a@b', '@x.com') THEN 'email' END) AS form,
+  concat_ws(',', CASE WHEN length(full_name) NOT BETWEEN 1 AND 240 THEN 'full_name_length' END, CASE WHEN dni IS NULL OR length(dni) > 50 THEN 'dni_length' END, CASE WHEN birth_date IS NULL THEN 'birth_date' END,
+  CASE WHEN sex IS NULL OR sex = 'Q' THEN 'sex' END, CASE WHEN length(email) > 320 THEN 'email_length' END) AS service FROM f""",
+)
+def _(d: Domain) -> DataFrame:
+    """Rows that break every rule of patients, one by one and together."""
+    k = F.regexp_extract("id", "[0-9]+", 0).cast("bigint")
+    pick = lambda by, values, other: reduce(lambda c, v: c.when(k % by == v[0], v[1]), enumerate(values[1:], 1), F.when(k % by == 0, values[0])).otherwise(other)
+    rows = d.patient.select(
+        k.alias("k"), pick(7, [" ", "A ", "x" * 241], F.concat_ws("#", "first_name", "last_name")).alias("full_name"), pick(5, [None, "1234567", " 12345678 ", "1234567x"], "9" * 51).alias("dni"),
+        pick(11, [None, "soon", "1900-12-31", "1901-01-01", "2024-02-01", "2024-01-31", "2023-02-29"], "1980-05-06").alias("birth_date"), pick(4, ["Q", None], "F").alias("sex"),
+        pick(9, [None, "", "a@b", "a.b+c@ex-ample.com.ar", "@x.com", "m" * 315 + "@x.com"], "a@b.co").alias("contact_email"), F.lit(None).cast("string").alias("contact_phone"),
+    )
+    named = lambda rules: F.array_join(validation.broken(rules), ",")
+    return rows.select("k", named(validation.patient_form_rules(AS_OF)).alias("form"), named(validation.patient_rules()).alias("service"))
+
+
+@query("x12_epoch_ms", "SELECT number, CAST(number * 250 + 1700000000000 AS BIGINT) AS at_ms FROM event")
+def _(d: Domain) -> DataFrame:
+    """Quarters of a second, which binary seconds hold exactly, so the operator's own value is compared."""
+    at = F.timestamp_millis(F.col("number") * 250 + 1_700_000_000_000)
+    return d.event.select("number", clock.epoch_ms(at).alias("at_ms"))
+
+
+@query(
+    "x37_cookies",
+    "SELECT id, 'session=' || id || '; HttpOnly; Max-Age=3600; Path=/; SameSite=' || CASE WHEN number % 2 = 0 THEN 'none; Secure' ELSE 'lax' END AS cookie FROM event",
+)
+def _(d: Domain) -> DataFrame:
+    return d.event.select("id", links.session_cookie("session", F.col("id"), F.col("number") % 2 == 0, 60).alias("cookie"))
+
+
+@query(
+    "p05_one_time_keys",
+    f"SELECT id, replace(replace(replace(base64(unhex(sha256(unhex('{(bytes(b ^ 0x5C for b in b'secret'.ljust(64, bytes(1)))).hex()}') || unhex(sha256(unhex('{(bytes(b ^ 0x36 for b in b'secret'.ljust(64, bytes(1)))).hex()}') || encode(id || '|' || serial_number)))))), '+', '-'), '/', '_'), '=', '') AS api_key FROM device",
+)
+def _(d: Domain) -> DataFrame:
+    return d.device.select("id", links.one_time_key(F.lit("secret"), F.col("id"), F.col("serial_number")).alias("api_key"))
