@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,6 @@ def _sha256(message: Column) -> Column:
 
 def hmac_sha256(key: Column, message: Column) -> Column:
     """HMAC-SHA256 of binary columns, as binary."""
-    short = F.hex(F.when(F.octet_length(key) > BLOCK, _sha256(key)).otherwise(key))
-
     def padded(full: Column, pad: int) -> Column:
         byte = lambda i: F.conv(F.substring(full, 2 * i - 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(pad))
         return F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(BLOCK)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
@@ -25,8 +25,15 @@ def hmac_sha256(key: Column, message: Column) -> Column:
     def digest(full: Column) -> Column:
         return _sha256(F.concat(padded(full, OUTER), _sha256(F.concat(padded(full, INNER), message))))
 
-    # An array of one, so that the key is worked out once, not anew for each of its bytes.
-    return F.element_at(F.transform(F.array(F.rpad(short, 2 * BLOCK, "0")), digest), 1)
+    def block(k: Column) -> Column:
+        return F.rpad(F.hex(F.when(F.octet_length(k) > BLOCK, _sha256(k)).otherwise(k)), 2 * BLOCK, "0")
+
+    return _once(_once(key, block), digest)
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c worked out once however often f names it: an array of one binds it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
 
 
 def _text(c: Column | str) -> Column:
