@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.clock import at
 from pulsegrid.operators.predicates import assigned_to, live
 
+#: Microseconds of a day.
+DAY = 86_400_000_000
+#: Spans up to this long lie over two buckets at most.
+LONGEST_DAYS = 200 * 365
+
 
 def with_assigned_device(patients: DataFrame, devices: DataFrame) -> DataFrame:
     """Each patient with its assigned device, or null; of several (corrupt data) the smallest id."""
@@ -61,48 +67,62 @@ def flatten(patients: DataFrame, studies: DataFrame) -> DataFrame:
     return live(studies).join(p, F.col("patient_id") == F.col("_p")).drop("_p")
 
 
-def _wide(c: Column, level: Column, width: int) -> Column:
-    """The bucket of a time at a level, whose buckets are ``width`` microseconds times a power of two."""
-    return F.floor(F.unix_micros(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), level))).cast("bigint")
-
+def _holding(probes: DataFrame, spans: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Every probe ``_p`` with every span of its keys that holds it: _from <= _p < _to, all in microseconds.
 
-def _levelled(spans: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """Adds ``_level`` and ``_bucket``: each span is laid out at the level whose buckets are as long as it, so over two at most."""
-    length = (F.unix_micros(end) - F.unix_micros(start)) / F.lit(float(width))
-    rows = spans.filter(F.col(end) > F.col(start)).withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(length))).cast("int"))
-    return rows.withColumn("_bucket", F.explode(F.sequence(_wide(F.col(start), F.col("_level"), width), _wide(F.col(end), F.col("_level"), width))))
+    A span lies at the level whose buckets, ``width`` times a power of two, are as long as it, so over two at most; one of
+    more than ``LONGEST_DAYS`` lies at the last level, over as many as it needs.  A probe goes to one bucket of each level.
+    """
+    top = max(0, math.ceil(math.log2(LONGEST_DAYS * DAY / width)))
+    bucket = lambda c: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_level")))).cast("bigint")
+    level = F.least(F.lit(top), F.greatest(F.lit(0), F.ceil(F.log2((F.col("_to") - F.col("_from")) / F.lit(float(width))))))
+    laid = spans.filter("_to > _from").withColumn("_level", level.cast("int")).withColumn("_bucket", F.explode(F.sequence(bucket("_from"), bucket("_to"))))
+    asked = probes.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("_bucket", bucket("_p"))
+    return asked.join(laid, [*keys, "_level", "_bucket"]).filter("_p >= _from AND _p < _to").drop("_level", "_bucket")
 
 
-def _levels(points: DataFrame, spans: DataFrame, time: str, width: int) -> DataFrame:
-    """Points once for each level that spans have; levels are logarithms of lengths, so there are a few dozen at most."""
-    found = sorted(r[0] for r in spans.select("_level").distinct().collect()) or [0]
-    level = F.explode(F.array(*[F.lit(x) for x in found]))
-    return points.withColumn("_level", level).withColumn("_bucket", _wide(F.col(time), F.col("_level"), width))
+def _period(c: Column, width: int) -> Column:
+    """The start of the period of ``width`` microseconds that a time in microseconds lies in."""
+    return c - F.pmod(c, F.lit(width))
 
 
-def containing_study(rows: DataFrame, studies: DataFrame, as_of: datetime | str, *, time: str, key: str, days: int = 7) -> DataFrame:
+def containing_study(rows: DataFrame, studies: DataFrame, as_of: datetime | str, *, time: str, key: str | None = None, days: int = 7) -> DataFrame:
     """The study of a row's device that holds its time: started_at <= t < coalesce(ended_at, as_of).
 
-    Rows carry ``key`` (unique), device_id and ``time``.  Studies are laid out over buckets as long as they are, from
-    ``days`` days on by powers of two, so that device, level and bucket are plain equi-keys, an open study of many years
-    takes two rows like any other, and a device with many studies does not meet all of them at once.  Of several studies
-    the one that started last wins, then the smallest id; rows without any keep a null study_id.
+    Of several studies the one that started last wins, then the smallest id; rows without any keep a null study_id.  Who
+    wins changes only where a study starts or ends.  So for each device and period of ``days`` days that has rows, the
+    winner is worked out at the start of the period and at the changes inside it; that makes stretches that do not
+    overlap, and each row meets its own by one equi-join on device and period.  Rows are moved once and never copied,
+    and a device with very many of them is split by the join.  Rows need no ``key``; it is accepted as in earlier calls.
     """
-    width = days * 86_400_000_000
-    s = live(studies).select(F.col("device_id").alias("_d"), F.col("id").alias("study_id"), F.col("started_at").alias("_from"), F.coalesce("ended_at", at(as_of)).alias("_to"))
-    s = _levelled(s, "_from", "_to", width)
-    near = _levels(rows.select(F.col(key).alias("_k"), F.col("device_id").alias("_d"), F.col(time).alias("_t")), s, "_t", width)
-    hit = near.join(s, ["_d", "_level", "_bucket"]).filter((F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_to")))
-    best = hit.groupBy("_k").agg(F.min_by("study_id", F.struct((-F.unix_micros("_from")).alias("a"), F.col("study_id").alias("b"))).alias("study_id"))
-    return rows.join(best, F.col(key) == F.col("_k"), "left").drop("_k")
+    width = days * DAY
+    s = live(studies).select(F.col("device_id").alias("_d"), F.col("id").alias("_study"), F.unix_micros("started_at").alias("_from"), F.unix_micros(F.coalesce("ended_at", at(as_of))).alias("_to")).filter("_to > _from")
+    moment = F.unix_micros(time)
+    used = rows.select(F.col("device_id").alias("_d"), _period(moment, width).alias("_period")).filter("_d IS NOT NULL AND _period IS NOT NULL").distinct()
+    changes = s.select("_d", F.explode(F.array("_from", "_to")).alias("_p")).withColumn("_period", _period(F.col("_p"), width)).join(used, ["_d", "_period"], "left_semi")
+    marks = changes.unionByName(used.withColumn("_p", F.col("_period"))).distinct()
+    until = F.lead("_p").over(Window.partitionBy("_d", "_period").orderBy("_p"))
+    marks = marks.withColumn("_until", F.coalesce(until, F.col("_period") + F.lit(width)))
+    won = F.min_by("_study", F.struct((-F.col("_from")).alias("a"), F.col("_study").alias("b")))
+    stretches = _holding(marks, s, ["_d"], width).groupBy("_d", "_period", "_p", "_until").agg(won.alias("study_id"))
+    same = (F.col("device_id") == F.col("_d")) & (_period(moment, width) == F.col("_period")) & (moment >= F.col("_p")) & (moment < F.col("_until"))
+    return rows.join(stretches, same, "left").drop("_d", "_period", "_p", "_until")
 
 
 def in_interval(points: DataFrame, intervals: DataFrame, *, key: str, time: str, start: str, end: str, days: int = 1) -> DataFrame:
-    """Every (point, interval) of the same key with start <= time < end; intervals must not share column names but the key's."""
-    width = days * 86_400_000_000
-    wide = _levelled(intervals, start, end, width)
-    near = _levels(points, wide, time, width)
-    return near.join(wide, [key, "_level", "_bucket"]).filter((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_level", "_bucket")
+    """Every (point, interval) of the same key with start <= time < end; intervals must not share column names but the key's.
+
+    An interval goes to the periods of ``days`` days that have points of its key: to the one it starts in, and to those
+    whose start it holds.  A point is in one period, so it moves once.
+    """
+    width = days * DAY
+    spans = intervals.withColumns({"_from": F.unix_micros(start), "_to": F.unix_micros(end)}).filter("_to > _from")
+    placed = points.withColumn("_period", _period(F.unix_micros(time), width))
+    used = placed.select(key, "_period").filter(F.col(key).isNotNull() & F.col("_period").isNotNull()).distinct()
+    first = spans.withColumn("_period", _period(F.col("_from"), width)).join(used, [key, "_period"], "left_semi")
+    later = _holding(used.withColumn("_p", F.col("_period")), spans, [key], width).filter("_from < _p").drop("_p")
+    near = placed.join(first.unionByName(later), [key, "_period"])
+    return near.filter((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_period", "_from", "_to")
 
 
 def synchronised(ecg: DataFrame, impedance: DataFrame, keys: tuple[str, ...] = ("study_id", "frame")) -> DataFrame:
