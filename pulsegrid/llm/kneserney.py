@@ -3,7 +3,9 @@
 Counting runs in Spark, one shuffle per order.  A counting task turns its texts into packed runs of distinct n-grams
 with their counts, dealt by the hash of each n-gram's context.  A shard of order k merges its runs, writes its part of
 the model, and passes on its distinct n-grams without their first word: how often such a suffix is passed on is its
-number of distinct left neighbours, which is what order k - 1 counts.  The model is a folder of sorted hash arrays in
+number of distinct left neighbours, which is what order k - 1 counts.  A run is dealt to ``FAN`` ranges of shards at most,
+so that its rows do not grow with the number of shards: where there are more, ranges are merged into new runs and dealt
+once more, inside their range.  The model is a folder of sorted hash arrays in
 the shared folder, two files per order k > 1 and shard S, and one for words:
 
 * ``gram-k-S``: hashes of n-grams, ascending, and their counts (below the highest order: distinct left neighbours);
@@ -36,6 +38,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +55,8 @@ RUN_TOKENS = 3_000_000
 SHARD_BYTES = 16 << 20
 #: Tasks of an order at most; beyond, a task works on several shards, one after the other.
 TASKS = 20_000
+#: Rows of a run at most; more shards than these are dealt to in two steps, beyond its square in three.
+FAN = 2048
 #: Sums per order: n-grams, their counts, counts of counts 1 to 4, occurrences.
 SUMS = 7
 ROWS = "shard int, vocabulary binary, ids binary, counts binary, occurrences binary, sums array<bigint>, hot binary"
@@ -165,18 +170,28 @@ def _dealt(context: np.ndarray, gram: np.ndarray, shards: int, hot: np.ndarray)
     return np.where(np.isin(context, hot), shard_of(mixed(gram), shards), shard_of(context, shards))
 
 
-def _packed(words: list[np.ndarray], counts: np.ndarray, occurrences: np.ndarray, shards: int, hot: np.ndarray) -> list[tuple]:
-    """Distinct n-grams dealt to their shards; within a run, words are numbers of its own vocabulary."""
+def widths(shards: int, fan: int = FAN) -> list[int]:
+    """Shards in a range at each step of dealing, the last of one shard; no step makes more than ``fan`` ranges of one."""
+    steps = 1
+    while fan**steps < shards:
+        steps += 1
+    base = max(1, int(shards ** (1 / steps)))
+    while base**steps < shards:
+        base += 1
+    return [base**i for i in reversed(range(steps))]
+
+
+def _packed(words: list[np.ndarray], counts: np.ndarray, occurrences: np.ndarray, shards: int, hot: np.ndarray, width: int) -> list[tuple]:
+    """Distinct n-grams dealt to ranges of ``width`` shards, named by their first; within a row, words are numbers of its own vocabulary."""
     words, (counts, occurrences), context = _merged(words, counts, occurrences)
-    shard = _dealt(context, hashed(words), shards, hot)
-    order = np.argsort(shard, kind="stable")
-    words, counts, occurrences = [w[order] for w in words], counts[order], occurrences[order]
-    cut = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
+    first = _dealt(context, hashed(words), shards, hot) // np.uint64(width)
+    order = np.argsort(first, kind="stable")
+    words, counts, occurrences, first = [w[order] for w in words], counts[order], occurrences[order], first[order]
+    cut = [*_starts(first).tolist(), len(first)] if len(first) else []
     out = []
-    for s, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
-        if lo < hi:
-            vocabulary, ids = np.unique(np.concatenate([w[lo:hi] for w in words]), return_inverse=True)
-            out.append((s, vocabulary.astype("<u8").tobytes(), _squeezed(ids), _squeezed(counts[lo:hi]), _squeezed(occurrences[lo:hi]), None, None))
+    for lo, hi in zip(cut, cut[1:], strict=False):
+        vocabulary, ids = np.unique(np.concatenate([w[lo:hi] for w in words]), return_inverse=True)
+        out.append((int(first[lo]) * width, vocabulary.astype("<u8").tobytes(), _squeezed(ids), _squeezed(counts[lo:hi]), _squeezed(occurrences[lo:hi]), None, None))
     return out
 
 
@@ -224,7 +239,40 @@ class Model:
         return self.hot[k][:, 0].view(np.uint64) if k in self.hot else np.empty(0, dtype=np.uint64)
 
 
-def _level(k: int, order: int, shards: int, folder: str, hot: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _dealt_again(level: DataFrame, k: int, shards: int, hot: np.ndarray, whole: int, width: int, run_tokens: int) -> DataFrame:
+    """Packed runs of ranges of ``whole`` shards, merged and packed anew for ranges of ``width``; other rows as they are.
+
+    A range is shared out over several tasks, so that a step has as many tasks as there are shards, up to ``TASKS``.  A task
+    holds one run at a time.
+    """
+    ranges = -(-shards // whole)
+    each = max(1, min(shards, TASKS) // ranges)
+    tasks = min(ranges * each, TASKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, own = 0, None
+        for batch in batches:
+            kept = batch.filter(pc.is_null(batch.column("vocabulary")))
+            if kept.num_rows:
+                yield kept
+            for row in (batch.slice(i, 1) for i in np.flatnonzero(pc.is_valid(batch.column("vocabulary")).to_numpy(zero_copy_only=False)).tolist()):
+                at = row.column("shard")[0].as_py() // whole
+                if held and (at != own or n >= run_tokens):
+                    yield _rows(_packed(*_unpacked(pa.Table.from_batches(held), k), shards, hot, width))
+                    held, n = [], 0
+                own = at
+                n += int(np.frombuffer(row.column("counts")[0].as_py()[:8], dtype="<i8")[0])
+                held.append(row)
+        if held:
+            yield _rows(_packed(*_unpacked(pa.Table.from_batches(held), k), shards, hot, width))
+
+    part = F.floor(F.col("shard") / F.lit(whole)).cast("bigint") * F.lit(each) + F.pmod(F.xxhash64("vocabulary", "ids"), F.lit(each))
+    dealt = level.repartitionById(tasks, F.pmod(part, F.lit(tasks)).cast("int")).sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, ROWS)
+
+
+def _level(k: int, order: int, shards: int, folder: str, hot: dict[int, np.ndarray], width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What the shards of order k do, one after the other: write their part of the model and pass on what order k - 1 counts."""
 
     def one(t: pa.Table) -> pa.RecordBatch:
@@ -247,7 +295,7 @@ def _level(k: int, order: int, shards: int, folder: str, hot: dict[int, np.ndarr
         known = [x for x in t.column("sums").to_pylist() if x is not None]
         total = np.sum([[0] * (SUMS * order), *known], axis=0, dtype=np.int64)
         total[SUMS * (k - 1) : SUMS * k] += np.array(own, dtype=np.int64)
-        passed = _packed(words[1:], np.ones(len(gram), dtype=np.int64), occurrences, shards, hot[k - 1]) if k > 1 else []
+        passed = _packed(words[1:], np.ones(len(gram), dtype=np.int64), occurrences, shards, hot[k - 1], width) if k > 1 else []
         return _rows(passed, total.tolist(), s, b"".join(known_hot))
 
     return lambda batches: map(one, by_group(batches, ["shard"]))
@@ -281,7 +329,7 @@ def _frequent(rows: DataFrame, order: int, share: float, size: int, sample_bytes
     return out
 
 
-def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER, run_tokens: int = RUN_TOKENS, shard_bytes: int = SHARD_BYTES, sample_bytes: int = SAMPLE_BYTES, least_share: float = LEAST_SHARE) -> Model:
+def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER, run_tokens: int = RUN_TOKENS, shard_bytes: int = SHARD_BYTES, sample_bytes: int = SAMPLE_BYTES, least_share: float = LEAST_SHARE, fan: int = FAN) -> Model:
     """Count all texts of ``docs`` and write the model into the shared folder; it goes when the application ends."""
     spark = docs.sparkSession
     folder = shared_path(spark, "ngrams")
@@ -289,6 +337,7 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER, run_to
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(shuffle_tasks(spark), -(-size // shard_bytes))
+    steps = widths(shards, fan)
     hot = _frequent(rows, order, max(0.25 / shards, least_share), size, sample_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +349,7 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER, run_to
             h, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             one = np.ones(len(h), dtype=np.int64)
-            return _rows(_packed(history(h, sizes, order), one, one, shards, hot[order]))
+            return _rows(_packed(history(h, sizes, order), one, one, shards, hot[order], steps[0]))
 
         for batch in batches:
             for part in slices(batch):
@@ -313,11 +362,15 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER, run_to
             yield packed()
 
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"), *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ROWS.split(", ")[1:]])
-    level = rows.mapInArrow(count, ROWS).unionByName(every)
+    level = rows.mapInArrow(count, ROWS)
     for k in range(order, 0, -1):
+        for whole, width in zip(steps, steps[1:], strict=False):
+            level = _dealt_again(level, k, shards, hot[k], whole, width, run_tokens)
+        if k == order:
+            level = level.unionByName(every)
         # Shards are dealt out by number, so that every task has as many as any other.
         dealt = level.repartitionById(min(shards, TASKS), F.col("shard") % F.lit(min(shards, TASKS))).sortWithinPartitions("shard")
-        level = dealt.mapInArrow(_level(k, order, shards, folder, hot), ROWS)
+        level = dealt.mapInArrow(_level(k, order, shards, folder, hot, steps[0]), ROWS)
     level = saved(level.select("sums", "hot").filter("sums is not null"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -108,6 +108,29 @@ def test_runs_and_shards_do_not_change_the_model(spark):
     assert all(x == one for x in others)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_shards_dealt_to_in_steps(spark, order):
+    docs = spark.createDataFrame(lm_docs(spark), "doc_id bigint, text string").repartition(3)
+    kinds = {"shard_bytes": 256, "least_share": 0.01, "order": order}
+    models = kneserney.train(docs, **kinds), kneserney.train(docs, **kinds, fan=5, run_tokens=200), kneserney.train(docs, **kinds, fan=2, run_tokens=90)
+    assert [len(kneserney.widths(models[0].shards, f)) for f in (kneserney.FAN, 5)] == [1, 3] and models[0].shards > 50
+    assert len({(m.tokens, m.grams, m.discounts, m.word_total, m.word_rest) for m in models}) == 1
+    one, *others = (sorted(map(str, kneserney.score(docs, m).collect())) for m in models)
+    assert all(x == one for x in others)
+
+
+def test_rows_of_a_run_do_not_grow_with_the_shards():
+    rng = np.random.default_rng(1)
+    words = [rng.integers(0, 1 << 63, 200_000, dtype=np.uint64) for _ in range(2)]
+    one, none = np.ones(200_000, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    for shards in (1, 32, 1_900, 65_000, 7_000_000, 2**31 - 1):
+        steps = kneserney.widths(shards)
+        assert steps[-1] == 1 and -(-shards // steps[0]) <= kneserney.FAN and all(a <= b * kneserney.FAN for a, b in zip(steps, steps[1:], strict=False))
+        assert len(steps) <= 3
+        rows = kneserney._packed(words, one, one, shards, none, steps[0])
+        assert len(rows) <= kneserney.FAN and all(r[0] % steps[0] == 0 and 0 <= r[0] < shards for r in rows)
+
+
 def test_a_missing_or_short_file_is_an_error(spark):
     docs = spark.createDataFrame(lm_docs(spark), "doc_id bigint, text string")
     for damage in (os.remove, lambda f: os.truncate(f, os.path.getsize(f) - 8)):
