@@ -635,4 +635,5 @@ def _(d: Domain) -> DataFrame:
 
 
 from pulsegrid import catalog_details as _details  # noqa: E402, F401  they add their queries to these
+from pulsegrid import catalog_landing as _landing  # noqa: E402, F401
 from pulsegrid import catalog_signals as _signals  # noqa: E402, F401
