@@ -20,6 +20,7 @@ from pulsegrid.sources.shipping import ship as ship
 #: A word: a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: ``bytes.translate`` table that lower-cases A-Z and nothing else.
+BLANKS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 #: A side joined by broadcast has at most this many rows of bounded width; larger sides are shuffled.
@@ -128,6 +129,23 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> It
         at = to
 
 
+def stretches(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """Cut a text at blanks into pieces of about ``most`` bytes, so that a very long one is never split into words at once.
+
+    A word stays whole, however long; the pieces put together are the text.
+    """
+    at = 0
+    while len(text) - at > most:
+        to = max(text.rfind(b, at + 1, at + most) for b in BLANKS)
+        if to < 0:
+            to = min((x for b in BLANKS if (x := text.find(b, at + most)) >= 0), default=-1)
+        if to < 0:
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:] if at else text
+
+
 def texts(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     col = batch.column(batch.schema.get_field_index(text))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pulsegrid.llm.common import mixed, slices, table
+from pulsegrid.llm.common import mixed, slices, stretches, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -54,7 +54,15 @@ class _Hashes(dict):
 
 
 def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").translate(_PUNCTUATION).split()
+    return _split(_lowered(text))
+
+
+def _lowered(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "replace")
+
+
+def _split(lowered: bytes) -> list[bytes]:
+    return lowered.translate(_PUNCTUATION).split()
 
 
 def _shingles(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -132,11 +140,15 @@ class Index:
     def tokens(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.hashes.__getitem__, found), np.uint64, len(found))
 
+    def tokens_of(self, text: str | None) -> np.ndarray:
+        """Hashes of a text's words, split a stretch at a time."""
+        return np.concatenate([self.tokens(_split(piece)) for piece in stretches(_lowered(text))])
+
     def search(self, texts: list[str | None]) -> dict[tuple[int, int], tuple[float, int]]:
         """(text, item) -> (best similarity, first word of the window)."""
-        per_text = [words(t) for t in texts]
+        per_text = [self.tokens_of(t) for t in texts]
         sizes = np.array([len(w) for w in per_text], dtype=np.int64)
-        tokens = self.tokens([w for one in per_text for w in one])
+        tokens = np.concatenate([np.empty(0, dtype=np.uint64), *per_text])
         ends = np.cumsum(sizes)
         out: dict[tuple[int, int], tuple[float, int]] = {}
         for size, known in self.known.items():

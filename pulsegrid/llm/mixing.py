@@ -1,6 +1,6 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-Every document gets a hash-random key.  Within a source, documents are range-sorted by that key: keys fall
+Every document gets a hash-random key of its id and text.  Within a source, documents are range-sorted by that key: keys fall
 into equal ranges of about ``rows_per_range`` documents, range totals are prefix-summed per source, and a
 window inside each range completes the prefix sum, so that no task ever holds a whole source.  A source whose
 target is above its size is repeated in whole epochs; the rest of its budget is cut at the exact word.
@@ -49,9 +49,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", rows_per_range: int = 4096) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken.  Reruns agree."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    # Narrow rows, kept: the text is read once.
-    rows = saved(rows.withColumn("_key", F.conv(F.substring(F.md5(F.concat(F.lit(seed), id_text())), 1, 15), 16, 10).cast("long")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col(text_col).cast("string").alias("text"))
+    # Narrow rows, kept: the text is read once.  Its hash in the key parts rows that share an id or have none.
+    rows = saved(rows.withColumn("_key", F.conv(F.substring(F.md5(F.concat(F.lit(seed), id_text(), F.lit(":"), F.coalesce(F.md5("text"), F.lit("")))), 1, 15), 16, 10).cast("long")).drop("text"))
     per_source = targets(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), weights, cap)
     ranges = F.ceil(F.col("n") / F.lit(rows_per_range))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -79,7 +79,7 @@ def mixing_sql(documents: str = "documents", seed: str = "mix") -> str:
     return f"""
 WITH _rows AS (
   SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         substr(md5('{seed}' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 15) AS k FROM {documents}),
+         substr(md5('{seed}' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || COALESCE(md5(text), '')), 1, 15) AS k FROM {documents}),
 _sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM _rows GROUP BY source),
 _weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w, 3 * source_size AS c FROM _sizes),
 _levels AS (SELECT *, CAST(sum(source_size) OVER () - COALESCE(sum(c) OVER (ORDER BY c / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)

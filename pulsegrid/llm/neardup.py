@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import fresh, maybe_broadcast, mixed, saved, slices, small, texts
+from pulsegrid.llm.common import fresh, maybe_broadcast, mixed, saved, slices, small, stretches, texts
 from pulsegrid.llm.components import components
 from pulsegrid.llm.simhash import link
 
@@ -47,7 +47,16 @@ class Shingles:
 
     def sequence(self, text: bytes) -> np.ndarray:
         """Hashes of all shingles, repeats included."""
-        words = text.lower().split()
+        h = np.concatenate([self._hashes(piece.lower().split()) for piece in stretches(text)])
+        if not len(h):
+            return h
+        n = max(1, len(h) - SHINGLE + 1)
+        out = np.full(n, np.uint64(min(len(h), SHINGLE)))
+        for j in range(min(SHINGLE, len(h))):
+            out += h[j : j + n] * self.places[j]
+        return mixed(out)
+
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
         if len(self.words) > 300_000:
             self.words.clear()
         known = self.words
@@ -57,13 +66,7 @@ class Shingles:
             if x is None:
                 x = known[w] = xxhash.xxh64_intdigest(w)
             h[i] = x
-        if not len(h):
-            return h
-        n = max(1, len(h) - SHINGLE + 1)
-        out = np.full(n, np.uint64(min(len(h), SHINGLE)))
-        for j in range(min(SHINGLE, len(h))):
-            out += h[j : j + n] * self.places[j]
-        return mixed(out)
+        return h
 
     def set_of(self, text: bytes) -> np.ndarray:
         return np.unique(self.sequence(text))

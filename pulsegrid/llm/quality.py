@@ -24,14 +24,16 @@ smallest is learned from; an empty table gives an empty result; further columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import fold, id_text, slices, table, texts
+from pulsegrid.llm.common import fold, id_text, mixed, slices, stretches, table, texts
 from pulsegrid.llm.labelled import agreed, sample_ids, with_texts
 
 SAMPLE = 6000
@@ -49,26 +51,38 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 CLASSES = 15
 DIMENSIONS = CLASSES * CLASSES + 6
+_PLACES = mixed(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
+
+
+def _hashes(found: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64)
+
+
+def _without_end(line: bytes) -> bytes:
+    return line.removesuffix(b"\n")
 
 
 def features(text: bytes) -> np.ndarray:
     """The form of one UTF-8 text."""
     out = np.empty(DIMENSIONS, dtype=np.float32)
-    c = CLASS[np.frombuffer(text, dtype=np.uint8)]
-    pairs = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES) if len(c) > 1 else np.zeros(CLASSES * CLASSES)
-    out[: CLASSES * CLASSES] = np.log((pairs + 0.05) / (len(c) + 5))
-    words = text.split()
+    raw, pairs = np.frombuffer(text, dtype=np.uint8), np.zeros(CLASSES * CLASSES)
+    for i in range(0, len(raw) - 1, 1 << 18):
+        c = CLASS[raw[i : i + (1 << 18) + 1]]
+        pairs += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+    out[: CLASSES * CLASSES] = np.log((pairs + 0.05) / (len(raw) + 5))
+    words = np.concatenate([_hashes(piece.split()) for piece in stretches(text)])
     n = len(words)
-    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    triples = len(set(zip(words, words[1:], words[2:], strict=False)))
-    lines = [x for x in text.split(b"\n") if x]
+    same = np.count_nonzero(words[1:] == words[:-1])
+    a, b, c = (words[i : max(0, n - 2 + i)] * _PLACES[i] for i in range(3))
+    triples = len(np.unique(mixed(a + b + c)))
+    lines = _hashes(line for line in map(_without_end, io.BytesIO(text)) if line)
     out[CLASSES * CLASSES :] = (
         np.log1p(n),
         len(text) / (n + 1),
         np.log((same + 0.2) / (n + 2)),
-        len(set(words)) / (n + 1),
+        len(np.unique(words)) / (n + 1),
         1 - (triples + 1) / (max(n - 2, 0) + 1),
-        1 - (len(set(lines)) + 1) / (len(lines) + 1),
+        1 - (len(np.unique(lines)) + 1) / (len(lines) + 1),
     )
     return out
 

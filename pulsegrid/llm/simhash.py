@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import by_group, maybe_broadcast, saved, shuffle_tasks, slices, table, texts
+from pulsegrid.llm.common import by_group, maybe_broadcast, saved, shuffle_tasks, slices, stretches, table, texts
 from pulsegrid.llm.components import components
 
 SEED = 42
@@ -43,20 +43,25 @@ ANCHORS = 32
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """The unsigned 64-bit fingerprint of one UTF-8 text."""
-    words = text.lower().split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(b" ".join(words), SEED)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
-    votes = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 1 << 14):  # bounded memory for very long texts
-        votes += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
+    votes, count = np.zeros(64, dtype=np.int64), 0
+    held: list[bytes] = []  # words that shingles of the next stretch begin with
+    for piece in stretches(text):
+        words = held + piece.lower().split()
+        n = len(words) - shingle + 1
+        if n <= 0:
+            held = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+        starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
+        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+        for i in range(0, n, 1 << 14):
+            votes += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        count, held = count + n, words[n:]
+    if not count:
+        return digest(b" ".join(held), SEED) if held else 0
+    return int(np.packbits(votes * 2 > count, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import fold, slices, table, texts
+from pulsegrid.llm.common import fold, slices, stretches, table, texts
 from pulsegrid.llm.labelled import agreed, sample_ids, with_texts
 
 BUCKETS = 1 << 18
@@ -61,6 +61,23 @@ def ngrams(found: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield h >> np.uint32(14), np.searchsorted(at, ends)
 
 
+def _groups(found: list[bytes], most: int = 4 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Texts in stretches, about ``most`` bytes together, each with its text's number: no n-gram crosses a blank."""
+    owners: list[int] = []
+    pieces: list[bytes] = []
+    size = 0
+    for d, text in enumerate(found):
+        for piece in stretches(text):
+            if pieces and size + len(piece) > most:
+                yield owners, pieces
+                owners, pieces, size = [], [], 0
+            owners.append(d)
+            pieces.append(piece)
+            size += len(piece)
+    if pieces:
+        yield owners, pieces
+
+
 class Bag:
     """One number per hashed n-gram, and a bias: the log odds of toxic."""
 
@@ -69,10 +86,11 @@ class Bag:
 
     def scores(self, found: list[bytes]) -> np.ndarray:
         total, count = np.zeros(len(found)), np.zeros(len(found), dtype=np.int64)
-        for ids, ends in ngrams(found):
-            sums = np.concatenate(([0.0], np.cumsum(self.weights.take(ids), dtype=np.float64)))[ends]
-            total += np.diff(sums, prepend=0.0)
-            count += np.diff(ends, prepend=0)
+        for owners, pieces in _groups(found):
+            for ids, ends in ngrams(pieces):
+                sums = np.concatenate(([0.0], np.cumsum(self.weights.take(ids), dtype=np.float64)))[ends]
+                np.add.at(total, owners, np.diff(sums, prepend=0.0))
+                np.add.at(count, owners, np.diff(ends, prepend=0))
         z = total / np.maximum(count, 1) + self.bias
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
