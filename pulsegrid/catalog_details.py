@@ -490,7 +490,7 @@ def _payloads(d: Domain) -> DataFrame:
     """Each vector as an upload: integers of 16 bits, as deltas or raw, over one or two channels; every tenth is damaged."""
     k = _number("study_id")
     channels = F.when(k % 3 == 0, 2).otherwise(1)
-    x = F.transform("samples", lambda v: F.floor(v * 100).cast("bigint"))
+    x = F.transform("samples", lambda v: F.floor((v * 100).cast("float")).cast("bigint"))  # the product in 32 bits, as the oracle has it
     delta = F.transform("x", lambda v, i: F.when(i < F.col("num_channels"), v).otherwise(v - F.get("x", i - F.col("num_channels"))))
     low = lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(65535))), 4, "0")
     rows = d.signal.select(F.col("study_id").alias("id"), k.alias("k"), channels.alias("num_channels"), F.slice(x, F.lit(1), (F.floor(F.size("samples") / 2) * 2).cast("int")).alias("x"), F.when(k % 2 == 0, "raw").otherwise("delta").alias("compression_type"))

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -37,3 +38,11 @@ def test_numbers_of_nine_digits_are_quarantined(spark, tmp_path, name):
     keys = pa.array(t.column("c_custkey").to_numpy() + 525_500)  # from 525,548 on, dni has nine digits
     got = same_as_oracle(spark, name, tmp_path, {"customer": t.set_column(t.schema.get_field_index("c_custkey"), "c_custkey", keys)})
     assert len(got) > t.num_rows / 3
+
+
+def test_payloads_of_values_at_a_border(spark, tmp_path):
+    # 0.29 times 100 is 29 in 32 bits and a little less in 64
+    near = (np.arange(-200, 200) / np.float32(100)).astype(np.float32)
+    rows = [np.roll(near, k)[:64].tolist() for k in range(0, 400, 16)]
+    t = pa.table({"vec_id": pa.array(range(1, len(rows) + 1), pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32())), "label": pa.array([0] * len(rows), pa.int32())})
+    same_as_oracle(spark, "g16_payloads", tmp_path, {"embeddings": t})
