@@ -96,19 +96,33 @@ class Bag:
 
 
 class _Batch:
-    """The n-grams of some texts, in the order of the texts and in the order of the n-grams."""
+    """The n-grams of some texts, in the order of the texts and in the order of the n-grams.
+
+    Eight bytes an n-gram are kept, its weight and its place among the sorted; the rest follows from these at each step.
+    """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        sizes = np.array([len(ids) for ids, _ in rows])
+        self.sizes = np.array([len(ids) for ids, _ in rows])
         self.docs = len(rows)
-        self.some = np.flatnonzero(sizes)
-        self.starts = (np.cumsum(sizes) - sizes)[self.some]
+        self.some = np.flatnonzero(self.sizes)
+        self.starts = (np.cumsum(self.sizes) - self.sizes)[self.some]
         self.x = np.concatenate([x for _, x in rows])
-        self.active, place = np.unique(np.concatenate([ids for ids, _ in rows]), return_inverse=True)
-        self.place = place.astype(np.int32)
-        self.order = np.argsort(self.place, kind="stable").astype(np.int32)
-        self.doc = np.repeat(np.arange(len(rows)), sizes)[self.order].astype(np.int32)
-        self.begins = np.searchsorted(self.place[self.order], np.arange(len(self.active)))
+        ids = np.concatenate([ids for ids, _ in rows])
+        self.order = np.argsort(ids, kind="stable").astype(np.int32)
+        self.active, begins = np.unique(ids[self.order], return_index=True)
+        self.begins = begins.astype(np.int32)
+
+    @property
+    def place(self) -> np.ndarray:
+        """The active n-gram of each, in the order of the texts."""
+        out = np.empty(len(self.order), dtype=np.int32)
+        out[self.order] = np.repeat(np.arange(len(self.active), dtype=np.int32), np.diff(self.begins, append=len(out)))
+        return out
+
+    @property
+    def doc(self) -> np.ndarray:
+        """The text of each, in the order of the n-grams."""
+        return np.repeat(np.arange(self.docs, dtype=np.int32), self.sizes)[self.order]
 
     def means(self, table: np.ndarray) -> np.ndarray:
         """[text, width] weighted sums of the rows of the active n-grams."""
@@ -136,6 +150,19 @@ def gradients(batch: _Batch, y: np.ndarray, scale: np.ndarray, table: np.ndarray
     return loss, (batch.back(d @ softmax.T), mean.T @ d, d.sum(axis=0))
 
 
+def _counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A text's hashed n-grams, sorted, and how often each is in it."""
+    return np.unique(np.concatenate([h for h, _ in ngrams([text])]), return_counts=True)
+
+
+def _weighted(text: bytes, seen: np.ndarray, least_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of at least ``least_docs`` texts, with their share in the text times the gain."""
+    ids, counts = _counted(text)
+    x = (GAIN * counts / max(counts.sum(), 1)).astype(np.float32)
+    keep = seen[ids] >= least_docs
+    return ids.astype(np.int32)[keep], x[keep]
+
+
 def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, least_docs: int = 1, epochs: int = 10, least_steps: int = 250, size: int = 128, rate: float = 0.02, decay: float = 3e-4, seed: int = 7) -> Bag:
     """Train table and softmax jointly by Adam on mini-batches, whose n-grams alone move in a step.
 
@@ -144,14 +171,9 @@ def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, least_docs
     share = float((weight * toxic).sum() / weight.sum()) if len(found) else 0.0
     if not 0 < share < 1:
         return Bag(np.zeros(BUCKETS, dtype=np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    rows = []
     seen = np.zeros(BUCKETS, dtype=np.int32)
     for t in found:
-        ids, counts = np.unique(np.concatenate([h for h, _ in ngrams([t])]), return_counts=True)
-        seen[ids] += 1
-        rows.append((ids.astype(np.int32), (GAIN * counts / max(counts.sum(), 1)).astype(np.float32)))
-    if least_docs > 1:
-        rows = [(ids[keep], x[keep]) for ids, x in rows for keep in [seen[ids] >= least_docs]]
+        seen[_counted(t)[0]] += 1
     random = np.random.default_rng(seed)
     every = np.flatnonzero(seen >= least_docs)
     table = np.zeros((BUCKETS, WIDTH), dtype=np.float32)
@@ -161,9 +183,9 @@ def fit(found: list[bytes], toxic: np.ndarray, weight: np.ndarray, *, least_docs
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, softmax, bias)]
     y = np.eye(2, dtype=np.float32)[toxic.astype(int)]
     scale = (weight / weight.mean()).astype(np.float32)
-    parts = np.array_split(random.permutation(len(rows)), max(1, len(rows) // size))
-    batches = [(some, _Batch([rows[i] for i in some])) for some in parts]
-    del rows
+    parts = np.array_split(random.permutation(len(found)), max(1, len(found) // size))
+    # Hashed a second time, so that the n-grams of all texts are never held beside the batches.
+    batches = [(some, _Batch([_weighted(found[i], seen, least_docs) for i in some])) for some in parts]
     step, epochs = 0, max(epochs, -(-least_steps // len(batches)))
     for epoch in range(epochs):
         for k in random.permutation(len(batches)):
@@ -188,7 +210,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", toxic
     found = sorted((r["role"], r["id"], r["text"]) for r in with_texts(short, ids).collect())
     toxic = np.array([r[0] == "1" for r in found], dtype=bool)
     n = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    return fit([r[2].encode() for r in found], toxic, np.where(toxic, share / n[0], (1 - share) / n[1]))
+    kept = [r[2].encode() for r in found]
+    del found
+    return fit(kept, toxic, np.where(toxic, share / n[0], (1 - share) / n[1]))
 
 
 def score(docs: DataFrame, model: Bag, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

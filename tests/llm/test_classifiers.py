@@ -276,3 +276,14 @@ def test_language(spark, odd, none, tmp_path):
     kept = langid.filter_languages(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, None, 5, 8, 9}
     assert langid.filter_languages(none).count() == 0
+
+
+def test_training_keeps_few_bytes_an_ngram():
+    random = np.random.default_rng(3)
+    rows = [(np.unique(random.integers(0, toxicity.BUCKETS, 5000)).astype(np.int32), None) for _ in range(20)]
+    rows = [(ids, np.ones(len(ids), dtype=np.float32)) for ids, _ in rows]
+    batch, n = toxicity._Batch(rows), sum(len(ids) for ids, _ in rows)
+    per_ngram = sum(v.nbytes for name, v in vars(batch).items() if isinstance(v, np.ndarray) and len(v) == n)
+    assert per_ngram <= 8 * n
+    assert (batch.active[batch.place] == np.concatenate([ids for ids, _ in rows])).all()
+    assert (batch.doc == np.repeat(np.arange(20), [len(ids) for ids, _ in rows])[batch.order]).all()
