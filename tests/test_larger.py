@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from pulsegrid import catalog
+from pulsegrid.sources import synthetic
 from tests.test_catalog import SF, plain
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -46,3 +47,11 @@ def test_payloads_of_values_at_a_border(spark, tmp_path):
     rows = [np.roll(near, k)[:64].tolist() for k in range(0, 400, 16)]
     t = pa.table({"vec_id": pa.array(range(1, len(rows) + 1), pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32())), "label": pa.array([0] * len(rows), pa.int32())})
     same_as_oracle(spark, "g16_payloads", tmp_path, {"embeddings": t})
+
+
+@pytest.mark.parametrize("rate", [50, 128, 250, 500])
+def test_series_of_a_beat(rate):
+    j, series = synthetic._shape(rate)
+    behind = np.random.default_rng(rate).random(500) / rate
+    got = np.polynomial.chebyshev.chebvander(2 * rate * behind - 1, len(series) - 1) @ series
+    assert np.abs(got - synthetic._beat(behind[:, None] + j / rate)).max() < 1e-13
