@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from pulsegrid import catalog
+from pulsegrid.operators import rhythm
 from pulsegrid.sources import synthetic
 from tests.test_catalog import SF, plain
 
@@ -55,3 +56,19 @@ def test_series_of_a_beat(rate):
     behind = np.random.default_rng(rate).random(500) / rate
     got = np.polynomial.chebyshev.chebvander(2 * rate * behind - 1, len(series) - 1) @ series
     assert np.abs(got - synthetic._beat(behind[:, None] + j / rate)).max() < 1e-13
+
+
+def test_summaries_made_where_the_signals_are(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("short",)], "study_id string")
+    made = lambda k: synthetic.ecg(k, 2 if k == "short" else 30)
+    want, got = (sorted(map(tuple, df.collect())) for df in (rhythm.hrv(rhythm.peaks_of(rows, made, 250)), rhythm.hrv_of(rows, made, 250)))
+    assert len(got) == 3 == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[0] == b[0] and all(x == y if x is None or y is None else x == pytest.approx(y, rel=1e-12) for x, y in zip(a[1:], b[1:], strict=True))
+
+
+def test_levels_are_quantiles():
+    random = np.random.default_rng(1)
+    for n in (1, 2, 3, 50, 51, 1000, 12_345):
+        x = random.random(n)
+        assert rhythm._levels(x) == (np.quantile(x, 0.98), np.median(x))
