@@ -155,8 +155,11 @@ m AS (SELECT *, 'AWS4-HMAC-SHA256' || chr(10) || '20240131T000000Z' || chr(10) |
 SELECT id, 'https://ecg.example.com/' || ecg_s3_key || '?{_LINK}&X-Amz-Signature=' || sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(message)))) AS link FROM m""",
 )
 def _(d: Domain) -> DataFrame:
-    link = links.signed_link(F.col("ecg_s3_key"), F.lit(AS_OF).cast("timestamp"), host="ecg.example.com", region="sa-east-1", access_key="key", secret=F.lit("secret"))
-    return live(d.study).select("id", link.alias("link"))
+    """All links are of one day, whose key is derived once, in a table of one row that each task gets."""
+    at = F.lit(AS_OF).cast("timestamp")
+    days = scratch.kept(d.event.sparkSession.range(1).select(links.signing_pads(at, "sa-east-1", F.lit("secret")).alias("pads")))
+    link = links.signed_link(F.col("ecg_s3_key"), at, host="ecg.example.com", region="sa-east-1", access_key="key", pads=F.col("pads"))
+    return live(d.study).crossJoin(F.broadcast(days)).select("id", link.alias("link"))
 
 
 @query(

@@ -91,3 +91,11 @@ def test_an_emptied_bucket_is_empty(spark, tmp_path):
     views.build(spark, lambda keep: keep(one, "id"), "id", path, buckets=2)
     assert views.refresh(spark, lambda keep: keep(none, "id"), "id", path, [(one, none, "id")]) == 1
     assert views.stored(spark, path, "id string, v int").count() == 0
+
+
+def test_links_by_the_pads_of_a_day(spark):
+    at, given = F.lit("2024-01-31").cast("timestamp"), {"host": "h.example", "region": "sa-east-1", "access_key": "key"}
+    days = spark.createDataFrame([("secret",)], "secret string").select("secret", links.signing_pads(at, "sa-east-1", F.col("secret")).alias("pads"))
+    rows = spark.createDataFrame([("ecg/a b.bin",), (None,), ("x",)], "key string").crossJoin(days)
+    got = rows.select(links.signed_link(F.col("key"), at, secret=F.col("secret"), **given), links.signed_link(F.col("key"), at, pads=F.col("pads"), **given)).collect()
+    assert all(a == b for a, b in got) and sum(a is None for a, _ in got) == 1 and len({a for a, _ in got}) == 3
