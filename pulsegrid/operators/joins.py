@@ -86,6 +86,20 @@ def _period(c: Column, width: int) -> Column:
     return c - F.pmod(c, F.lit(width))
 
 
+def _nodes(rows: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Each row once for each of the fewest dyadic nodes (``_level``, ``_node``) that make up low <= i < high, two a level at most."""
+    laid = rows.withColumns({"_low": low.cast("bigint"), "_high": high.cast("bigint")}).filter("_low < _high")
+    laid = laid.withColumn("_level", F.explode(_levels(F.col("_high") - F.col("_low"))))
+    left, right = F.expr("shiftright(_low + shiftleft(1L, _level) - 1, _level)"), F.expr("shiftright(_high, _level)")
+    own = lambda end, node: F.when((left < right) & (end.bitwiseAND(F.lit(1)) == 1), node)
+    return laid.withColumn("_node", F.explode(F.array_compact(F.array(own(left, left), own(right, right - 1))))).drop("_low", "_high")
+
+
+def _levels(n: Column) -> Column:
+    """The levels of the dyadic nodes inside of ``n`` places."""
+    return F.sequence(F.lit(0), F.floor(F.log2(n) + 1e-9).cast("int"))
+
+
 def containing_study(rows: DataFrame, studies: DataFrame, as_of: datetime | str, *, time: str, key: str | None = None, days: int = 7) -> DataFrame:
     """The study of a row's device that holds its time: started_at <= t < coalesce(ended_at, as_of).
 
@@ -94,19 +108,38 @@ def containing_study(rows: DataFrame, studies: DataFrame, as_of: datetime | str,
     winner is worked out at the start of the period and at the changes inside it; that makes stretches that do not
     overlap, and each row meets its own by one equi-join on device and period.  Rows are moved once and never copied,
     and a device with very many of them is split by the join.  Rows need no ``key``; it is accepted as in earlier calls.
+
+    A study is laid out over dyadic nodes: of the periods that it holds whole, and of the changes that it holds in the two
+    that it starts and ends in.  The best of each node is found first, and a change asks the nodes that it lies in.  So the
+    work grows with n log n, however many studies of a device are open at once.
     """
     width = days * DAY
+    period = lambda c: F.call_function("div", _period(c, width), F.lit(width))
+    moment, best = F.unix_micros(time), F.min(F.struct((-F.col("_from")).alias("a"), F.col("_study").alias("b"))).alias("_best")
     s = live(studies).select(F.col("device_id").alias("_d"), F.col("id").alias("_study"), F.unix_micros("started_at").alias("_from"), F.unix_micros(F.coalesce("ended_at", at(as_of))).alias("_to")).filter("_to > _from")
-    moment = F.unix_micros(time)
-    used = rows.select(F.col("device_id").alias("_d"), _period(moment, width).alias("_period")).filter("_d IS NOT NULL AND _period IS NOT NULL").distinct()
-    changes = s.select("_d", F.explode(F.array("_from", "_to")).alias("_p")).withColumn("_period", _period(F.col("_p"), width)).join(used, ["_d", "_period"], "left_semi")
-    marks = changes.unionByName(used.withColumn("_p", F.col("_period"))).distinct()
-    until = F.lead("_p").over(Window.partitionBy("_d", "_period").orderBy("_p"))
-    marks = marks.withColumn("_until", F.coalesce(until, F.col("_period") + F.lit(width)))
-    won = F.min_by("_study", F.struct((-F.col("_from")).alias("a"), F.col("_study").alias("b")))
-    stretches = _holding(marks, s, ["_d"], width).groupBy("_d", "_period", "_p", "_until").agg(won.alias("study_id"))
-    same = (F.col("device_id") == F.col("_d")) & (_period(moment, width) == F.col("_period")) & (moment >= F.col("_p")) & (moment < F.col("_until"))
-    return rows.join(stretches, same, "left").drop("_d", "_period", "_p", "_until")
+    used = rows.select(F.col("device_id").alias("_d"), period(moment).alias("_k")).filter("_d IS NOT NULL AND _k IS NOT NULL").distinct()
+    reach = used.groupBy("_d").agg(F.min("_k").alias("_first"), (F.max("_k") + 1).alias("_last"))
+    near = s.join(reach, "_d").filter((F.col("_to") > F.col("_first") * width) & (F.col("_from") < F.col("_last") * width))
+    # periods that are held whole
+    whole = _nodes(near, F.greatest("_first", period(F.col("_from") + (width - 1))), F.least("_last", period(F.col("_to")))).groupBy("_d", "_level", "_node").agg(best)
+    asked = used.join(reach, "_d").select("_d", "_k", F.explode(_levels(F.col("_last") - F.col("_first"))).alias("_level")).withColumn("_node", F.expr("shiftright(_k, _level)"))
+    whole = asked.join(whole, ["_d", "_level", "_node"]).groupBy("_d", "_k").agg(F.min("_best").alias("_whole"))
+    # changes, numbered within their period; the first is the period's start
+    edge = lambda c, starts: F.struct(F.col(c).alias("_p"), F.lit(starts).alias("_starts"))
+    edges = near.withColumn("_e", F.explode(F.array(edge("_from", True), edge("_to", False)))).select("_d", "_first", "_last", "_study", "_from", "_to", "_e.*").withColumn("_k", period(F.col("_p")))
+    edges = edges.filter("_k >= _first AND _k < _last").drop("_first", "_last").unionByName(used.withColumn("_p", F.col("_k") * width), allowMissingColumns=True)
+    own = Window.partitionBy("_d", "_k")
+    edges = edges.withColumn("_i", F.dense_rank().over(own.orderBy("_p")).cast("bigint") - 1).withColumn("_n", F.max("_i").over(own) + 1)
+    edges = edges.withColumn("_used", F.max(F.col("_starts").isNull()).over(own)).filter("_used")
+    parts = edges.filter("_starts IS NOT NULL").groupBy("_d", "_k", "_n", "_study", "_from", "_to").agg(F.min(F.when(F.col("_starts"), F.col("_i"))).alias("_start"), F.min(F.when(~F.col("_starts"), F.col("_i"))).alias("_end"))
+    inside = _nodes(parts, F.coalesce("_start", F.lit(0)), F.coalesce("_end", "_n")).groupBy("_d", "_k", "_level", "_node").agg(best)
+    marks = edges.select("_d", "_k", "_n", "_i", "_p").distinct().withColumn("_until", F.coalesce(F.lead("_p").over(own.orderBy("_i")), (F.col("_k") + 1) * width))
+    asked = marks.withColumn("_level", F.explode(_levels(F.col("_n")))).withColumn("_node", F.expr("shiftright(_i, _level)"))
+    found = asked.join(inside, ["_d", "_k", "_level", "_node"], "left").groupBy("_d", "_k", "_p", "_until").agg(F.min("_best").alias("_inside"))
+    won = F.least("_inside", "_whole")["b"]
+    stretches = found.join(whole, ["_d", "_k"], "left").select("_d", "_k", "_p", "_until", won.alias("study_id")).filter("study_id IS NOT NULL")
+    same = (F.col("device_id") == F.col("_d")) & (period(moment) == F.col("_k")) & (moment >= F.col("_p")) & (moment < F.col("_until"))
+    return rows.join(stretches, same, "left").drop("_d", "_k", "_p", "_until")
 
 
 def in_interval(points: DataFrame, intervals: DataFrame, *, key: str, time: str, start: str, end: str, days: int = 1) -> DataFrame:

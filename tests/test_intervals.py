@@ -53,3 +53,28 @@ def test_no_rows(spark):
     assert joins.containing_study(points.limit(0), studies, AS_OF, time="t").count() == 0
     none = joins.containing_study(points, studies.limit(0), AS_OF, time="t").collect()
     assert len(none) == points.count() and not any(r["study_id"] for r in none)
+
+
+def most_rows(df):
+    """The greatest number of rows that any operator of an executed plan has put out."""
+
+    def of(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return of(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return of(node.plan())
+        metric, children = node.metrics().get("numOutputRows"), node.children()
+        return max([metric.get().value() if metric.isDefined() else 0, *[of(children.apply(i)) for i in range(children.size())]])
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_many_open_studies_of_one_device(spark):
+    n = 3000
+    minute = lambda k: FIRST + timedelta(minutes=k)
+    studies = spark.createDataFrame([(f"s{k:04}", "hot", minute(k), minute(n + 10) if k == n // 2 else None, None) for k in range(n)], "id string, device_id string, started_at timestamp, ended_at timestamp, deleted_at timestamp")
+    points = spark.createDataFrame([(f"p{k:04}", "hot", minute(k) + timedelta(seconds=30)) for k in range(n)], "id string, device_id string, t timestamp")
+    found = joins.containing_study(points, studies, AS_OF, time="t", days=60)
+    assert {(r["id"], r["study_id"]) for r in found.collect()} == {(f"p{k:04}", f"s{k:04}") for k in range(n)}
+    assert n <= most_rows(found) < 40 * n  # not every change with every study that is open
