@@ -102,7 +102,8 @@ def peaks(chunks: DataFrame, key: str = "study_id", *, segment_s: int = 3600, ov
 
     A signal is worked on in segments of ``segment_s`` seconds, each with the chunks that reach ``overlap_s`` into its
     neighbours, where the detector settles; a peak counts in the segment that its sample lies in.  So a task holds one
-    segment, however long the signal is, and signals of up to one segment are detected whole.
+    segment, however long the signal is, and signals of up to one segment are detected whole.  One that is also a single
+    chunk is detected where its row is, with no group of its own.
     """
     ship(chunks.sparkSession)
 
@@ -117,12 +118,27 @@ def peaks(chunks: DataFrame, key: str = "study_id", *, segment_s: int = 3600, ov
         i = at + first
         return pa.table([pa.array([group[0].as_py()] * len(at), pa.string()), pa.array(i), pa.array(i * 1000.0 / rate), pa.array(signal[at].astype(np.float64))], names=["key", "i", "t_ms", "amplitude"])
 
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rates, samples = (batch.column(k) for k in ("key", "sample_rate", "samples"))
+            values, ends = samples.values.to_numpy(zero_copy_only=False), samples.offsets.to_numpy()
+            signals = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            at = [detect_peaks(x, rate) for x, rate in zip(signals, rates.to_pylist(), strict=True)]
+            n = [len(i) for i in at]
+            i = np.concatenate([np.empty(0, dtype=np.int64), *at])
+            found = np.concatenate([np.empty(0), *[x[k].astype(np.float64) for x, k in zip(signals, at, strict=True)]])
+            named = keys.take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([named, pa.array(i), pa.array(i * 1000.0 / np.repeat(rates.to_numpy(), n)), pa.array(found)], names=["key", "i", "t_ms", "amplitude"])
+
     rows = sized(chunks.select(F.col(key).cast("string").alias("key"), "sample_rate", "chunk_index", "samples"), "key").filter(F.size("samples") > 0)
+    one = F.coalesce((F.size("samples") == F.col("total")) & (F.col("total") <= F.col("sample_rate") * segment_s), F.lit(False))
+    short, rows = rows.filter(one).select("key", "sample_rate", "samples"), rows.filter(~one)
+    schema = "key string, i bigint, t_ms double, amplitude double"
     size, reach = F.col("sample_rate") * segment_s, F.col("sample_rate") * overlap_s
     low = F.greatest(F.lit(0), F.floor((F.col("first") - reach) / size))
     high = F.least(F.floor((F.col("total") - 1) / size), F.floor((F.col("first") + F.size("samples") - 1 + reach) / size))
     rows = rows.withColumn("segment", F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"))))
-    return rows.groupBy("key", "segment").applyInArrow(run, "key string, i bigint, t_ms double, amplitude double").withColumnRenamed("key", key)
+    return rows.groupBy("key", "segment").applyInArrow(run, schema).unionByName(short.mapInArrow(alone, schema)).withColumnRenamed("key", key)
 
 
 def peaks_of(rows: DataFrame, signal: Callable[[str], np.ndarray], rate: int, key: str = "study_id") -> DataFrame:
@@ -212,13 +228,17 @@ def alerts_for(events: DataFrame) -> DataFrame:
     return wanted.select("patient_id", F.col("id").alias("event_id"), "severity", F.concat_ws(" ", "event_type", F.lit("en"), "serial_number").alias("message"))
 
 
-def process(batches: DataFrame, decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, batch statuses) of decoded upload batches (see ``sources.signals.decode_batches``).
+def lead_beats(batches: DataFrame, decoded: DataFrame) -> DataFrame:
+    """Beats of channel 0 of decoded upload batches (see ``sources.signals.decode_batches``)."""
+    rates = batches.select(F.col("id").alias("batch_id"), "sample_rate")
+    return peaks(decoded.filter((F.col("channel") == 0) & F.col("error").isNull()).join(rates, "batch_id"), "batch_id")
+
+
+def process(batches: DataFrame, decoded: DataFrame, beats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, batch statuses) of decoded upload batches; ``beats`` are their ``lead_beats`` where they are at hand.
 
     A batch whose payload did not decode is FAILED with its error and the others go on; channel 0 carries the rhythm.
     """
     failed = decoded.filter(F.col("error").isNotNull()).groupBy("batch_id").agg(F.first("error").alias("processing_error"))
     status = batches.join(failed, F.col("id") == F.col("batch_id"), "left").select("id", F.when(F.col("processing_error").isNull(), "DONE").otherwise("FAILED").alias("processing_status"), "processing_error")
-    rates = batches.select(F.col("id").alias("batch_id"), "sample_rate")
-    lead = decoded.filter((F.col("channel") == 0) & F.col("error").isNull()).join(rates, "batch_id")
-    return classify(peaks(lead, "batch_id"), "batch_id"), status
+    return classify(lead_beats(batches, decoded) if beats is None else beats, "batch_id"), status

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.joins import event_chain
-from pulsegrid.operators.rhythm import alerts_for, process
+from pulsegrid.operators.rhythm import alerts_for, lead_beats, process
 from pulsegrid.sources.signals import decode_batches
 from pulsegrid.streaming.ingest import _exists, query_id
 
@@ -66,9 +66,11 @@ def commit(batches: DataFrame, devices: DataFrame, patients: DataFrame, folder:
         known = known.join(_table(spark, folder, LEDGER).select("run", "batch"), ["run", "batch"], "left_semi")
         rows = rows.join(known.select("id"), "id", "left_anti")
     rows = rows.persist()
+    decoded = decode_batches(rows).persist()
+    beats = lead_beats(rows, decoded).persist()  # each rule reads them
     try:
         write(rows.select("id"), STARTED)
-        found, states = process(rows, decode_batches(rows))
+        found, states = process(rows, decoded, beats)
         name = F.sha2(F.concat_ws("|", "batch_id", "event_type", F.col("timestamp_in_recording").cast("string")), 256)
         write(found.select(name.alias("id"), "batch_id", "event_type", "severity", "timestamp_in_recording", "duration_seconds", "confidence_score", F.lit(None).cast("string").alias("metadata")), EVENTS)
         events = spark.read.schema(SCHEMAS[EVENTS]).parquet(f"{folder}/{EVENTS}/{own}")
@@ -77,7 +79,8 @@ def commit(batches: DataFrame, devices: DataFrame, patients: DataFrame, folder:
         write(states.join(rows.select("id", "date"), "id").select("id", "processing_status", "processing_error", "date"), RESULTS, "date")
         write(rows.agg(F.count("*").alias("batches")), LEDGER)
     finally:
-        rows.unpersist()
+        for held in (beats, decoded, rows):
+            held.unpersist()
 
 
 def process_stream(batches: DataFrame, devices: DataFrame, patients: DataFrame, folder: str, checkpoint: str, *, every: str | None = None, after: Callable[[str], None] = lambda what: None):

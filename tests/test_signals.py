@@ -149,3 +149,22 @@ def test_peaks_by_segments(spark):
     assert [r["i"] for r in rhythm.peaks(df).orderBy("i").collect()] == want
     got = [r["i"] for r in rhythm.peaks(df, segment_s=60).orderBy("i").collect()]
     assert len(set(got) & set(want)) >= 0.99 * len(want) and len(got) == len(set(got)) and abs(len(got) - len(want)) <= 0.01 * len(want)
+
+
+def test_signals_of_one_chunk_need_no_groups(spark):
+    made = {f"k{i}": np.asarray(synthetic.ecg(f"k{i}", seconds=5 + i, rate=250), dtype=np.float32) for i in range(6)} | {"none": np.empty(0, dtype=np.float32)}
+    rows = [(k, 250, 0, x.tolist()) for k, x in made.items()] + [("two", 250, c, made["k5"][c * 1000 : (c + 1) * 1000 if c == 0 else None].tolist()) for c in (0, 1)]
+    found = rhythm.peaks(spark.createDataFrame(rows, "study_id string, sample_rate int, chunk_index int, samples array<float>").repartition(2))
+    want = {(k, int(i), i * 4.0, float(x[i])) for k, x in (made | {"two": made["k5"]}).items() for i in rhythm.detect_peaks(x, 250)}
+    assert found.columns == ["study_id", "i", "t_ms", "amplitude"] and {tuple(r) for r in found.collect()} == want
+
+    def grouped(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return grouped(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return grouped(node.plan())
+        own = node.metrics().apply("pythonNumRowsReceived").value() if kind == "FlatMapGroupsInArrowExec" else 0
+        return own + sum(grouped(node.children().apply(i)) for i in range(node.children().size()))
+
+    assert grouped(found._jdf.queryExecution().executedPlan()) == sum(k == "two" for k, *_ in want)
