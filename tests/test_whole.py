@@ -11,7 +11,7 @@ import pytest
 
 from pulsegrid import catalog
 from pulsegrid.operators import rhythm
-from pulsegrid.sources import synthetic
+from pulsegrid.sources import signals, synthetic
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,6 +38,31 @@ def test_signal_of_every_live_study(spark, few_studies):
     assert {(r["sample_rate"], r["chunk_index"], r["n"]) for r in rows} == {(250, 0, 30_000)}
 
 
+def test_signals_are_counted_where_they_are_made(spark, few_studies):
+    """The samples of a signal take 120,000 bytes; none of them leaves its task."""
+    df = catalog.queries()["g15_synthetic_signal"](spark, few_studies[0])
+    assert len(df.collect()) == 11
+
+    def received(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return received(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return received(node.plan())
+        own = [node.metrics().apply("pythonDataReceived").value()] if kind == "MapInArrowExec" else []
+        return own + [n for i in range(node.children().size()) for n in received(node.children().apply(i))]
+
+    (bytes_,) = received(df._jdf.queryExecution().executedPlan())
+    assert 0 < bytes_ < 11 * 30_000
+
+
+def test_counted_signals_are_the_signals(spark):
+    rows = spark.createDataFrame([("a", 5), ("b", None), ("c", -1)], "study_id string, start_ts_ms bigint")
+    for seconds in (300, 1.5, 0.001):  # two chunks, one, none
+        made, counted = (sorted(map(tuple, df.collect())) for df in (synthetic.signals(rows, seconds=seconds).selectExpr("study_id", "sample_rate", "start_ts_ms", "chunk_index", "size(samples)"), synthetic.chunk_sizes(rows, seconds=seconds)))
+        assert counted == made and len(made) == 3 * -(-int(seconds * 250) // signals.CHUNK)
+
+
 def test_rhythm_of_every_live_study(spark, few_studies):
     folder, live = few_studies
     got = {r["study_id"]: r for r in catalog.queries()["g20_rhythm"](spark, folder).collect()}
